@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.llm import exact_dedup, mixing, sharding
+from tramo.llm import bpe, chat, exact_dedup, mixing, sharding, token_file
+from tramo.llm.staging import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,27 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(docs.select("doc_id", "domain", "lang", "source", "n_tokens"), MIX)
 
 
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.encode_to_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    records = chat.records_of_rows(rows.unionByName(planted), "conv_id", "turn", "role", "text")
+    formatted = stage(chat.format_chats(chat.to_turns(records, "conv_id"), "conv_id"), "chats")
+    return chat.digest(formatted, "conv_id")
+
+
+def multilingual_bpe() -> bpe.Bpe:
+    return bpe.Bpe.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), multilingual_bpe())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -43,7 +66,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_bit_planes": op2_bit_planes,
+    "op3_chat_formatting": op3_chat_formatting,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_sharding": op9_sharding,
 }
 
