@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.llm import bpe, chat, exact_dedup, mixing, sharding, token_file
+from tramo.llm import bpe, chat, exact_dedup, mixing, ngram_join, sharding, token_file
 from tramo.llm.staging import stage
 
 
@@ -59,6 +59,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Join(k=3, percent=90))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bit_planes": op2_bit_planes,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_sharding": op9_sharding,
 }
