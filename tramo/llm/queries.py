@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.llm import bpe, chat, exact_dedup, mixing, ngram_join, sharding, token_file
+from tramo.llm import bpe, chat, exact_dedup, mixing, ngram_join, sharding, token_file, toxicity
 from tramo.llm.staging import stage
 
 
@@ -55,6 +55,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), multilingual_bpe())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bit_planes": op2_bit_planes,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op8_byte_bpe": op8_byte_bpe,

@@ -27,59 +27,71 @@ class _Numbers(dict):
         return n
 
 
-def _odd(key) -> bool:
-    return isinstance(key, str) and (not key or key[0].isspace() or key[-1].isspace()) or isinstance(key, tuple) and len(key) == 1 and (not key[0] or key[0][-1].isspace())
+class Memo:
+    """Lists of numbers for hashable keys, each made once by `many`; kept between batches up to `limit` keys or `chars` characters."""
 
-
-class UnitEncoder:
-    """many: gives the ids of each of a list of strings. Up to `limit` units, or `chars` characters of them, stay between batches."""
-
-    def __init__(self, many: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 1_200_000, chars: int = 16_000_000):
+    def __init__(self, many: Callable[[list], Sequence[Sequence[int]]], limit: int = 1_200_000, chars: int = 16_000_000):
         self.many, self.limit, self.chars = many, limit, chars
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        # a key is a string (a space stands before it), (string,) at a text's start, or (string, k) from a text cut with care
+    def clear(self) -> None:
         self.at, self.kept = _Numbers(), 0
         self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self) -> None:
-        texts = [" " + k if isinstance(k, str) else k[0] if len(k) == 1 or not k[1] else " " + k[0] for k in self.at.new]
-        got = self.many(texts)
+    def trim(self) -> None:
+        if self.at.next > self.limit or self.kept > self.chars:
+            self.clear()
+
+    def learn(self) -> None:
+        """Make the lists of all keys that were numbered since."""
+        got = self.many(self.at.new)
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, flat])
-        self.kept += sum(map(len, texts))
-        for k in self.at.new:
-            if _odd(k):  # never found again: each text that has it is cut with care
-                del self.at[k]
+        self.kept += sum(len(k) if isinstance(k, str) else len(k[0]) for k in self.at.new)
         self.at.new = []
 
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of numbered keys, one after another, and their lengths."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        where = np.repeat(self.start[at] - (ends - size), size)
+        where += np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[where], size
+
+
+def _odd(key) -> bool:
+    return isinstance(key, str) and (not key or key[0].isspace() or key[-1].isspace()) or isinstance(key, tuple) and len(key) == 1 and (not key[0] or key[0][-1].isspace())
+
+
+class UnitEncoder:
+    """many: gives the ids of each of a list of strings."""
+
+    def __init__(self, many: Callable[[list[str]], Sequence[Sequence[int]]]):
+        # a key is a string (a space stands before it), (string,) at a text's start, or (string, k) from a text cut with care
+        self.memo = Memo(lambda keys: many([" " + k if isinstance(k, str) else k[0] if len(k) == 1 or not k[1] else " " + k[0] for k in keys]))
+
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts together, and how many each text has."""
-        if self.at.next > self.limit or self.kept > self.chars:
-            self._clear()
+        memo = self.memo
+        memo.trim()
         parts = [t.split(" ") for t in texts]
         for p in parts:
             p[0] = (p[0],)
-        at = [list(map(self.at.__getitem__, p)) for p in parts]
-        if odd := {k for k in self.at.new if _odd(k)}:
+        at = [list(map(memo.at.__getitem__, p)) for p in parts]
+        if odd := {k for k in memo.at.new if _odd(k)}:
             for k, p in enumerate(parts):
                 if not odd.isdisjoint(p):
-                    at[k] = [self.at[x, int(i > 0)] for i, x in enumerate(_CUT.split(texts[k]))]
-        if self.at.new:
-            self._learn()
+                    at[k] = [memo.at[x, int(i > 0)] for i, x in enumerate(_CUT.split(texts[k]))]
+        if memo.at.new:
+            memo.learn()
+        for k in odd:  # never found again: each text that has it is cut with care
+            del memo.at[k]
         n = np.fromiter(map(len, at), np.int64, len(at))
-        at = np.fromiter((i for p in at for i in p), np.int64, int(n.sum()))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.start[at] - (ends - size), size)
-        where += np.arange(total)
-        ids = self.ids[where]
-        text_ends = np.concatenate([[0], ends])[np.cumsum(n)]
+        ids, size = memo.gather(np.fromiter((i for p in at for i in p), np.int64, int(n.sum())))
+        text_ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n)]
         return ids, np.diff(np.concatenate([[0], text_ends]))
 
 
