@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.llm import bpe, chat, exact_dedup, mixing, ngram_join, sharding, token_file, toxicity
+from tramo.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, pivot_index, sharding, token_file, toxicity
 from tramo.llm.staging import stage
 
 
@@ -67,6 +67,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Join(k=3, percent=90))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -79,8 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_sharding": op9_sharding,
+    "op10_pivot_index": op10_pivot_index,
 }
 
 
