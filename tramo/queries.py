@@ -1,10 +1,184 @@
-"""Queries of the library's own operators, with SQL for the same rows."""
+"""Queries of the library's own operators over derived delivery orders, with SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tramo import oracles as O
+from tramo.functions import exprs as X
+from tramo.functions.wstats import weighted_median, with_recency
+from tramo.operators import diagnostics, enrich, ml, priors
+from tramo.operators.split import temporal_split
+from tramo.params import DEFAULT
+from tramo.plans import legacy
+from tramo.plans.delivery import Delivery, order_predictions
+from tramo.sources import fixture
+from tramo.sources.routes import DetourRoutes
+from tramo.streaming.score import score_t3
+from tramo.tables import stage
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLACES = 6
+WORST_ZONES = ("Z0", "Z1", "Z2", "Z3", "Z4", "Z5")
+
+
+def delivery(spark: SparkSession, sf_dir: str, **changes) -> Delivery:
+    # the derived orders stand for a table that would be read; every table that is used more than once is written
+    d = stage(fixture.deliveries(spark, sf_dir), "deliveries")
+    order, shop, vertical = fixture.prep_tables(spark, d)
+    return Delivery(d, replace(DEFAULT, **changes), prep_order=order, prep_shop=shop, prep_vertical=vertical, keep=stage)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(c), PLACES).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Callable[[Delivery], DataFrame]], Query]:
+    """A query over a Delivery; sql: its rows, with doubles as they come."""
+
+    def wrap(f: Callable[[Delivery], DataFrame]) -> Query:
+        QUERIES[name] = query = lambda spark, sf_dir: rounded(f(delivery(spark, sf_dir)))
+        if sql is not None:
+            # columns are rounded here, in whatever type they are, as on the other side
+            ORACLE_SQL[name] = sql
+        return query
+
+    return wrap
+
+
+def cols(df: DataFrame, names: str) -> DataFrame:
+    return df.select(*names.split())
+
+
+def sql(names: str, source: str, **doubles: str) -> str:
+    """Select names from a named expression; those written with a ~ are rounded; doubles: rounded expressions."""
+    out = [f"round({n[1:]}, {PLACES}) as {n[1:]}" if n[0] == "~" else n for n in names.split()] + [f"round({x}, {PLACES}) as {n}" for n, x in doubles.items()]
+    return O.query(f"select {', '.join(out)} from {source}")
+
+
+def both(name: str, names: str, source: str) -> Callable[[Callable[[Delivery], DataFrame]], Query]:
+    """The same columns from the plan and from a named expression."""
+    plain = names.replace("~", "")
+    return lambda f: register(name, sql(names, source))(lambda d: cols(f(d), plain))
+
+
+both("leg_minutes", "order_id ~t1_actual_min ~t2_actual_min ~t3_actual_min ~ETA_actual_min ~t2a_actual_min ~t2b_actual_min order_hr_ksa pickup_hr_ksa dow is_peak stack_bkt", "c_legs")(lambda d: d.legs)
+both("haversine_km", "order_id ~t3_dist_haversine_km", "c_legs")(lambda d: d.legs)
+both("dist_bin", "order_id t2_dist_bin t3_dist_bin", "c_legs")(lambda d: d.legs)
+both("coord_qa", "order_id t3_coord_flag t3_coord_reason", "c_legs")(lambda d: d.legs)
+register("coord_qa_counts", O.query("select t3_coord_reason, count(*) as n from c_legs group by all"))(lambda d: d.legs.groupBy("t3_coord_reason").agg(F.count(F.lit(1)).alias("n")))
+register("dist_bin_cut", O.query(f"select order_id, {O.dist('t3_osrm_distance_km - 1')} as bin from c_d"))(lambda d: d.orders.select("order_id", X.dist_cut(F.col("t3_osrm_distance_km") - 1).alias("bin")))
+
+both("t2a_cells", "zone_name_en pickup_hr_ksa dist_bin ~ratio_p50 n", "c_t2a_cells")(lambda d: d.t2a_cells)
+both("t3_cells", "zone_name_en pickup_hr_ksa dist_bin ~ratio_p50 n", "c_t3_cells")(lambda d: d.t3_cells)
+SMOOTHED = "zone_name_en pickup_hr_ksa dist_bin is_peak ~ratio_cell n_cell ~parent_ratio parent_n parent_level ~ratio_prior n_prior ~ratio_smoothed"
+both("t2a_smoothed", SMOOTHED, "c_t2a_smoothed")(lambda d: d.t2a_smoothed)
+
+
+def _with_external(d: Delivery, mode: str) -> DataFrame:
+    ext = d.t3_cells.where("pickup_hr_ksa % 3 = 0").select("zone_name_en", F.col("pickup_hr_ksa").alias("pickup_hr"), "dist_bin", (0.5 + F.col("pickup_hr_ksa") / 10.0).alias("ratio"), F.lit(40).cast("long").alias("n_cell"))
+    return replace(d, t3_prior=ext, p=replace(d.p, prior_mode=mode)).t3_smoothed
+
+
+both("t3_smoothed_balanced", SMOOTHED, "c_t3_balanced")(lambda d: _with_external(d, "balanced"))
+both("t3_smoothed_reference", SMOOTHED, "c_t3_reference")(lambda d: _with_external(d, "reference"))
+both("t2a_lookup", "order_id ~t2a_ratio_p50 t2a_ratio_src t2a_n_cell ~T2a_P50", "c_t2a")(lambda d: d.t2a)
+both("t3_lookup", "order_id ~t3_ratio_p50 t3_ratio_source ~T3_osrmratio_P50", "c_t3_alone")(lambda d: d.add_t3(d.legs))
+both("t3_baseline", "zone_name_en pickup_hr_ksa is_peak ~value_cell n_cell ~parent_value parent_n parent_level ~value_smoothed", "c_baseline")(lambda d: d.t3_baseline)
+both("t3_baseline_lookup", "order_id t3_pred_mode ~T3_base_P50 t3_ratio_source_fallback", "c_t3_alone")(lambda d: d.add_t3(d.legs))
+both("dwell_smoothed", "zone_name_en pickup_hr_ksa ~dwell_cell n_cell ~dwell_parent n_parent ~dwell_smoothed", "c_dwell")(lambda d: d.dwell[0])
+both("t4_dwell", "order_id ~T4_dwell_P50 dwell_source", "c_t4_only")(lambda d: d.add_t4(d.legs))
+both("t2b_cells", "shop_id sub_vertical_name pickup_hr_ksa dow ~value_p50 n", "c_t2b_cells")(lambda d: d.t2b_cells)
+VALUES = "shop_id sub_vertical_name pickup_hr_ksa dow ~value_cell n_cell ~parent_value parent_n parent_level ~value_smoothed"
+both("t2b_smoothed", VALUES, "c_t2b_smoothed")(lambda d: d.t2b_smoothed)
+both("prior_order", "shop_id sub_vertical_name pickup_hr_ksa dow ~prior_p50 n_prior", "c_prior_order")(lambda d: d.prep_priors[0][0])
+both("prior_shop", "shop_id pickup_hr_ksa dow ~prior_p50 n_prior", "c_prior_shop")(lambda d: d.prep_priors[1][0])
+both("prior_vertical", "sub_vertical_name pickup_hr_ksa dow ~prior_p50 n_prior", "c_prior_vertical")(lambda d: d.prep_priors[2][0])
+both("t2b_blend", VALUES + " ~prior_p50 n_prior", "c_blend")(lambda d: d.t2b_blend)
+both("t2b_blend_reference", VALUES + " ~prior_p50 n_prior", "c_blend_reference")(lambda d: replace(d, p=replace(d.p, prior_relax="reference")).t2b_blend)
+both("t2b_lookup", "order_id ~t2b_value_p50 t2b_value_src t2b_n_cell ~T2b_P50 ~T2_P50", "c_t2")(lambda d: d.t2)
+both("temporal_split", "order_id is_train", "c_split")(lambda d: temporal_split(d.legs, "order_created_ksa", "order_id", d.p.train_share))
+both("t2_bias_map", "zone_name_en pickup_hr_ksa stack_bkt ~bias_cell n_cell ~parent_bias parent_level ~bias_smoothed", "c_bias")(lambda d: d.bias_map)
+both("t2_bias_apply", "order_id ~T2_bias_corr ~T2_P50_CORR", "c_corr")(lambda d: d.add_bias(d.t2))
+both(
+    "eta_predictions",
+    "order_id zone_name_en pickup_hr_ksa is_peak dow stack_bkt ~T1_P50 ~t1_actual_min ~T2a_P50 ~t2a_ratio_p50 t2a_ratio_src t2a_n_cell ~T2b_base_P50 ~T2b_P50 t2b_n_cell ~t2a_actual_min ~t2b_actual_min ~T2_P50 ~T2_bias_corr "
+    "~T2_P50_CORR ~t2_actual_min t3_coord_flag t3_coord_reason ~t3_dist_haversine_km t3_pred_mode t3_ratio_source t3_ratio_source_fallback ~T3_osrmratio_P50 ~T3_base_P50 ~T4_dwell_P50 ~T3_P50 ~t3_actual_min ~ETA_P50 ~ETA_P50_CORR ~ETA_actual_min",
+    "c_eta",
+)(lambda d: order_predictions(d.predictions))
+
+
+def _leg_sql() -> str:
+    from tramo.operators.diagnostics import LEGS
+    from tramo.params import METRIC_RANGES
+
+    one = "select '{0}' as leg, count(*) as rows, round(avg(abs({1} - {2})), 6) as MAE, round(median(abs({1} - {2})), 6) as Median_AE from c_eta where {1} between {3} and {4}"
+    return O.query(" union all ".join(one.format(leg, a, p, *METRIC_RANGES[k]) for leg, a, p, k in LEGS))
+
+
+register("leg_diagnostics", _leg_sql())(lambda d: diagnostics.by_leg(d.predictions))
+_ZH = "select zone_name_en, pickup_hr_ksa, count(*) as rows, round(avg(abs(ETA_actual_min - {0})), 6) as MAE, round(median(abs(ETA_actual_min - {0})), 6) as Median_AE from c_eta where zone_name_en is not null and pickup_hr_ksa is not null group by all"
+register("zone_hour_diagnostics", O.query(_ZH.format("ETA_P50")))(lambda d: diagnostics.by_zone_hour(d.predictions))
+register("zone_hour_diagnostics_corrected", O.query(_ZH.format("ETA_P50_CORR")))(lambda d: diagnostics.by_zone_hour(d.predictions, "ETA_P50_CORR"))
+_SHARE = "round(100 * avg(case when {0} then 1e0 else 0e0 end), 6) as {1}"
+register("coverage", O.query("select " + ", ".join(_SHARE.format(c, n) for c, n in (("t2a_n_cell >= 25", "t2a_pct"), ("t2b_n_cell >= 25", "t2b_pct"), ("abs(T2_bias_corr) >= 0.5", "bias_pct"))) + " from c_corr"))(lambda d: diagnostics.coverage(d.add_bias(d.t2)))
+_BAND = "select '{0}' as band, count(*) filter (abs(ETA_actual_min - ETA_P50_CORR) {1}) as orders, round(count(*) filter (abs(ETA_actual_min - ETA_P50_CORR) {1}) * 100e0 / count(abs(ETA_actual_min - ETA_P50_CORR)), 6) as pct from c_eta"
+register("error_bands", O.query(" union all ".join(_BAND.format(b, b.replace("<=", "<= ").replace(">", "> ")) for b in ("<=2", "<=5", "<=10", "<=15", ">15"))))(lambda d: diagnostics.error_bands(d.predictions))
+
+register("recency_weights", O.query("select order_id, round(exp(-ln(2e0) / 21e0 * greatest((max(accepted_s) over () - accepted_s) / 86400e0, 0e0)), 6) as w from c_d where accepted_s is not null union all select order_id, 0e0 as w from c_d where accepted_s is null"))(
+    lambda d: with_recency(d.orders, F.col("last_accepted_ksa"), 21.0).select("order_id", "w")
+)
+O.weighted_median("c_wm_zone", "c_t3_wrows", ["zone_name_en"], "ratio", "w", "ratio_p50", "n")
+O.weighted_median("c_wm_all", "c_t3_wrows", [], "ratio", "w", "ratio_p50", "n")
+register("weighted_median", O.query("select zone_name_en, round(ratio_p50, 6) as ratio_p50, n from c_wm_zone union all select 'all' as zone_name_en, round(ratio_p50, 6) as ratio_p50, n from c_wm_all"))(lambda d: _weighted(d))
+
+
+def _weighted(d: Delivery) -> DataFrame:
+    ok = "t3_actual_min between 0.5 and 180 and t3_osrm_duration_min between 0.2 and 150 and t3_coord_flag = 0 and t3_osrm_distance_km is not null and pickup_hr_ksa is not null and zone_name_en is not null"
+    rows = d.legs.where(ok).withColumn("ratio", F.col("t3_actual_min") / F.col("t3_osrm_duration_min"))
+    rows = with_recency(rows, F.coalesce("pickup_departure_ksa", "order_created_ksa"), 21.0)
+    one = weighted_median(rows, [], "ratio", "w", "ratio_p50", "n").select(F.lit("all").alias("zone_name_en"), "ratio_p50", "n")
+    return weighted_median(rows, ["zone_name_en"], "ratio", "w", "ratio_p50", "n").unionByName(one)
+
+
+def _enriched(d: Delivery) -> DataFrame:
+    return enrich.enrich(d.orders, DetourRoutes())
+
+
+_CAL = "select hr_ as pickup_hr_ksa, zone_name_en, {bin} as dist_bin, round(median({leg}_ratio), 6) as ratio_p50, round(quantile_cont({leg}_ratio, 0.85), 6) as ratio_p85, count(*) as n, round(median({leg}_km), 6) as osrm_km_p50, round(median({leg}), 6) as actual_min_p50 from c_e3 where hr_ is not null and zone_name_en is not null and {leg}_km < 1e9 and {leg}_ratio is not null group by all"
+register("swap_repair", O.query("select order_id, round(pickup_lat, 6) as pickup_lat, round(pickup_lon, 6) as pickup_lon, round(dropoff_lat, 6) as dropoff_lat, round(dropoff_lon, 6) as dropoff_lon from c_e1"))(lambda d: cols(X.repair_swaps(enrich.legs(d.orders), enrich.COORDS), "order_id pickup_lat pickup_lon dropoff_lat dropoff_lon"))
+register("route_pairs_distinct", O.query("select pair_key from (select t2_pair_key as pair_key from c_e2 union select t3_pair_key from c_e2) x where pair_key is not null"))(lambda d: enrich.distinct_pairs(enrich.keyed(enrich.legs(d.orders))).select("pair_key"))
+_ATT = ", ".join(f"round({leg}_dur, 6) as {leg}_osrm_duration_min, round({leg}_km, 6) as {leg}_osrm_distance_km, round({leg}_ratio, 6) as ratio_actual_over_osrm_{leg}" for leg in ("t2", "t3"))
+register("route_attach", O.query(f"select order_id, {_ATT} from c_e3"))(lambda d: cols(_enriched(d), "order_id t2_osrm_duration_min t2_osrm_distance_km ratio_actual_over_osrm_t2 t3_osrm_duration_min t3_osrm_distance_km ratio_actual_over_osrm_t3"))
+register("calib_t1", O.query("select cast(((created_s + 10800) // 3600) % 24 as int) as pickup_hr_ksa, zone_name_en, round(median(t1), 6) as t1_p50, round(quantile_cont(t1, 0.85), 6) as t1_p85, count(*) as n from c_e1 where t1 is not null and zone_name_en is not null group by all"))(lambda d: enrich.calibrate_t1(enrich.legs(d.orders)))
+register("calib_t2", O.query(_CAL.format(leg="t2", bin=O.dist("t2_km"))))(lambda d: enrich.calibrate_ratios(_enriched(d), "t2"))
+register("calib_t3", O.query(_CAL.format(leg="t3", bin=O.dist("t3_km"))))(lambda d: enrich.calibrate_ratios(_enriched(d), "t3"))
+
+both("guard_mean", "zone_name_en is_peak stack_bkt ~guard_mean", "c_guard")(lambda d: legacy.guard_means(d.t2a))
+_ADJ = "select f.order_id, round(case when f.zone_name_en in ('Z0', 'Z1', 'Z2', 'Z3', 'Z4', 'Z5') and f.is_peak = 1 and g.guard_mean > 0 then 0.7e0 * g.guard_mean else 0e0 end, 6) as guard_adj from c_legs f left join c_guard g on g.zone_name_en = f.zone_name_en and g.is_peak = f.is_peak and g.stack_bkt = f.stack_bkt"
+register("guard_adjust", O.query(_ADJ))(lambda d: cols(legacy.guard_adjust(d.legs, legacy.guard_means(d.t2a), WORST_ZONES), "order_id guard_adj"))
+_STAT = "select cast(mbo_chain_id as varchar) as mbo_chain_id, round(median(prep_time_min), 6) as prep_shop_p50, round(quantile_cont(prep_time_min, 0.25), 6) as prep_shop_p25, round(quantile_cont(prep_time_min, 0.75), 6) as prep_shop_p75, count(*) as prep_shop_cnt, round(quantile_cont(prep_time_min, 0.75) - quantile_cont(prep_time_min, 0.25), 6) as prep_shop_iqr from c_po0 join (select order_id, mbo_chain_id from c_d) o using (order_id) group by 1"
+register("shop_prep_stats", O.query(_STAT))(lambda d: legacy.shop_prep_stats(d.prep_order, d.orders))
+
+
+def _gbt_t1(d: Delivery) -> DataFrame:
+    rows = d.legs.where("t1_actual_min between 0 and 60")
+    return ml.fit(rows, ml.t1_spec(max_iter=5), d.p.min_train_t1).predict(d.legs, "T1_P50").select("order_id", "T1_P50")
+
+
+def _gbt_t2b(d: Delivery) -> DataFrame:
+    rows = d.t2.where("t2b_actual_min is not null").withColumn("t2b_resid", X.clip(F.col("t2b_actual_min") - F.col("T2b_base_P50"), -10.0, 30.0))
+    train = temporal_split(rows, "order_created_ksa", "order_id", d.p.train_share).where("is_train").select(*sorted({*ml.T2B_CAT, *ml.T2B_NUM}), "t2b_resid")
+    out = ml.fit(stage(train, "train"), ml.t2b_spec(max_iter=5), d.p.min_train_resid).predict(d.t2, "T2b_resid_P50")
+    return out.select("order_id", X.gate_resid(F.col("T2b_resid_P50")).alias("T2b_resid_gated"))
+
+
+register("gbt_t1")(_gbt_t1)
+register("gbt_t2b_resid")(_gbt_t2b)
+register("score_t3_static", O.query("select order_id, round(case when t3_coord_flag = 1 then T3_base_P50 else T3_osrmratio_P50 end, 6) as T3_base_P50, case when t3_coord_flag = 1 then t3_ratio_source_fallback else t3_ratio_source end as source from c_t3_alone"))(lambda d: score_t3(d.orders, d.t3_smoothed, d.t3_baseline, d.p))
