@@ -1,38 +1,16 @@
-"""Tables written to the shared folder, so that lineage is cut and a lost executor costs no rerun of what went before."""
+"""Staged tables, size-checked broadcasts and batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-_own: dict[str, str] = {}
-
+from tramo.tables import new_folder, stage
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where a single JVM runs everything."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tramo-"))
+__all__ = ["drop_folder", "drop_staged", "lower_ascii", "new_folder", "small", "small_batches", "stage"]
 
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df and return what reads it back."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
