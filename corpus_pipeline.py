@@ -14,7 +14,7 @@ from tramo.llm.staging import stage
 #: Near copies: five-word shingles, a similarity of 0.8 or more.
 NEAR = ngram_join.Join(k=5, percent=80)
 #: Copies have just been removed, so no document is taken twice.
-ONE_EPOCH = replace(MIX, max_epochs=1)
+ONE_EPOCH = replace(MIX, max_epochs=1, levels=("_domain", "lang", "source"), tokens="_n_tokens", epoch="_epoch", taken="_taken")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes; of each leaf's last one only the words that its budget has room for."""
-    taken = mixing.select(with_domain(docs).withColumn("n_tokens", mixing.n_words(F.col("text"))), ONE_EPOCH)
-    cut = F.col("take_tokens") < F.col("n_tokens")
-    text = mixing.prefix(F.col("text"), F.col("take_tokens"), F.col("n_tokens"))
+    taken = mixing.select(with_domain(docs, "_domain").withColumn("_n_tokens", mixing.n_words(F.col("text"))), ONE_EPOCH)
+    cut = F.col("_taken") < F.col("_n_tokens")
+    text = mixing.prefix(F.col("text"), F.col("_taken"), F.col("_n_tokens"))
     return taken.withColumns({"text": text, "n_chars": F.when(cut, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 

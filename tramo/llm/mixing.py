@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,10 @@ class Mixture:
     seed: str = "17"
     #: Aimed rows in a bucket of the seeded order.
     bucket_rows: int = 50_000
-    domains: dict[str, str] = field(default_factory=dict)
+    #: The column with a document's tokens, and the names of the columns that are added.
+    tokens: str = "n_tokens"
+    epoch: str = "epoch"
+    taken: str = "take_tokens"
 
 
 def n_words(text: Column) -> Column:
@@ -104,9 +107,9 @@ def _bucket(key: Column, digits: int) -> Column:
 
 
 def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id") -> tuple[DataFrame, int]:
-    """docs has the levels and n_tokens. By leaf: alloc, whole epochs, tokens of the last one, and the bucket of the seeded order where those end."""
+    """docs has the levels and tokens. By leaf: alloc, whole epochs, tokens of the last one, and the bucket of the seeded order where those end."""
     levels = list(mix.levels)
-    base = stage(_leafed(docs, mix, id_col).where("n_tokens > 0").select(F.col(id_col).alias("id"), *[F.col(f"_{x}").alias(x) for x in levels], "n_tokens"), "mix")
+    base = stage(_leafed(docs, mix, id_col).where(F.col(mix.tokens) > 0).select(F.col(id_col).alias("id"), *[F.col(f"_{x}").alias(x) for x in levels], F.col(mix.tokens).alias("n_tokens")), "mix")
     digits = min(7, max(2, math.ceil(math.log(max(1, base.count() / mix.bucket_rows), 16))))
     leaves = stage(base.groupBy(*levels).agg(F.sum("n_tokens").alias("supply")), "leaves")
     got = stage(budgets(leaves, mix).withColumns({"full": F.expr("alloc div supply"), "rest": F.expr("alloc % supply")}), "alloc")
@@ -119,21 +122,21 @@ def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id") -> tuple[DataFra
 
 
 def select(docs: DataFrame, mix: Mixture, id_col: str = "doc_id") -> DataFrame:
-    """docs (with the levels and n_tokens) as often as it is taken: all its columns, epoch and take_tokens.
+    """docs (with the levels and tokens) as often as it is taken: all its columns, epoch and take_tokens.
 
     Documents without tokens are never taken; null levels count as the name ''. Rows with the same id and epoch tie and
-    are ordered by their tokens. Each document is moved only if it is in the bucket where its leaf's budget ends.
+    are ordered by their tokens. Columns of docs with the names of the added ones are replaced. Each document is moved only if it is in the bucket where its leaf's budget ends.
     """
-    levels, cols = list(mix.levels), list(docs.columns)
+    levels, cols = list(mix.levels), [c for c in docs.columns if c not in (mix.epoch, mix.taken)]
     leaf, digits = plan(docs, mix, id_col)
     leaf = small(leaf.select(*[F.col(x).alias(f"_{x}") for x in levels], F.col("full").alias("_full"), F.col("rest").alias("_rest"), F.col("end").alias("_end"), F.col("before").alias("_before")))
-    rows = _leafed(docs, mix, id_col).where("n_tokens > 0").join(leaf, [f"_{x}" for x in levels])
+    rows = _leafed(docs.select(*cols), mix, id_col).where(F.col(mix.tokens) > 0).join(leaf, [f"_{x}" for x in levels])
     rows = rows.withColumn("_key", _order(mix, id_col, F.col("_full"))).withColumn("_bucket", _bucket(F.col("_key"), digits))
     times = F.col("_full") + F.when(F.col("_bucket") < F.col("_end"), 1).otherwise(0)
-    whole = rows.where(times > 0).select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("epoch"), F.col("n_tokens").alias("take_tokens"))
-    w = Window.partitionBy(*[f"_{x}" for x in levels]).orderBy("_key", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("_bucket = _end").withColumn("_room", F.col("_rest") - F.col("_before") - F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).where("_room > 0")
-    return whole.unionByName(edge.select(*cols, F.col("_full").alias("epoch"), F.least("n_tokens", "_room").alias("take_tokens")))
+    whole = rows.where(times > 0).select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias(mix.epoch), F.col(mix.tokens).alias(mix.taken))
+    w = Window.partitionBy(*[f"_{x}" for x in levels]).orderBy("_key", id_col, mix.tokens).rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where("_bucket = _end").withColumn("_room", F.col("_rest") - F.col("_before") - F.coalesce(F.sum(mix.tokens).over(w), F.lit(0))).where("_room > 0")
+    return whole.unionByName(edge.select(*cols, F.col("_full").alias(mix.epoch), F.least(mix.tokens, "_room").alias(mix.taken)))
 
 
 def prefix(text: Column, taken: Column, all_tokens: Column) -> Column:

@@ -29,6 +29,8 @@ class Index:
     prefix: int = 8
     shared: int = 2
     cosine: float = 0.98
+    #: No pivot is as near to another as this: near vectors would be told apart by which of them they are nearest to.
+    apart: float = 0.8
     #: Vectors of a list that are compared at once, at most about twice as many.
     block: int = 1024
 
@@ -66,7 +68,7 @@ def choose_pivots(vectors: DataFrame, index: Index) -> np.ndarray:
     x = np.unique(_unit(x), axis=0)
     at = [0]
     near = x @ x[0]
-    while len(at) < min(index.pivots, len(x)):
+    while len(at) < min(index.pivots, len(x)) and near.min() < index.apart:
         at.append(int(near.argmin()))
         near = np.maximum(near, x @ x[at[-1]])
     return x[at]

@@ -24,9 +24,9 @@ MIX = mixing.Mixture(
 )
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     number = F.coalesce(F.regexp_extract("source", r"^src(\d{1,6})$", 1).try_cast("int"), F.lit(99))
-    return docs.withColumn("domain", F.when(number <= 11, "web").when(number <= 16, "books").otherwise("reference"))
+    return docs.withColumn(name, F.when(number <= 11, "web").when(number <= 16, "books").otherwise("reference"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
