@@ -9,7 +9,8 @@ if it may link with a larger band's sets, the next one's.
 Sets that share a sketch are compared with the first and the last of them; what links is joined to components. Only where
 a sketch still has sets of several components are all pairs between these compared, in blocks of bounded size. Each
 comparison starts with bit sketches, whose Hamming distance is never more than the symmetric difference; what passes is
-verified on the texts. So no link between components is lost, and no group is written out as pairs.
+verified on the texts. Between components, first only the nearest pairs that would join those of a block are verified,
+then whatever is left. So no link between components is lost, and no group is written out as pairs.
 """
 
 from __future__ import annotations
@@ -228,8 +229,26 @@ def verify(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     return stage(both.mapInArrow(run, _PAIR), "verified")
 
 
-def _between_components(join: Join):
-    """Over rows sorted by cell: pairs of different components in a cell that sizes and bit sketches allow."""
+def _between_components(join: Join, forest: bool):
+    """Over rows sorted by cell: pairs of different components in a cell that sizes and bit sketches allow.
+
+    forest: only as many as join a cell's components, nearest first; so never more than it has rows.
+    """
+
+    def joined(comp: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        for k in np.argsort(apart, kind="stable").tolist():
+            p, q = find(int(comp[a[k]])), find(int(comp[b[k]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                yield int(a[k]), int(b[k])
 
     def cell(rows: list[dict]) -> Iterator[tuple[int, int]]:
         top = max(r["band"] for r in rows)
@@ -239,14 +258,21 @@ def _between_components(join: Join):
         sk = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)
         n, comp, node, part = (np.array([r[c] for r in rows], np.int64) for c in ("n", "comp", "node", "part"))
         two = rows[0]["parts"] > 0  # of two blocks, only pairs between them
+        left, right, far = [], [], []
         for i in range(len(rows) - 1):
             j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= join.percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
             if two:
                 j = j[part[j] != part[i]]
             if len(j):
-                j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1) <= join.apart(n[i] + n[j])]
-                for x in node[j].tolist():
-                    yield min(int(node[i]), x), max(int(node[i]), x)
+                apart = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
+                near = apart <= join.apart(n[i] + n[j])
+                left.append(np.full(int(near.sum()), i))
+                right.append(j[near])
+                far.append(apart[near])
+        if left:
+            a, b, apart = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+            for i, j in joined(comp, a, b, apart) if forest else zip(a.tolist(), b.tolist(), strict=True):
+                yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[dict] = []
@@ -265,6 +291,19 @@ def _between_components(join: Join):
     return run
 
 
+def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, forest: bool) -> DataFrame:
+    """Pairs between the components that share a key; shared: key, node, m (the key's rows)."""
+    named = shared.select("key", "node", "m").join(comp, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("comp"))
+    named = stage(named, "named")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    rows = named.join(mixed, "key").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("long") - 1)
+    rows = rows.withColumn("part", F.expr("pmod(xxhash64(node), parts + 1)"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts")), lambda j: F.least(j, F.col("part")) * F.lit(1 << 31) + F.greatest(j, F.col("part")))
+    rows = rows.withColumn("cell", F.explode(cells)).withColumn("parts", F.when(F.col("cell").bitwiseAND(F.lit((1 << 31) - 1)) == F.shiftright("cell", 31), 0).otherwise(F.col("parts")))
+    rows = rows.join(sets.withColumnRenamed("id", "node"), "node").select("key", "cell", "node", "comp", "part", "parts", "n", "band", "bits", "bits_next")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join, forest), _PAIR)
+
+
 def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -288,18 +327,12 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = verify(stage(_hamming_ok(stars, light, join), "stars"), rows, join)
     comp = components(links)
-    # where one key still has several components
-    named = shared.select("key", "node", "m").join(comp, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("comp"))
-    named = stage(named, "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    open_rows = named.join(mixed, "key").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("long") - 1)
-    open_rows = open_rows.withColumn("part", F.expr("pmod(xxhash64(node), parts + 1)"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts")), lambda j: F.least(j, F.col("part")) * F.lit(1 << 31) + F.greatest(j, F.col("part")))
-    open_rows = open_rows.withColumn("cell", F.explode(cells)).withColumn("parts", F.when(F.col("cell").bitwiseAND(F.lit((1 << 31) - 1)) == F.shiftright("cell", 31), 0).otherwise(F.col("parts")))
-    open_rows = open_rows.join(light.withColumnRenamed("id", "node"), "node").select("key", "cell", "node", "comp", "part", "parts", "n", "band", "bits", "bits_next")
-    found = open_rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join), _PAIR)
-    more = verify(stage(found.distinct(), "between"), rows, join)
-    comp = stage(components(links.union(more)), "components")
+    # where one key still has several components: first what joins them most nearly, then all that is left between them
+    for forest in (True, False):
+        found = stage(_open_pairs(shared, comp, light, join, forest).distinct(), "between")
+        links = links.union(verify(found, rows, join))
+        comp = components(links)
+    comp = stage(comp, "components")
     named = members.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     moved = stage(named.where("id <> component").distinct(), "moved")
     out = prof.select("id", "n").join(small(moved), "id", "left")
