@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramo.tables import scratch
+
 RARE = "_rare"
 T1_CAT = ("sub_vertical_name", "zone_name_en", "business_branch_name", "shop_id", "mbo_chain_id")
 T1_NUM = ("stacking_order_count", "accepted_courier_count", "rejected_courier_count", "pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon", "order_hr_ksa", "dow")
@@ -89,6 +91,9 @@ def fit(df: DataFrame, spec: Spec, least_rows: int = 0) -> Fitted:
         VectorAssembler(inputCols=[f"{c}_o" for c in c_in] + [f"{c}_f" for c in n_in], outputCol="_features"),
         GBTRegressor(featuresCol="_features", labelCol=spec.label, predictionCol="_pred", lossType="absolute", maxDepth=spec.max_depth, maxIter=spec.max_iter, minInstancesPerNode=spec.min_rows, stepSize=0.1, seed=spec.seed),
     ]
+    # without a folder to checkpoint to, the lineage grows with each tree
+    if not (context := df.sparkSession.sparkContext).getCheckpointDir():
+        context.setCheckpointDir(scratch(df.sparkSession))
     out.model = Pipeline(stages=stages).fit(out._prepared(df))
     return out
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -202,16 +202,22 @@ class Delivery:
         d = self.add_t4(self.add_t3(self.add_bias(self.t2)))
         return self.keep(self.add_eta(self.add_t1(d)), "predictions")
 
-    def fit_models(self, t1_iter: int = 600, t2b_iter: int = 500) -> Delivery:
-        """The same with fitted models of the first leg and of the waiting leg's residual; keep should write tables here."""
-        t1 = ml.fit(self.legs.where("t1_actual_min between 0 and 60"), ml.t1_spec(t1_iter), self.p.min_train_t1)
+    def fit_t1(self, trees: int = 600) -> ml.Fitted:
+        """The first leg's model; keep should write tables where models are fitted."""
+        return ml.fit(self.legs.where("t1_actual_min between 0 and 60"), ml.t1_spec(trees), self.p.min_train_t1)
+
+    def fit_t2b(self, trees: int = 500) -> ml.Fitted | None:
+        """The model of the waiting leg's residual, from the earlier share of its rows; None (a residual of 0) if all of them are too few."""
         d = self.t2.where("t2b_actual_min is not null and T2b_base_P50 is not null")
         d = d.withColumn("t2b_resid", X.clip(F.col("t2b_actual_min") - F.col("T2b_base_P50"), -10.0, 30.0))
-        t2b = None
-        if d.limit(self.p.min_train_resid).count() >= self.p.min_train_resid:
-            d = temporal_split(d, "order_created_ksa", "order_id", self.p.train_share).where("is_train")
-            t2b = ml.fit(d, ml.t2b_spec(self.p.leaky_features, t2b_iter))
-        return Delivery(self.orders, self.p, self.t3_prior, self.prep_order, self.prep_shop, self.prep_vertical, t1, t2b, self.keep)
+        if d.limit(self.p.min_train_resid).count() < self.p.min_train_resid:
+            return None
+        d = temporal_split(d, "order_created_ksa", "order_id", self.p.train_share).where("is_train")
+        return ml.fit(self.keep(d, "train"), ml.t2b_spec(self.p.leaky_features, trees))
+
+    def fit_models(self, t1_iter: int = 600, t2b_iter: int = 500) -> Delivery:
+        """The same with fitted models of the first leg and of the waiting leg's residual."""
+        return replace(self, t1_model=self.fit_t1(t1_iter), t2b_model=self.fit_t2b(t2b_iter))
 
 
 #: What is written for each order, as far as it exists.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tramo import oracles as O
 from tramo.functions import exprs as X
 from tramo.functions.wstats import weighted_median, with_recency
-from tramo.operators import diagnostics, enrich, ml, priors
+from tramo.operators import diagnostics, enrich, priors
 from tramo.operators.split import temporal_split
 from tramo.params import DEFAULT
 from tramo.plans import legacy
@@ -168,15 +168,11 @@ register("shop_prep_stats", O.query(_STAT))(lambda d: legacy.shop_prep_stats(d.p
 
 
 def _gbt_t1(d: Delivery) -> DataFrame:
-    rows = d.legs.where("t1_actual_min between 0 and 60")
-    return ml.fit(rows, ml.t1_spec(max_iter=5), d.p.min_train_t1).predict(d.legs, "T1_P50").select("order_id", "T1_P50")
+    return d.fit_t1().predict(d.legs, "T1_P50").select("order_id", "T1_P50")
 
 
 def _gbt_t2b(d: Delivery) -> DataFrame:
-    rows = d.t2.where("t2b_actual_min is not null").withColumn("t2b_resid", X.clip(F.col("t2b_actual_min") - F.col("T2b_base_P50"), -10.0, 30.0))
-    train = temporal_split(rows, "order_created_ksa", "order_id", d.p.train_share).where("is_train").select(*sorted({*ml.T2B_CAT, *ml.T2B_NUM}), "t2b_resid")
-    out = ml.fit(stage(train, "train"), ml.t2b_spec(max_iter=5), d.p.min_train_resid).predict(d.t2, "T2b_resid_P50")
-    return out.select("order_id", X.gate_resid(F.col("T2b_resid_P50")).alias("T2b_resid_gated"))
+    return replace(d, t2b_model=d.fit_t2b()).t2.select("order_id", "T2b_resid_gated")
 
 
 register("gbt_t1")(_gbt_t1)
