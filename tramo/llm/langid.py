@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import small_batches
+from tramo.llm.staging import small, small_batches, stage
 
-#: Hashed n-grams of 1 to 3 characters; documents sampled for a language; centroids for each; smallest cosine that isn't rejected.
+#: Hashed n-grams of 1 to 3 characters; distinct texts sampled for a language; centroids for each; smallest cosine that isn't rejected.
 DIMS, SAMPLE, CENTROIDS, NEAREST = 4096, 300, 4, 0.1
 UNKNOWN = "und"
 _HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -91,11 +91,26 @@ class Model:
         return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, np.clip(cosine.max(1), 0, 1), 0.0)
 
 
+def _key(text: str) -> Column:
+    return F.xxhash64(text, F.lit(3))
+
+
+def choose(rows: DataFrame, sample: int) -> DataFrame:
+    """rows: lang and key, the text's hash. The `sample` smallest keys of each language, copies counted once; all if there are no more."""
+    keys = stage(rows.select("lang", "key").distinct(), "keys")
+    sizes = F.broadcast(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))  # a row for each language
+    # hashes are even: a few times as many as wanted lie below the limit, and only those are ranked
+    share = F.lit(4.0 * sample + 100) / F.col("size")
+    low = keys.join(sizes, "lang").where((share >= 1) | (F.col("key").cast("double") < F.lit(-(2.0**63)) + share * F.lit(2.0**64)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    return stage(low.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "key"), "chosen")
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """docs: those to learn from; null texts and languages are left out.
 
-    Document frequencies count all of them. Centroids come from about `sample` documents of each language, chosen by a
-    hash of the text: that bounds what the driver gets, given the number of languages.
+    Document frequencies count all of them. Centroids come from `sample` distinct texts of each language, once each however
+    many copies there are (all texts if they are no more): that bounds what the driver gets, given the number of languages.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -113,21 +128,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r["gram"]] = r["n"]
     idf = np.log((df[DIMS] + 1) / (df[:DIMS] + 1)) + 0.1
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    odds = F.lit(0.0)
-    for lang, n in sizes.items():
-        odds = F.when(F.col("lang") == lang, F.lit(sample / n)).otherwise(odds)
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < odds * 1_000_000)
+    rows = rows.withColumn("key", _key("text"))
+    chosen = rows.join(small(choose(rows.select("lang", "key"), sample)), ["lang", "key"])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
+            names = list(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True))
+            new = [i for i, name in enumerate(names) if name not in seen and not seen.add(name)]
+            batch = batch.take(pa.array(new, pa.int64()))
             key, n = grams(texts := batch.column("text").to_pylist())
             cut = np.searchsorted(key, np.arange(len(texts) + 1) * DIMS).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (key % DIMS, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *lists], names=["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), *lists], names=["lang", "key", "at", "n"])
 
+    # each task gives a text once; of those of all tasks one is left
+    once = chosen.select("lang", "key", "text").mapInArrow(sparse, "lang string, key long, at array<int>, n array<int>").dropDuplicates(["lang", "key"])
     by: dict[str, list[np.ndarray]] = {}
-    for r in chosen.mapInArrow(sparse, "lang string, at array<int>, n array<int>").toLocalIterator():
+    for r in once.orderBy("lang", "key").toLocalIterator():
         v = np.zeros(DIMS, np.float32)
         v[r["at"]] = (1 + np.log(r["n"])) * idf[r["at"]] if r["at"] else 0
         if norm := np.linalg.norm(v):
