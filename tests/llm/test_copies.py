@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tramo.llm import langid
+from tramo.llm import exact_dedup, langid, ngram_join
 
 
 @pytest.mark.parametrize("texts", [20, 1])
@@ -16,3 +16,17 @@ def test_languages_of_copies_have_centroids(spark, texts):
     assert model.nearest(["sch ung pf ein ein", "kato miru toka"])[0] == ["yy", "xx"]
     chosen = langid.choose(d.select("lang", langid._key("text").alias("key")), 300)
     assert {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()} == {"xx": 300, "yy": texts}
+
+
+def test_exact_dedup_drops_rows_for_their_own_text(spark):
+    rows = [(None, "a"), (None, "b"), (14, "A"), (13, "a"), (13, "b c"), (15, "d"), (None, None)]
+    got = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(None, "b"), (14, "A"), (13, "b c"), (15, "d"), (None, None)} and len(got) == 5
+
+
+def test_ngram_join_drops_rows_for_their_own_text(spark):
+    near = " ".join(f"common{k}" for k in range(60))
+    rows = [(12, near + " end"), (13, near + " other"), (13, "quite another text of some words"), (None, near), (11, None), (14, near + " end"), (12, near + " end"), (15, "")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)), ngram_join.Join(3, 90)).collect()
+    want = [(12, near + " end"), (13, rows[2][1]), (None, near), (11, None), (12, near + " end"), (15, "")]
+    assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted(want, key=repr)

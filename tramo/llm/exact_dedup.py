@@ -7,10 +7,10 @@ which is frequent, are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import lower_ascii, small, stage
+from tramo.llm.staging import BROADCAST_ROWS, lower_ascii, small, stage
 
 #: Digests that are broadcast at most, and counters of the sketch; both bound what reaches the driver.
 HEAVY, COUNTERS = 64, 4096
@@ -37,8 +37,20 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heav
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows with a null id are dropped if their group has another."""
-    gone = stage(decide(docs, id_col, text_col).where(~F.col("kept")).select(id_col), "dropped")
-    null_ids = F.col(id_col).isNull()
-    kept = docs.join(small(gone.distinct()), id_col, "left_anti")
-    return kept if not gone.where(null_ids).limit(1).count() else kept.where(~null_ids)
+    """The rows of docs that stay, with all their columns. Rows with a null id are dropped if their group has another.
+
+    A row is dropped for its own text: other texts of its id, or other rows without an id, are not.
+    """
+    gone = decide(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.unhex("text_sha256").alias("_gone_digest"))
+    return without(docs, stage(gone.distinct(), "dropped"), id_col, sha256(lower_ascii(F.col(text_col))))
+
+
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """The rows of docs whose id (null equal to null) and digest aren't in gone: _gone_id and _gone_digest, staged."""
+    # a row is a few times as wide as an id
+    on = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest"))
+    return docs.join(small(gone, BROADCAST_ROWS // 4), on, "left_anti")

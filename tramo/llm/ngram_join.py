@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramo.llm.components import components
+from tramo.llm.exact_dedup import sha256, without
 from tramo.llm.staging import small, small_batches, stage
 
 #: Sets of one sketch that are compared at once, at most about twice as many.
@@ -340,6 +341,19 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of their class, with all their columns; null ids stay."""
-    gone = stage(classes(docs, join, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
-    return docs.join(small(gone), id_col, "left_anti")
+    """The rows of docs with the smallest id of their class, with all their columns; null ids stay.
+
+    An id with several texts is as many documents, each kept or dropped for its own text.
+    """
+    named, text = F.col(id_col).isNotNull(), sha256(F.coalesce(F.col(text_col), F.lit("")))
+    nodes = docs.where(named).select(F.col(id_col).cast("long").alias("id"), text.alias("digest")).distinct()
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    if not nodes.groupBy("id").count().where("count > 1").limit(1).count():
+        gone = stage(classes(docs, join, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+        return docs.join(small(gone), id_col, "left_anti")
+    one = docs.where(named).select(F.col(id_col).cast("long").alias("id"), text.alias("digest"), F.col(text_col).alias("text")).join(nodes, ["id", "digest"])
+    found = classes(stage(one.select("node", "text").dropDuplicates(["node"]), "texts"), join, "node", "text")
+    found = stage(found.select("node", "component_id").join(nodes, "node"), "classes")
+    least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+    gone = found.join(least, "component_id").where("id > least").select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    return without(docs, stage(gone, "dropped"), id_col, text)
