@@ -43,3 +43,16 @@ def test_residual_gate_counts_rows_before_the_split(spark, fits):
 def test_residual_is_0_where_rows_are_few(spark, fits):
     d = Q.delivery(spark, SF)
     assert {r.T2b_resid_gated for r in Q._gbt_t2b(replace(d, orders=d.orders.limit(300))).collect()} == {0.0} and not fits
+
+
+def test_fitted_estimate_uses_both_models(spark, monkeypatch):
+    t1, t2b = ml.t1_spec, ml.t2b_spec
+    asked = []
+    monkeypatch.setattr(ml, "t1_spec", lambda trees: asked.append(trees) or t1(2))
+    monkeypatch.setattr(ml, "t2b_spec", lambda leaky, trees: asked.append(trees) or t2b(leaky, 2))
+    got = Q.QUERIES["eta_predictions_fitted"](spark, SF).collect()
+    assert asked == [600, 500] and len(got) == 1500
+    assert len({r.T1_P50 for r in got}) > 1 and len({r.T2b_resid_gated for r in got}) > 1
+    for r in got:
+        assert r.T2b_base_P50 is None or r.T2b_P50 == pytest.approx(min(max(r.T2b_base_P50 + r.T2b_resid_gated, 0), 90), abs=1e-5)
+        assert r.ETA_P50 is None or r.ETA_P50 == pytest.approx(r.T1_P50 + r.T2_P50 + r.T3_P50, abs=1e-5)

@@ -177,4 +177,6 @@ def _gbt_t2b(d: Delivery) -> DataFrame:
 
 register("gbt_t1")(_gbt_t1)
 register("gbt_t2b_resid")(_gbt_t2b)
+# the whole estimate with both models; eta_predictions has neither
+register("eta_predictions_fitted")(lambda d: order_predictions(d.fit_models().predictions))
 register("score_t3_static", O.query("select order_id, round(case when t3_coord_flag = 1 then T3_base_P50 else T3_osrmratio_P50 end, 6) as T3_base_P50, case when t3_coord_flag = 1 then t3_ratio_source_fallback else t3_ratio_source end as source from c_t3_alone"))(lambda d: score_t3(d.orders, d.t3_smoothed, d.t3_baseline, d.p))
