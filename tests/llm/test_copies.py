@@ -1,9 +1,15 @@
-"""Tables with many copies, and ids that don't name one text."""
+"""Tables with many copies, ids that don't name one text, and other cases that small tables hide."""
 
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tramo.llm import exact_dedup, langid, ngram_join
+from tramo.llm import exact_dedup, langid, ngram_join, pivot_index, token_file
 
 
 @pytest.mark.parametrize("texts", [20, 1])
@@ -30,3 +36,20 @@ def test_ngram_join_drops_rows_for_their_own_text(spark):
     got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)), ngram_join.Join(3, 90)).collect()
     want = [(12, near + " end"), (13, rows[2][1]), (None, near), (11, None), (12, near + " end"), (15, "")]
     assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted(want, key=repr)
+
+
+def test_verified_pairs_count_with_one_shared_pivot():
+    row = {"label": 0, "pivot": 0, "cell": 0, "n": 1, "part": 0, "parts": 0}
+    rows = [row | {"node": 1, "vec": [1.0, 0.0], "near": [0, *range(1, 8)]}, row | {"node": 2, "vec": [1.0, 0.01], "near": [0, *range(8, 15)]}, row | {"node": 3, "vec": [0.0, 1.0], "near": [0, *range(8, 15)]}]
+    out = [r for b in pivot_index._compare(pivot_index.Index())(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert [(r["a"], r["links"], r["b"]) for r in out] == [(1, 1, None), (2, 1, None), (1, None, 2)]
+
+
+def test_token_files_of_the_query_equal_the_library_by_default(spark):
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a  b \n c <|endoftext|> \\ </s>", "x<|endoftext|>y", "<|endoftext|>", " <|endoftext|>  z <|endoftext|> ", "b\n <|endoftext|><|endoftext|> c", "<|endoftext |>", "plain words"]
+    got = token_file.encode_to_files(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}

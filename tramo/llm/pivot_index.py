@@ -1,9 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its nearest reference points (pivots), nearest first. Inverted lists hold, by label and pivot,
-the vectors that have the pivot in that prefix. Vectors of one list that share enough pivots are candidates; each pair is
-looked at in the list of the smallest pivot it shares only, and verified by its cosine in double precision. Equal vectors
-are one, counted with its copies. Long lists are compared in blocks of bounded size.
+Each vector is described by the set of its nearest reference points (pivots). Inverted lists hold, by label and pivot, the
+vectors that have the pivot in that set. Vectors of one list are candidates, verified by their cosine in double precision;
+each pair that passes counts in the list of the smallest pivot it shares, however many it shares. Equal vectors are one,
+counted with its copies. Long lists are compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from tramo.llm.staging import small, small_batches, stage
 
 @dataclass(frozen=True)
 class Index:
-    #: Reference points, chosen from about `sample` vectors; length of a prefix; pivots that candidates share at least.
+    #: Reference points, chosen from about `sample` vectors; the nearest of them that a vector is listed by.
     pivots: int = 256
     sample: int = 4096
     prefix: int = 8
-    shared: int = 2
     cosine: float = 0.98
     #: No pivot is as near to another as this: near vectors would be told apart by which of them they are nearest to.
     apart: float = 0.8
@@ -112,14 +111,11 @@ def _compare(index: Index):
         used = np.zeros((len(rows), int(near.max()) + 1), bool)
         r, c = np.nonzero(near >= 0)
         used[r, near[r, c]] = True
-        both = np.zeros(len(i), np.int64)
         least = np.zeros(len(i), np.int64)
         for a in range(0, len(i), 4096):
-            hit = used[i[a : a + 4096]] & used[j[a : a + 4096]]
-            both[a : a + 4096], least[a : a + 4096] = hit.sum(axis=1), hit.argmax(axis=1)
-        # fewer pivots than asked for: all that there are
-        enough = both >= min(index.shared, int((near >= 0).sum(axis=1).min()))
-        keep = enough & (least == pivot)
+            least[a : a + 4096] = (used[i[a : a + 4096]] & used[j[a : a + 4096]]).argmax(axis=1)
+        # every verified pair counts, once: in the list of the smallest pivot that both have
+        keep = least == pivot
         i, j = i[keep], j[keep]
         links = np.bincount(i, weights=n[j], minlength=len(rows)) + np.bincount(j, weights=n[i], minlength=len(rows))
         root = np.arange(len(rows))
