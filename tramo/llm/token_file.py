@@ -111,26 +111,27 @@ def read(source, size: int) -> Iterator[tuple[object, np.ndarray]]:
 _workers: dict[int, UnitEncoder] = {}
 
 
-def _encoder(tokenizer_json: str) -> UnitEncoder:
-    """One for each Python worker and tokenizer."""
-    key = zlib.crc32(tokenizer_json.encode())
+def _encoder(tokenizer_json: str, plain: bool) -> UnitEncoder:
+    """One for each Python worker, tokenizer and way to take added tokens."""
+    key = 2 * zlib.crc32(tokenizer_json.encode()) + plain
     if key not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = plain
         _workers[key] = UnitEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
     return _workers[key]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text", plain: bool = True) -> DataFrame:
     """Encode whole texts and write them in ascending order of their ids, a file for each range of ids.
 
     tokenizer: the path of a tokenizers library file with a byte-level pre-tokenizer and no normalizer, read by the driver.
     Each document ends with end_id. A null text is empty; null ids come first; rows with the same id are in the order of
     their texts. Returns the manifest, a row for each file: nr, path, n_docs, n_tokens. A task that runs again writes the
-    same file again; a file has its name only when it is whole.
+    same file again; a file has its name only when it is whole. plain: the names of special tokens in a text are text like
+    other text; False, as the library has it by default: each is its token.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
@@ -141,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0,
         target, base = fs.FileSystem.from_uri(folder)
         target.create_dir(base)
         path = f"{base}/part-{task.partitionId():06d}"
-        encoder, n_docs = _encoder(spec), 0
+        encoder, n_docs = _encoder(spec, plain), 0
         with target.open_output_stream(own := f"{path}.{task.taskAttemptId()}.tmp") as out:
             writer = Writer(out, bits)
             for batch in batches:
@@ -202,4 +203,5 @@ def tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def encode_to_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    return read_index(write(docs, tokenizer, folder or new_folder(spark, "tokens"), end_id))
+    """The index of the files, with ids as the tokenizers library gives them by default."""
+    return read_index(write(docs, tokenizer, folder or new_folder(spark, "tokens"), end_id, plain=False))
