@@ -1,9 +1,9 @@
-"""Weighted medians and recency weights that need no group in one task."""
+"""Weighted medians, quantiles and recency weights that need no group in one task."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +51,45 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     return got.select(*keys, F.coalesce(out, "_last").alias(out), n)
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], width: float = 1 / 16) -> DataFrame:
+    """By keys the interpolated quantiles of columns; wanted: for each name the column and the share (0.5: the median).
+
+    Nulls are left out; keys without any value have no row (without keys there is one row always). Rows are counted by
+    bins of `width`, then by value in the one or two bins where the ranks lie, both with partial sums, as in
+    weighted_median. NaN is the largest value.
+    """
+    keys = list(keys)
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)])
+    rows = df.select(*keys, F.explode(slots).alias("_x")).select(*keys, F.col("_x.slot").alias("_slot"), F.col("_x.v").alias("_v")).where("_v is not null")
+    rows = rows.withColumn("_bin", F.when(F.isnan("_v"), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col("_v") / width)))
+    # by name: its slot, and the ranks from 0 between which it lies
+    at = {name: (F.col("_slot") == columns.index(c), (F.col("_t") - 1) * F.lit(float(q))) for name, (c, q) in wanted.items()}
+    holds = lambda rank: (rank >= F.col("_c") - F.col("_n")) & (rank < F.col("_c"))
+    own = Window.partitionBy(*keys, "_slot")
+    up = own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy(*keys, "_slot", "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_c": F.sum("_n").over(up), "_t": F.sum("_n").over(own)})
+    bins = bins.where(reduce(lambda a, b: a | b, [slot & (holds(F.floor(x)) | holds(F.ceil(x))) for slot, x in at.values()]))
+    bins = bins.select(*keys, "_slot", "_bin", (F.col("_c") - F.col("_n")).alias("_before"), "_t")
+    # without keys there are two bins a name at most
+    inside = join_keys(rows, bins if keys else F.broadcast(bins), [*keys, "_slot", "_bin"], "inner")
+    values = inside.groupBy(*keys, "_slot", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_t").alias("_t"))
+    up = Window.partitionBy(*keys, "_slot", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_c", F.sum("_n").over(up) + F.col("_before"))
+    ends = [F.max(F.when(slot & holds(end(x)), F.struct("_v", (x - F.floor(x)).alias("part")))).alias(f"_{k}_{side}") for k, (slot, x) in enumerate(at.values()) for side, end in (("low", F.floor), ("high", F.ceil))]
+    got = values.groupBy(*keys).agg(*ends)
+    out = []
+    for k, name in enumerate(wanted):
+        low, high, part = F.col(f"_{k}_low._v"), F.col(f"_{k}_high._v"), F.col(f"_{k}_low.part")
+        out.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
+    return got.select(*keys, *out)
+
+
+def with_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], *aggs: Column) -> DataFrame:
+    """Aggregates of df by keys, and quantiles as quantiles gives them."""
+    return join_keys(df.groupBy(*keys).agg(*aggs), quantiles(df, keys, wanted), keys)
+
+
 def recency_weight(ts: Column, ref: Column, half_life_days: float) -> Column:
     """1 at ref, half of it half_life_days before; NULL times weigh nothing, and all weigh 1 if there is no ref."""
     days = (F.unix_micros(ref) - F.unix_micros(ts)) / F.lit(86400e6)

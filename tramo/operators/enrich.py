@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
+from tramo.functions.wstats import with_quantiles
 from tramo.params import ENRICH_RANGES
 from tramo.sources.routes import RouteProvider
 
@@ -55,7 +56,7 @@ def enrich(df: DataFrame, provider: RouteProvider) -> DataFrame:
 
 def calibrate_t1(df: DataFrame, zone: str = "Asia/Riyadh") -> DataFrame:
     d = df.select(X.hour_in(F.col("order_created_ksa"), zone).alias("pickup_hr_ksa"), "zone_name_en", "t1_actual_min").dropna()
-    return d.groupBy("pickup_hr_ksa", "zone_name_en").agg(F.median("t1_actual_min").alias("t1_p50"), F.percentile("t1_actual_min", 0.85).alias("t1_p85"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(d, ["pickup_hr_ksa", "zone_name_en"], {"t1_p50": ("t1_actual_min", 0.5), "t1_p85": ("t1_actual_min", 0.85)}, F.count(F.lit(1)).alias("n"))
 
 
 def calibrate_ratios(df: DataFrame, leg: str, zone: str = "Asia/Riyadh") -> DataFrame:
@@ -64,6 +65,5 @@ def calibrate_ratios(df: DataFrame, leg: str, zone: str = "Asia/Riyadh") -> Data
         X.hour_in(F.col("t3_start_ts"), zone).alias("pickup_hr_ksa"), "zone_name_en", X.dist_cut(F.col(f"{leg}_osrm_distance_km")).alias("dist_bin"),
         F.col(f"{leg}_osrm_distance_km").alias("km"), F.col(f"{leg}_actual_min").alias("actual"), F.col(f"ratio_actual_over_osrm_{leg}").alias("ratio"),
     ).where("pickup_hr_ksa is not null and zone_name_en is not null and dist_bin is not null and ratio is not null")
-    return d.groupBy("pickup_hr_ksa", "zone_name_en", "dist_bin").agg(
-        F.median("ratio").alias("ratio_p50"), F.percentile("ratio", 0.85).alias("ratio_p85"), F.count(F.lit(1)).alias("n"), F.median("km").alias("osrm_km_p50"), F.median("actual").alias("actual_min_p50")
-    )
+    wanted = {"ratio_p50": ("ratio", 0.5), "ratio_p85": ("ratio", 0.85), "osrm_km_p50": ("km", 0.5), "actual_min_p50": ("actual", 0.5)}
+    return with_quantiles(d, ["pickup_hr_ksa", "zone_name_en", "dist_bin"], wanted, F.count(F.lit(1)).alias("n"))

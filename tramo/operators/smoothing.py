@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
-from tramo.functions.wstats import SLACK, join_keys, weighted_median
+from tramo.functions.wstats import SLACK, join_keys, quantiles, weighted_median, with_quantiles
 
 
 @dataclass(frozen=True)
@@ -90,12 +90,12 @@ def t3_baseline(rows: DataFrame, n0: int) -> DataFrame:
 
 def dwell(rows: DataFrame, n0: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows: zone_name_en, pickup_hr_ksa, dwell_min. Smoothed minutes by zone and hour; by hour; overall (one row)."""
-    hours = rows.where("pickup_hr_ksa is not null").groupBy("pickup_hr_ksa").agg(F.median("dwell_min").alias("dwell_h"), F.count(F.lit(1)).alias("n_h"))
+    hours = with_quantiles(rows.where("pickup_hr_ksa is not null"), ["pickup_hr_ksa"], {"dwell_h": ("dwell_min", 0.5)}, F.count(F.lit(1)).alias("n_h"))
     full = rows.where("pickup_hr_ksa is not null and zone_name_en is not null")
-    cells = full.groupBy("zone_name_en", "pickup_hr_ksa").agg(F.median("dwell_min").alias("dwell_cell"), F.count(F.lit(1)).alias("n_cell"))
+    cells = with_quantiles(full, ["zone_name_en", "pickup_hr_ksa"], {"dwell_cell": ("dwell_min", 0.5)}, F.count(F.lit(1)).alias("n_cell"))
     m = cells.join(hours.select("pickup_hr_ksa", F.col("dwell_h").alias("dwell_parent"), F.col("n_h").alias("n_parent")), "pickup_hr_ksa")
     m = m.withColumn("dwell_smoothed", X.shrink(F.col("n_cell"), F.col("dwell_cell"), n0, F.col("dwell_parent")))
-    return m, hours, rows.agg(F.coalesce(F.median("dwell_min"), F.lit(0.0)).alias("dwell_g"))
+    return m, hours, quantiles(rows, [], {"dwell_g": ("dwell_min", 0.5)}).fillna(0.0)
 
 
 VALUE_LEVELS = (Level("val_svh", ("sub_vertical_name", "pickup_hr_ksa", "dow")), Level("val_hd", ("pickup_hr_ksa", "dow")), Level("val_g", ()))

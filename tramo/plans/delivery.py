@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
-from tramo.functions.wstats import weighted_median, with_recency
+from tramo.functions.wstats import quantiles, weighted_median, with_quantiles, with_recency
 from tramo.operators import lookup, ml, priors, smoothing
 from tramo.operators.split import temporal_split
 from tramo.params import DEFAULT, LIMITS, Params
@@ -56,7 +56,7 @@ def ratio_cells(df: DataFrame, leg: str, half_life: float) -> DataFrame:
 def value_cells(df: DataFrame) -> DataFrame:
     """Median waiting minutes by shop, vertical, hour and weekday."""
     d = df.where("t2b_actual_min between 0 and 90 and pickup_hr_ksa is not null")
-    return d.groupBy("shop_id", "sub_vertical_name", "pickup_hr_ksa", "dow").agg(F.median("t2b_actual_min").alias("value_p50"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(d, ["shop_id", "sub_vertical_name", "pickup_hr_ksa", "dow"], {"value_p50": ("t2b_actual_min", 0.5)}, F.count(F.lit(1)).alias("n"))
 
 
 def baseline_rows(df: DataFrame, half_life: float) -> DataFrame:
@@ -190,7 +190,7 @@ class Delivery:
     def add_t1(self, d: DataFrame) -> DataFrame:
         if self.t1_model:
             return self.t1_model.predict(d, "T1_P50")
-        one = self.legs.where("t1_actual_min between 0 and 60").agg(F.coalesce(F.median("t1_actual_min"), F.lit(5.0)).alias("T1_P50"))
+        one = quantiles(self.legs.where("t1_actual_min between 0 and 60"), [], {"T1_P50": ("t1_actual_min", 0.5)}).fillna(5.0)
         return d.crossJoin(F.broadcast(one))
 
     def add_eta(self, d: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
+from tramo.functions.wstats import with_quantiles
 from tramo.params import LIMITS
 
 N0_T2, N0_T3, N0_DWELL = 50, 30, 80
@@ -33,8 +34,8 @@ def guard_adjust(d: DataFrame, means: DataFrame, worst_zones: Sequence[str]) ->
 def shop_prep_stats(prep: DataFrame, orders: DataFrame) -> DataFrame:
     """By chain: median, quartiles, their distance and the count of order-level preparation minutes."""
     rows = prep.select("order_id", "prep_time_min").dropna().join(orders.select("order_id", F.col("mbo_chain_id").cast("string").alias("mbo_chain_id")).dropna(), "order_id")
-    p = lambda q: F.percentile("prep_time_min", q)
-    d = rows.groupBy("mbo_chain_id").agg(F.median("prep_time_min").alias("prep_shop_p50"), p(0.25).alias("prep_shop_p25"), p(0.75).alias("prep_shop_p75"), F.count("prep_time_min").alias("prep_shop_cnt"))
+    wanted = {f"prep_shop_p{q}": ("prep_time_min", q / 100) for q in (50, 25, 75)}
+    d = with_quantiles(rows, ["mbo_chain_id"], wanted, F.count("prep_time_min").alias("prep_shop_cnt"))
     return d.withColumn("prep_shop_iqr", F.col("prep_shop_p75") - F.col("prep_shop_p25"))
 
 
