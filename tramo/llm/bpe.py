@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import small_batches
-from tramo.llm.units import UnitEncoder, spell, spelling
+from tramo.llm.units import Lists, UnitEncoder, lists, pieces, spell, spelling
 
 
 class PerfectHash:
@@ -136,20 +135,36 @@ class Bpe:
             self.cut = regex.compile(self.pattern)
             self.bytes_of = spelling(self.vocabulary)
             self.digits_of = spelling([b"%d," % k for k in range(len(self.vocabulary))])
-            self._ready = UnitEncoder(self.encode_many)
+            self._ready = UnitEncoder(self.after_space, lambda texts: lists(self.encode_many(texts)))
         return self._ready
 
+    def _ids(self, pre_tokens: list[bytes]) -> list[list[int]]:
+        """Two tiers over the distinct pre-tokens."""
+        new = list(dict.fromkeys(pre_tokens))
+        known = self.hash.find(new).tolist()
+        ids = {p: [k] if k >= 0 else merge(p, self.ranks) for p, k in zip(new, known, strict=True)}
+        return [ids[p] for p in pre_tokens]
+
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Two tiers over the distinct pre-tokens of all texts."""
         self._prepare()
         cut = [[p.encode() for p in self.cut.findall(t)] for t in texts]
-        new = list({p for c in cut for p in c})
-        known = self.hash.find(new).tolist()
-        ids = {p: [k] if k >= 0 else merge(p, self.ranks) for p, k in zip(new, known, strict=True)}
-        return [[i for p in c for i in ids[p]] for c in cut]
+        ids = iter(self._ids([p for c in cut for p in c]))
+        return [[i for _ in c for i in next(ids)] for c in cut]
+
+    def after_space(self, units: list[str]) -> Lists:
+        """Ids of units that each stand after a space and hold none: cut together, since each space starts a pre-token."""
+        self._prepare()
+        pre = [p.encode() for k in range(0, len(units), 4096) for p in self.cut.findall(" " + " ".join(units[k : k + 4096]))]
+        flat, n = lists(self._ids(pre))
+        of = np.cumsum(np.fromiter((p[0] == 32 for p in pre), np.int64, len(pre))) - 1
+        return flat, np.bincount(of, weights=n, minlength=len(units)).astype(np.int64)
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._prepare()(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self._prepare()(texts)
+    def forget(self) -> None:
+        """Keep the most used units only, for the next task of the same worker."""
+        self._prepare().trim(True)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and how many each has."""
@@ -161,23 +176,23 @@ _workers: dict[str, Bpe] = {}
 
 
 def _own(bpe: Bpe, key: str) -> Bpe:
-    """The worker's own copy, which keeps what it has learnt between tasks."""
+    """The worker's own copy, which keeps the most used units between tasks."""
     return _workers.setdefault(key, bpe)
 
 
 def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text") -> DataFrame:
     """docs with token_ids (array<int>) instead of the text; a null text is empty."""
     key = hashlib.md5(b"".join(bpe.vocabulary) + bpe.pattern.encode()).hexdigest()
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bpe)  # the vocabulary: a fixed size
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _own(shared.value, key)
-        for batch in batches:
-            ids, n = own.encode([t or "" for t in batch.column(text_col).to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], lists], names=[*rest, "token_ids"])
+        for batch in pieces(batches, text_col):
+            ids, n = own.encode(batch.column(text_col))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], tokens], names=[*rest, "token_ids"])
+        own.forget()
 
     kept = docs.select(*rest)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], "token_ids array<int>"])
@@ -187,13 +202,12 @@ def encode(docs: DataFrame, bpe: Bpe, text_col: str = "text") -> DataFrame:
 def round_trip(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode whole texts: id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
     key = hashlib.md5(b"".join(bpe.vocabulary) + bpe.pattern.encode()).hexdigest()
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bpe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _own(shared.value, key)
-        for batch in batches:
-            ids, n = own.encode([t or "" for t in batch.column("text").to_pylist()])
+        for batch in pieces(batches):
+            ids, n = own.encode(batch.column("text"))
             text, text_n = own.decode(ids)
             said, said_n = spell(own.digits_of, ids)
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -209,6 +223,7 @@ def round_trip(docs: DataFrame, bpe: Bpe, id_col: str = "doc_id", text_col: str
                 ],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

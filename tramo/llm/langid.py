@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import small, small_batches, stage
+from tramo.llm.staging import small, stage
+from tramo.llm.units import pieces
 
 #: Hashed n-grams of 1 to 3 characters; distinct texts sampled for a language; centroids for each; smallest cosine that isn't rejected.
 DIMS, SAMPLE, CENTROIDS, NEAREST = 4096, 300, 4, 0.1
@@ -112,12 +113,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     Document frequencies count all of them. Centroids come from `sample` distinct texts of each language, once each however
     many copies there are (all texts if they are no more): that bounds what the driver gets, given the number of languages.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS + 1, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, most=1_000_000):
             key, _ = grams(batch.column("text").to_pylist())
             total[:DIMS] += np.bincount(key % DIMS, minlength=DIMS)
             total[DIMS] += batch.num_rows
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
-        for batch in batches:
+        for batch in pieces(batches, most=1_000_000):
             names = list(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True))
             new = [i for i, name in enumerate(names) if name not in seen and not seen.add(name)]
             batch = batch.take(pa.array(new, pa.int64()))
@@ -156,11 +156,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", nearest: float = NEAREST) -> DataFrame:
     """One row per row of docs: id, lang_pred, score (the cosine), rejected (under `nearest`, or no letter). Null texts are UNKNOWN with score 0."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages * CENTROIDS * DIMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, most=1_000_000, rows=256):
             lang, cosine = shared.value.nearest([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang), pa.array(cosine.astype(np.float64)), pa.array(cosine < nearest)], names=[id_col, "lang_pred", "score", "rejected"])
 

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tramo.llm.components import components
 from tramo.llm.exact_dedup import sha256, without
-from tramo.llm.staging import small, small_batches, stage
+from tramo.llm.staging import small, stage
+from tramo.llm.units import pieces
 
 #: Sets of one sketch that are compared at once, at most about twice as many.
 BLOCK = 512
@@ -75,7 +76,7 @@ class Join:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -158,11 +159,9 @@ def bit_sketches(h: np.ndarray, doc: np.ndarray, instance: np.ndarray, bands: di
 
 def profiles(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
     """id, n (set size), two fingerprints of the set, its band, keys and bit sketches (own and next instance)."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = join.bands()
-        for batch in batches:
+        for batch in pieces(batches, most=1_500_000):
             texts = batch.column("text").to_pylist()
             h, doc = hashed(texts, join.k)
             n = np.bincount(doc, minlength=len(texts))
@@ -180,6 +179,7 @@ def profiles(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFra
             bits = [pa.array(bit_sketches(h, doc, instance, bands), pa.binary()) for instance in (band, following)]
             columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(xor.view(np.int64)), pa.array(total.view(np.int64)), pa.array(band, pa.int64()), *keys, *bits]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "xor", "total", "band", "keys", "keys_next", "bits", "bits_next"])
+        _hashes.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, xor long, total long, band long, keys array<long>, keys_next array<long>, bits binary, bits_next binary")
@@ -355,5 +355,5 @@ def keep_one(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str
     found = classes(stage(one.select("node", "text").dropDuplicates(["node"]), "texts"), join, "node", "text")
     found = stage(found.select("node", "component_id").join(nodes, "node"), "classes")
     least = found.groupBy("component_id").agg(F.min("id").alias("least"))
-    gone = found.join(least, "component_id").where("id > least").select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    gone = found.join(least, "component_id").where("id > least").select("id", "digest")
     return without(docs, stage(gone, "dropped"), id_col, text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramo.tables import new_folder, stage
 
-__all__ = ["drop_folder", "drop_staged", "lower_ascii", "new_folder", "small", "small_batches", "stage"]
+__all__ = ["drop_folder", "drop_staged", "lower_ascii", "new_folder", "quoted", "small", "stage", "unused"]
 
 #: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -29,10 +29,17 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of whole texts are kept small, so that a worker's memory doesn't follow the length of documents."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of just that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import new_folder, small_batches, stage
-from tramo.llm.units import UnitEncoder
+from tramo.llm.staging import new_folder, stage
+from tramo.llm.units import Lists, UnitEncoder, lists, pieces
 
 MAGIC, BLOCK = b"TRPLANE1", 1 << 18
 
@@ -51,7 +51,7 @@ class Writer:
         self.out, self.bits, self.chunks, self.docs, self.sizes = out, bits, [], [], []
         self.wait: list[np.ndarray] = []
         self.waiting = 0
-        self.at = out.write(MAGIC) or len(MAGIC)
+        out.write(MAGIC)
         self.at = len(MAGIC)
 
     def add(self, doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> None:
@@ -120,7 +120,23 @@ def _encoder(tokenizer_json: str, plain: bool) -> UnitEncoder:
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = plain
-        _workers[key] = UnitEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        names = tokenizer.get_vocab(with_added_tokens=True)
+        spaced = np.zeros(1 + max(names.values(), default=0), bool)
+        spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True  # byte-level vocabularies write a space so
+
+        def alone(texts: list[str]) -> Lists:
+            return lists([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+        def after_space(units: list[str]) -> Lists:
+            # encoded together: a unit holds no space, so each id that starts with one starts the next unit
+            joined = [" " + " ".join(units[k : k + 2048]) for k in range(0, len(units), 2048)]
+            ids, _ = alone(joined)
+            at = np.flatnonzero(spaced[ids])
+            if len(at) != len(units):
+                raise ValueError("the tokenizer's pre-tokens don't start at spaces")
+            return ids, np.diff(np.append(at, len(ids)))
+
+        _workers[key] = UnitEncoder(after_space, alone, 600_000, 300_000)
     return _workers[key]
 
 
@@ -135,7 +151,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0,
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
-    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -145,15 +160,15 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0,
         encoder, n_docs = _encoder(spec, plain), 0
         with target.open_output_stream(own := f"{path}.{task.taskAttemptId()}.tmp") as out:
             writer = Writer(out, bits)
-            for batch in batches:
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids, sizes = encoder(texts)
+            for batch in pieces(batches):
+                ids, sizes = encoder(batch.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     sizes = sizes + 1
                 writer.add(batch.column("id").to_pylist(), sizes, ids.astype(np.uint32))
-                n_docs += len(texts)
+                n_docs += batch.num_rows
             n = writer.close()
+        encoder.trim(True)
         if not n_docs:
             target.delete_file(own)
             return

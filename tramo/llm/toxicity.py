@@ -14,16 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tramo.llm.staging import small_batches, stage
-from tramo.llm.units import Memo
+from tramo.llm.staging import stage, unused
+from tramo.llm.units import Lists, Memo, gather, lists, pieces
 
 #: Bounds of the samples of labelled rows: those that features are counted on, and those that the curve is fitted on.
 MAX_LABELLED, MAX_CURVE = 200_000, 40_000
 FEATURES = 1 << 18
+#: Signs and digits without a letter between them that may be a word.
+LONGEST = 16
 #: Rows of prior evidence for a feature, and the log-odds from which a feature counts.
 PRIOR, LEAST = 10.0, 1.2
 #: Costs (nats): a sign for a letter, a dropped sign or one as a boundary (digits twice that), a run cut short, a gap left open between spaced letters.
@@ -50,11 +54,10 @@ def letters(text: str) -> np.ndarray:
 
 def count_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigrams of all documents. The driver gets a row for each trigram that occurs, A ** 3 at most."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(A**3, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             code = letters(" ".join(t or "" for t in batch.column("text").to_pylist()))
             total += np.bincount((code[:-2] * A + code[1:-1]) * A + code[2:], minlength=A**3)
         at = np.flatnonzero(total)
@@ -125,10 +128,12 @@ class Channel:
         core = low.rstrip(_EDGES).lstrip(_EDGES)
         if core.isalpha() and not _RUN.search(core):
             return core
-        core = low.strip(".,;:?\"'`´*#%&~^=/\\_-–—[]{}<>«»“”‘’…").rstrip("!()$+")
-        if not any(c.isalpha() for c in core):
-            return ""
-        return self.decode(core)
+        core = low.strip(".,;:?\"'`´*#%&~^=/\\_-–—[]{}<>«»“”‘’…")
+        if any(c.isalpha() for c in core):
+            return self.decode(core.rstrip("!()$+"))
+        # signs and digits only: a word if each may stand for a letter
+        core = core.rstrip("!")
+        return self.decode(core) if 2 < len(core) <= LONGEST and all(c in SIGNS for c in core) else ""
 
     def restore_spaced(self, units: Sequence[str]) -> str:
         return self.decode([c for u in units for c in (u.lower()[0], "")][:-1])
@@ -152,43 +157,44 @@ class Reader:
 
     def __init__(self, cost: np.ndarray, keep: np.ndarray | None):
         self.channel, self.keep = Channel(cost), keep
-        self.memo = Memo(self._many)
+        self.memo = Memo(self._many, 200_000)
         self.single = np.zeros(0, bool)
 
     def _wanted(self, found: list[int]) -> list[int]:
         return found if self.keep is None else [x for x in found if self.keep[x]]
 
-    def _many(self, units: list[str]) -> list[list[int]]:
-        self.single = np.concatenate([self.single[: len(self.memo.size)], np.fromiter(map(_is_single, units), bool, len(units))])
-        return [self._wanted(features(self.channel.restore(u))) for u in units]
-
-    def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' features and the text each belongs to, with repeats."""
-        self.memo.trim()
-        units = [t.split() for t in texts]
-        at = [list(map(self.memo.at.__getitem__, u)) for u in units]
-        if self.memo.at.new:
-            self.memo.learn()
-        n = np.fromiter(map(len, at), np.int64, len(at))
-        flat = np.fromiter((i for p in at for i in p), np.int64, int(n.sum()))
-        ids, size = self.memo.gather(flat)
+    def _many(self, units: list[str]) -> Lists:
+        self.single = np.concatenate([self.single, np.fromiter(map(_is_single, units), bool, len(units))])
+        return lists([self._wanted(features(self.channel.restore(u))) for u in units])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' features and the text each belongs to, with repeats. Null texts are empty."""
+        if (stay := self.memo.trim()) is not None:
+            self.single = self.single[stay]
+        parts = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        first = parts.offsets.to_numpy()
+        flat, n, first = parts.flatten(), np.diff(first), first[:-1] - first[0]
+        coded = flat.dictionary_encode()
+        units = self.memo.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
+        m = self.memo
+        ids, size = gather(units, m.ids, m.start, m.n)
         doc = np.repeat(np.arange(len(texts)), n)
-        more, owner = self._spaced(units, flat, doc, n)
+        more, owner = self._spaced(flat, units, doc, first + n)
         return np.concatenate([ids, np.array(more, np.int32)]), np.concatenate([np.repeat(doc, size), np.array(owner, np.int64)])
 
-    def _spaced(self, units: list[list[str]], flat: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
-        alone = self.single[flat]
-        three = np.flatnonzero(alone[:-2] & alone[1:-1] & alone[2:] & (doc[:-2] == doc[2:])) if len(flat) > 2 else []
-        first, more, owner, done = np.cumsum(n) - n, [], [], -1
+    def _spaced(self, flat: pa.Array, units: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+        """Features of words whose letters stand apart: three or more single signs one after another."""
+        alone = self.single[units]
+        three = np.flatnonzero(alone[:-2] & alone[1:-1] & alone[2:] & (doc[:-2] == doc[2:])) if len(units) > 2 else []
+        more, owner, done = [], [], -1
         for k in map(int, three):
             if k < done:
                 continue
             d = int(doc[k])
-            i = j = k - int(first[d])
-            while j < len(units[d]) and alone[int(first[d]) + j]:
-                j += 1
-            done = int(first[d]) + j
-            found = self._wanted(features(self.channel.restore_spaced(units[d][i:j])))
+            done = k
+            while done < ends[d] and alone[done]:
+                done += 1
+            found = self._wanted(features(self.channel.restore_spaced(flat.slice(k, done - k).to_pylist())))
             more += found
             owner += [d] * len(found)
         return more, owner
@@ -245,9 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, total = Reader(shared.value, None), np.zeros((2, FEATURES + 1), np.int64)
-        for batch in batches:
-            label = np.array(batch.column("label").to_pylist(), np.int64)
-            ids, doc = read([t or "" for t in batch.column("text").to_pylist()])
+        for batch in pieces(batches):
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, doc = read(batch.column("text"))
             pairs = np.unique(doc * FEATURES + ids)
             for k in (0, 1):
                 total[k, :FEATURES] += np.bincount(pairs[label[pairs // FEATURES] == k] % FEATURES, minlength=FEATURES)
@@ -275,9 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, own = given.value
         read, found = Reader(cost, np.maximum(*own) >= LEAST), np.zeros((2, 400), np.int64)
-        for batch in batches:
-            label = np.array(batch.column("label").to_pylist(), np.int64)
-            ids, doc = read([t or "" for t in batch.column("text").to_pylist()])
+        for batch in pieces(batches):
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, doc = read(batch.column("text"))
             for k in (0, 1):
                 e = np.log1p(evidence(ids, doc, own[k], len(label)))[label == k]
                 found[k] += np.bincount(np.minimum((e * 50).round().astype(np.int64), 399), minlength=400)
@@ -310,19 +316,16 @@ def logistic(points: np.ndarray, pull: float = 1.0) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for each row; null and empty texts have no evidence, and its score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         read = Reader(model.cost, model.weight >= LEAST)
-        for batch in batches:
-            ids, doc = read([t or "" for t in batch.column(at).to_pylist()])
+        for batch in pieces(batches, text_col):
+            ids, doc = read(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(ids, doc, batch.num_rows), pa.float64())], names=[*batch.schema.names, name])
 
-    at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
@@ -336,5 +339,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a score under 0.5, with all their columns."""
     model = fit(docs, labels, text_col, id_col)
-    name = "_toxic_score"
+    name = unused(docs, "toxic_score")
     return score(docs, model, text_col, name).where(F.col(name) < 0.5).drop(name)

@@ -1,98 +1,180 @@
-"""Texts cut into units that a byte-level tokenizer treats independently, each encoded once and then looked up.
+"""Texts cut into units that a byte-level tokenizer treats independently, each distinct one encoded once.
 
 A single space between two characters that aren't white space always starts a new pre-token. So a text falls into units at
-those spaces, and the ids of the text are those of its units, one after another.
+those spaces, and the ids of the text are those of its units, one after another. Arrow cuts whole pieces of text and
+numbers their distinct units; only these are looked up and, if new, encoded.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: The lists that many keys have: all numbers together, and how many each key has.
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text: long ones are cut, short ones put together. A longer text is alone."""
+    wait: list[pa.RecordBatch] = []
+    have = count = 0
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = min(max(at + 1, int(np.searchsorted(ends, done + most - have, side="right"))), at + rows, batch.num_rows)
+            wait.append(batch.slice(at, stop - at))
+            have, count, at = have + int(ends[stop - 1]) - done, count + stop - at, stop
+            if have >= most or count >= rows or at < batch.num_rows:
+                yield _together(wait)
+                wait, have, count = [], 0, 0
+    if wait:
+        yield _together(wait)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
 
 class _Numbers(dict):
     """Numbers its keys as they are first asked for; new: those not learnt yet."""
 
-    def __init__(self):
-        self.next, self.new = 0, []
+    def __init__(self, keys: Sequence[str] = ()):
+        super().__init__(zip(keys, range(len(keys)), strict=True))
+        self.new: list[str] = []
 
-    def __missing__(self, key) -> int:
-        self[key] = n = self.next
-        self.next += 1
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
         self.new.append(key)
         return n
 
 
 class Memo:
-    """Lists of numbers for hashable keys, each made once by `many`; kept between batches up to `limit` keys or `chars` characters."""
-
-    def __init__(self, many: Callable[[list], Sequence[Sequence[int]]], limit: int = 1_200_000, chars: int = 16_000_000):
-        self.many, self.limit, self.chars = many, limit, chars
-        self.clear()
-
-    def clear(self) -> None:
-        self.at, self.kept = _Numbers(), 0
-        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def trim(self) -> None:
-        if self.at.next > self.limit or self.kept > self.chars:
-            self.clear()
-
-    def learn(self) -> None:
-        """Make the lists of all keys that were numbered since."""
-        got = self.many(self.at.new)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, flat])
-        self.kept += sum(len(k) if isinstance(k, str) else len(k[0]) for k in self.at.new)
+    """Lists of numbers for strings, each made by `many`.
+
+    Beyond `most` strings or `size` bytes of strings and numbers, only the `left` most used of those that were used more
+    than once are kept. So a worker's memory has a bound, whatever the texts.
+    """
+
+    def __init__(self, many: Callable[[list[str]], Lists], most: int = 300_000, size: int = 24_000_000, left: int = 100_000):
+        self.many, self.most, self.size, self.left = many, most, size, left
+        self.at, self.bytes = _Numbers(), 0
+        self.ids, self.start, self.n, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, keys: Sequence[str]) -> np.ndarray:
+        """The numbers of keys, each of which counts as used once."""
+        got = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        if self.at.new:
+            self._learn()
+        self.used += np.bincount(got, minlength=len(self.used))
+        return got
+
+    def _learn(self) -> None:
+        flat, n = self.many(self.at.new)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(len(n), np.int64)])
+        self.bytes += 4 * len(flat) + sum(map(len, self.at.new))
         self.at.new = []
 
-    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists of numbered keys, one after another, and their lengths."""
-        size = self.size[at]
-        ends = np.cumsum(size)
-        where = np.repeat(self.start[at] - (ends - size), size)
-        where += np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.ids[where], size
+    def trim(self, always: bool = False) -> np.ndarray | None:
+        """Forget the less used if there are too many (or always, to `left` of them). The numbers of those that stay, if any went."""
+        if not always and len(self.at) <= self.most and self.bytes <= self.size or always and len(self.at) <= self.left and self.bytes <= self.size // 2:
+            return None
+        often = np.flatnonzero(self.used > 1)
+        stay = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.left]])
+        keys = list(self.at)
+        keys = [keys[i] for i in stay.tolist()]
+        cost = np.cumsum(4 * self.n[stay] + np.fromiter(map(len, keys), np.int64, len(keys)))
+        stay = stay[: int(np.searchsorted(cost, self.size // 2))]
+        self.ids, self.n = gather(stay, self.ids, self.start, self.n)
+        self.start, self.used = np.cumsum(self.n) - self.n, self.used[stay] // 2
+        self.at, self.bytes = _Numbers(keys[: len(stay)]), int(cost[len(stay) - 1]) if len(stay) else 0
+        return stay
+
+
+def gather(at: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> Lists:
+    """The lists of numbered keys, one after another, and their lengths."""
+    n = n[at]
+    ends = np.cumsum(n)
+    where = np.repeat(start[at] - (ends - n), n)
+    where += np.arange(int(ends[-1]) if len(ends) else 0)
+    return ids[where], n
+
+
+def lists(of: Sequence[Sequence[int]]) -> Lists:
+    n = np.fromiter(map(len, of), np.int64, len(of))
+    return np.fromiter(chain.from_iterable(of), np.int64, int(n.sum())), n
+
+
+def bounds(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string the first and the last byte (0: it is empty), and whether it is empty."""
+    at = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    flat = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    flat = np.append(flat[: at[-1]], np.uint8(0)) if len(at) else np.zeros(1, np.uint8)
+    empty = at[1:] == at[:-1]
+    return np.where(empty, 0, flat[at[:-1]]), np.where(empty, 0, flat[at[1:] - 1]), empty
 
 
-def _odd(key) -> bool:
-    return isinstance(key, str) and (not key or key[0].isspace() or key[-1].isspace()) or isinstance(key, tuple) and len(key) == 1 and (not key[0] or key[0][-1].isspace())
+def _odd(names: list[str], coded: pa.Array) -> np.ndarray:
+    """Which parts between spaces aren't units: empty ones, and those with other white space next to a space."""
+    first, last, odd = bounds(coded)
+    clear = (first > 32) & (first < 127) & (last > 32) & (last < 127)
+    for k in np.flatnonzero(~clear & ~odd).tolist():
+        odd[k] = names[k][0].isspace() or names[k][-1].isspace()
+    return odd
 
 
 class UnitEncoder:
-    """many: gives the ids of each of a list of strings."""
-
-    def __init__(self, many: Callable[[list[str]], Sequence[Sequence[int]]]):
-        # a key is a string (a space stands before it), (string,) at a text's start, or (string, k) from a text cut with care
-        self.memo = Memo(lambda keys: many([" " + k if isinstance(k, str) else k[0] if len(k) == 1 or not k[1] else " " + k[0] for k in keys]))
-
-    def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts together, and how many each text has."""
-        memo = self.memo
-        memo.trim()
-        parts = [t.split(" ") for t in texts]
-        for p in parts:
-            p[0] = (p[0],)
-        at = [list(map(memo.at.__getitem__, p)) for p in parts]
-        if odd := {k for k in memo.at.new if _odd(k)}:
-            for k, p in enumerate(parts):
-                if not odd.isdisjoint(p):
-                    at[k] = [memo.at[x, int(i > 0)] for i, x in enumerate(_CUT.split(texts[k]))]
-        if memo.at.new:
-            memo.learn()
-        for k in odd:  # never found again: each text that has it is cut with care
-            del memo.at[k]
-        n = np.fromiter(map(len, at), np.int64, len(at))
-        ids, size = memo.gather(np.fromiter((i for p in at for i in p), np.int64, int(n.sum())))
-        text_ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n)]
-        return ids, np.diff(np.concatenate([[0], text_ends]))
+    """after_space: the ids of units that each stand after a space and hold none; alone: those of texts as they are."""
+
+    def __init__(self, after_space: Callable[[list[str]], Lists], alone: Callable[[list[str]], Lists], most: int = 300_000, left: int = 100_000):
+        self.spaced, self.alone = Memo(after_space, most, 80 * most, left), Memo(alone, 50_000, 8_000_000, 10_000)
+
+    def trim(self, always: bool = False) -> None:
+        self.spaced.trim(always)
+        self.alone.trim(always)
+
+    def __call__(self, texts: pa.Array) -> Lists:
+        """The ids of all texts together, and how many each text has; a null text is empty."""
+        self.trim()
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        first = parts.offsets.to_numpy()
+        first, n, flat = first[:-1] - first[0], np.diff(first), parts.flatten()
+        coded = flat.dictionary_encode()
+        at, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        odd = _odd(names, coded.dictionary)
+        number = np.zeros(len(names), np.int64)
+        number[~odd] = self.spaced.find(names if not odd.any() else [x for x, o in zip(names, odd, strict=True) if not o])
+        units = number[at]
+        begins = flat.take(pa.array(first)).to_numpy(zero_copy_only=False).tolist()
+        units[first] = ~self.alone.find(begins)  # negative numbers are those of `alone`
+        bad = odd[at]
+        bad[first] = [not x or x[-1].isspace() for x in begins]
+        bad[first[n == 1]] = False  # a text without a space is one unit
+        if bad.any():
+            cut, last, which = [], 0, np.flatnonzero(np.add.reduceat(bad, first))
+            for k, text in zip(which.tolist(), texts.take(pa.array(which)).to_pylist(), strict=True):
+                # cut with care: only single spaces between what isn't white space
+                own = ~self.alone.find([" " * (i > 0) + x for i, x in enumerate(_CUT.split(text or ""))])
+                cut += [units[last : first[k]], own]
+                last, n[k] = first[k] + n[k], len(own)
+            units = np.concatenate([*cut, units[last:]])
+        s, a = self.spaced, self.alone
+        units = np.where(units < 0, len(s.n) + ~units, units)
+        ids, size = gather(units, np.concatenate([s.ids, a.ids]), np.concatenate([s.start, a.start + len(s.ids)]), np.concatenate([s.n, a.n]))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n)]
+        return ids, np.diff(np.concatenate([[0], ends]))
 
 
 def spell(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
