@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import small, stage
+from tramo.llm.staging import quoted, small, stage
 
 #: Words, as everywhere in this subpackage: runs of what is not an ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,33 +88,36 @@ def budgets(leaves: DataFrame, mix: Mixture) -> DataFrame:
     given = root
     for k, level in enumerate(levels):
         nodes = leaves.groupBy(*above, level).agg(F.sum("leaf_cap").alias("cap")).withColumn("w", _weight(mix, k))
-        nodes = nodes.join(given, above) if above else nodes.crossJoin(given)  # one row, or one for each parent
+        nodes = nodes.join(given, above) if above else nodes.crossJoin(F.broadcast(given))  # one row, or one for each parent
         given = share(nodes, above, level).select(*above, level, F.col("got").alias("budget"))
         above.append(level)
     return leaves.join(given, above).select(*levels, "supply", F.col("budget").alias("alloc"))
 
 
-def _leafed(docs: DataFrame, mix: Mixture, id_col: str) -> DataFrame:
-    return docs.withColumns({f"_{x}": F.coalesce(F.col(x), F.lit("")) for x in mix.levels})
-
-
-def _order(mix: Mixture, id_col: str, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(mix.seed), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _order(mix: Mixture, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), epoch.cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
 
 
 def _bucket(key: Column, digits: int) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
+def _rows(docs: DataFrame, mix: Mixture, id_col: str, *more: Column) -> DataFrame:
+    """id, the levels as l0, l1, ... and n (tokens) of the rows that have tokens; nothing of docs is beside them but `more`."""
+    levels = [F.coalesce(quoted(x), F.lit("")).alias(f"l{k}") for k, x in enumerate(mix.levels)]
+    return docs.select(quoted(id_col).alias("id"), *levels, quoted(mix.tokens).cast("long").alias("n"), *more).where("n > 0")
+
+
 def plan(docs: DataFrame, mix: Mixture, id_col: str = "doc_id") -> tuple[DataFrame, int]:
-    """docs has the levels and tokens. By leaf: alloc, whole epochs, tokens of the last one, and the bucket of the seeded order where those end."""
-    levels = list(mix.levels)
-    base = stage(_leafed(docs, mix, id_col).where(F.col(mix.tokens) > 0).select(F.col(id_col).alias("id"), *[F.col(f"_{x}").alias(x) for x in levels], F.col(mix.tokens).alias("n_tokens")), "mix")
+    """docs has the levels and tokens. By leaf (l0, l1, ...): alloc, whole epochs, tokens of the last one, and the bucket of the seeded order where those end."""
+    levels = [f"l{k}" for k in range(len(mix.levels))]
+    base = stage(_rows(docs, mix, id_col), "mix")
     digits = min(7, max(2, math.ceil(math.log(max(1, base.count() / mix.bucket_rows), 16))))
-    leaves = stage(base.groupBy(*levels).agg(F.sum("n_tokens").alias("supply")), "leaves")
-    got = stage(budgets(leaves, mix).withColumns({"full": F.expr("alloc div supply"), "rest": F.expr("alloc % supply")}), "alloc")
-    rows = base.join(small(got), levels).where("rest > 0").withColumn("bucket", _bucket(_order(mix, "id", F.col("full")), digits))
-    sums = rows.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
+    leaves = stage(base.groupBy(*levels).agg(F.sum("n").alias("supply")), "leaves")
+    got = budgets(leaves.withColumnsRenamed(dict(zip(levels, mix.levels, strict=True))), mix).withColumnsRenamed(dict(zip(mix.levels, levels, strict=True)))
+    got = stage(got.withColumns({"full": F.expr("alloc div supply"), "rest": F.expr("alloc % supply")}), "alloc")
+    rows = base.join(small(got), levels).where("rest > 0").withColumn("bucket", _bucket(_order(mix, F.col("full")), digits))
+    sums = rows.groupBy(*levels, "bucket").agg(F.sum("n").alias("t"), F.first("rest").alias("rest"))
     w = Window.partitionBy(*levels).orderBy("bucket")
     sums = sums.withColumn("before", F.sum("t").over(w) - F.col("t")).where("before < rest and before + t >= rest")
     ends = sums.select(*levels, F.col("bucket").alias("end"), "before")
@@ -125,18 +128,21 @@ def select(docs: DataFrame, mix: Mixture, id_col: str = "doc_id") -> DataFrame:
     """docs (with the levels and tokens) as often as it is taken: all its columns, epoch and take_tokens.
 
     Documents without tokens are never taken; null levels count as the name ''. Rows with the same id and epoch tie and
-    are ordered by their tokens. Columns of docs with the names of the added ones are replaced. Each document is moved only if it is in the bucket where its leaf's budget ends.
+    are ordered by their tokens. Columns of docs with the names of the two added ones are replaced, all others come back as
+    they were, whatever their names. Each document is moved only if it is in the bucket where its leaf's budget ends.
     """
-    levels, cols = list(mix.levels), [c for c in docs.columns if c not in (mix.epoch, mix.taken)]
+    levels = [f"l{k}" for k in range(len(mix.levels))]
+    kept = [quoted(c) for c in docs.columns if c not in (mix.epoch, mix.taken)]
     leaf, digits = plan(docs, mix, id_col)
-    leaf = small(leaf.select(*[F.col(x).alias(f"_{x}") for x in levels], F.col("full").alias("_full"), F.col("rest").alias("_rest"), F.col("end").alias("_end"), F.col("before").alias("_before")))
-    rows = _leafed(docs.select(*cols), mix, id_col).where(F.col(mix.tokens) > 0).join(leaf, [f"_{x}" for x in levels])
-    rows = rows.withColumn("_key", _order(mix, id_col, F.col("_full"))).withColumn("_bucket", _bucket(F.col("_key"), digits))
-    times = F.col("_full") + F.when(F.col("_bucket") < F.col("_end"), 1).otherwise(0)
-    whole = rows.where(times > 0).select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias(mix.epoch), F.col(mix.tokens).alias(mix.taken))
-    w = Window.partitionBy(*[f"_{x}" for x in levels]).orderBy("_key", id_col, mix.tokens).rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("_bucket = _end").withColumn("_room", F.col("_rest") - F.col("_before") - F.coalesce(F.sum(mix.tokens).over(w), F.lit(0))).where("_room > 0")
-    return whole.unionByName(edge.select(*cols, F.col("_full").alias(mix.epoch), F.least(mix.tokens, "_room").alias(mix.taken)))
+    leaf = small(leaf.select(*levels, "full", "rest", "end", "before"))
+    rows = _rows(docs, mix, id_col, F.struct(*kept).alias("row")).join(leaf, levels)
+    rows = rows.withColumn("key", _order(mix, F.col("full"))).withColumn("bucket", _bucket(F.col("key"), digits))
+    times = F.col("full") + F.when(F.col("bucket") < F.col("end"), 1).otherwise(0)
+    whole = rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("epoch"), F.col("n").alias("taken"))
+    w = Window.partitionBy(*levels).orderBy("key", "id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where("bucket = end").withColumn("room", F.col("rest") - F.col("before") - F.coalesce(F.sum("n").over(w), F.lit(0))).where("room > 0")
+    both = whole.unionByName(edge.select("row", F.col("full").alias("epoch"), F.least("n", "room").alias("taken")))
+    return both.select("row.*", F.col("epoch").alias(mix.epoch), F.col("taken").alias(mix.taken))
 
 
 def prefix(text: Column, taken: Column, all_tokens: Column) -> Column:

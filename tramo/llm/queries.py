@@ -31,7 +31,7 @@ def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(table(spark, sf_dir, "documents")).withColumn("n_tokens", mixing.n_words(F.col("text")))
-    return mixing.select(docs.select("doc_id", "domain", "lang", "source", "n_tokens"), MIX)
+    return mixing.select(stage(docs.select("doc_id", "domain", "lang", "source", "n_tokens"), "counted"), MIX)
 
 
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
