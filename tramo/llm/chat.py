@@ -36,9 +36,9 @@ def fingerprint(fields: set[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """fields: all paths of the layout. Either items, the list of turns, with the names of role and text in each; or turns:
-    (role, paths whose texts are joined by a blank line). roles: names of roles in the layout that differ. optional: paths
-    that a record may lack."""
+    """fields: all paths of the layout. Either items, the path of the list of turns, with the paths of role and text in each;
+    or turns: (role, paths whose texts are joined by a blank line). roles: names of roles in the layout that differ.
+    optional: fields of the record itself that it may lack."""
 
     fields: frozenset[str]
     items: str | None = None
@@ -71,6 +71,9 @@ MAPPINGS = (
     _list("conversations", "from", "value", optional=("system",)),
     _list("conversation", "role", "content"),
     _list("dialog", "speaker", "utterance"),
+    _list("data.messages", "role", "content"),
+    _list("turns", "author.role", "content.text"),
+    _flat((("user", ("example.prompt",)), ("assistant", ("example.response",)))),
     _flat((("user", ("prompt",)), ("assistant", ("completion",)))),
     _flat((("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
     _flat((("user", ("instruction", "input")), ("assistant", ("output",))), optional=("input",)),
@@ -82,29 +85,57 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     return {fingerprint(set(layout)): m for m in mappings for layout in m.layouts()}
 
 
+def _at(value: object, path: str) -> object:
+    """What a record holds at a path of names; LookupError if it has none there."""
+    for name in path.split("."):
+        if not isinstance(value, dict) or name not in value:
+            raise LookupError(path)
+        value = value[name]
+    return value
+
+
+def _say(value: object) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def _number(value: object) -> tuple[bool, float]:
+    if value is not None and (isinstance(value, bool) or not isinstance(value, int | float)):
+        raise LookupError("a turn's place isn't a number")
+    return value is not None, value or 0
+
+
+def _turns(record: dict, m: Mapping) -> list[tuple[str, str]]:
+    named = dict(m.roles)
+    if m.items:
+        rows = _at(record, m.items)
+        if not isinstance(rows, list):
+            raise LookupError(m.items)
+        if m.order:
+            rows = sorted(rows, key=lambda r: _number(_at(r, m.order)))
+        said = [(named.get(_say(_at(r, m.role)), _say(_at(r, m.role))), _say(_at(r, m.text))) for r in rows]
+        return ([("system", _say(record["system"]))] if "system" in m.optional & record.keys() else []) + said
+    have = {p: _say(_at(record, p)) for _, ps in m.turns for p in ps if p not in m.optional or p in record}
+    return [(role, "\n\n".join(have[p] for p in ps if have.get(p))) for role, ps in m.turns if any(p in have for p in ps)]
+
+
 def canonical(record: object, known: dict[str, Mapping]) -> tuple[str, list[tuple[str, str]] | None]:
-    """A record's fingerprint and its (role, text) turns; None if no mapping has the fingerprint."""
+    """A record's fingerprint and its (role, text) turns; None if no mapping has the fingerprint, or if an item lacks a field
+    that the others have (the fingerprint is of all of them), or turns are numbered by what aren't numbers."""
     mark = fingerprint(paths(record))
     m = known.get(mark)
     if m is None or not isinstance(record, dict):
         return mark, None
-    named = dict(m.roles)
-    say = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    if m.items:
-        rows = record[m.items]
-        if m.order:
-            rows = sorted(rows, key=lambda r: (r[m.order] is not None, r[m.order] or 0))
-        turns = [(named.get(say(r[m.role]), say(r[m.role])), say(r[m.text])) for r in rows]
-        return mark, ([("system", say(record["system"]))] if "system" in m.optional & record.keys() else []) + turns
-    turns = [(role, "\n\n".join(say(record[p]) for p in ps if say(record.get(p)))) for role, ps in m.turns if any(p in record for p in ps)]
-    return mark, turns
+    try:
+        return mark, _turns(record, m)
+    except LookupError:
+        return mark, None
 
 
 def to_turns(records: DataFrame, id_col: str, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """id, fingerprint and turns (array of role and text) of JSON records.
 
-    Turns are null for a record that isn't JSON, is null, or whose layout no mapping has; nothing is guessed. Null roles
-    and texts are empty. Rows with the same turn number stay in the record's order; those without come first.
+    Turns are null for a record that isn't JSON, is null, or whose layout no mapping has (also if only some of its items
+    have it); nothing is guessed. Null roles and texts are empty. Rows with the same turn number stay in the record's order; those without come first.
     """
     known = registry(mappings)
 
