@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by the set of its nearest reference points (pivots). Inverted lists hold, by label and pivot, the
-vectors that have the pivot in that set. Vectors of one list are candidates, verified by their cosine in double precision;
-each pair that passes counts in the list of the smallest pivot it shares, however many it shares. Equal vectors are one,
-counted with its copies. Long lists are compared in blocks of bounded size.
+Each vector is described by its nearest reference points (pivots), in order of nearness. Inverted lists hold, by label and
+pivot, the vectors that have the pivot among those. Within a list the pivots that two vectors share are counted; those that
+share enough are candidates, and only these are verified by their cosine in double precision. A pair is counted in the list
+of the smallest pivot it shares. Equal vectors are one, counted with its copies. Long lists are compared in blocks of
+bounded size. The number of pivots grows with that of the vectors, so that lists stay short.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from tramo.llm.staging import small, stage
 
 @dataclass(frozen=True)
 class Index:
-    #: Reference points, chosen from about `sample` vectors; the nearest of them that a vector is listed by.
-    pivots: int = 256
-    sample: int = 4096
+    #: Reference points: one for so many vectors, between these two numbers. They are chosen from a sample of some vectors each.
+    vectors_a_pivot: int = 256
+    pivots: tuple[int, int] = (256, 16_384)
+    sample: int = 16
+    #: The nearest pivots that a vector is described by, and how many of them candidates share.
     prefix: int = 8
+    shared: int = 2
     cosine: float = 0.98
     #: No pivot is as near to another as this: near vectors would be told apart by which of them they are nearest to.
     apart: float = 0.8
@@ -54,9 +58,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, index: Index) -> np.ndarray:
-    """Farthest-first from a sample of about `sample` vectors."""
+    """Farthest-first from a sample of `sample` vectors for each pivot: 262,144 of them at most, given the most pivots."""
     n = vectors.count()
-    part = vectors if n <= index.sample else vectors.where(F.pmod(F.xxhash64("vec", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * index.sample / n))
+    wanted = min(index.pivots[1], max(index.pivots[0], n // index.vectors_a_pivot))
+    most = index.sample * wanted
+    part = vectors if n <= most else vectors.where(F.pmod(F.xxhash64("vec", F.lit(9)), F.lit(1_000_000_000)) < int(1_000_000_000 * most / n))
     rows = [r["vec"] for r in part.select("vec").toLocalIterator()]
     if not rows:
         return np.zeros((0, 1))
@@ -67,7 +73,7 @@ def choose_pivots(vectors: DataFrame, index: Index) -> np.ndarray:
     x = np.unique(_unit(x), axis=0)
     at = [0]
     near = x @ x[0]
-    while len(at) < min(index.pivots, len(x)) and near.min() < index.apart:
+    while len(at) < min(wanted, len(x)) and near.min() < index.apart:
         at.append(int(near.argmin()))
         near = np.maximum(near, x @ x[at[-1]])
     return x[at]
@@ -83,7 +89,7 @@ def _postings(vectors: DataFrame, pivots: np.ndarray, index: Index) -> DataFrame
             p = shared.value
             width = max(x.shape[1], p.shape[1])
             x, p = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (_unit(x), p))
-            order = np.sort(np.argsort(-(x @ p.T), axis=1, kind="stable")[:, : index.prefix], axis=1).astype(np.int32)
+            order = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, : index.prefix].astype(np.int32)  # nearest first
             near = pa.array(order.tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, near], names=[*batch.schema.names, "near"])
 
@@ -101,22 +107,21 @@ def _compare(index: Index):
         for i, r in enumerate(rows):
             near[i, : len(r["near"])] = r["near"]
         pivot, two = rows[0]["pivot"], rows[0]["parts"] > 0
-        close = x @ x.T >= index.cosine
-        np.fill_diagonal(close, False)
+        # how many pivots two vectors share, and whether any of these comes before this list's
+        names, at = np.unique(near[near >= 0], return_inverse=True)
+        used = np.zeros((len(rows), len(names)), np.float32)
+        used[np.nonzero(near >= 0)[0], at] = 1
+        before = used[:, names < pivot]
+        fits = np.triu((used @ used.T >= min(index.shared, int((near >= 0).sum(axis=1).min()))) & (before @ before.T == 0), 1)
         if two:
-            close &= part[:, None] != part[None, :]
-        i, j = np.nonzero(np.triu(close, 1))
+            fits &= part[:, None] != part[None, :]
+        i, j = np.nonzero(fits)
+        close = np.zeros(len(i), bool)
+        for a in range(0, len(i), 16_384):
+            close[a : a + 16_384] = np.einsum("ij,ij->i", x[i[a : a + 16_384]], x[j[a : a + 16_384]]) >= index.cosine
+        i, j = i[close], j[close]
         if not len(i):
             return [], [], [], []
-        used = np.zeros((len(rows), int(near.max()) + 1), bool)
-        r, c = np.nonzero(near >= 0)
-        used[r, near[r, c]] = True
-        least = np.zeros(len(i), np.int64)
-        for a in range(0, len(i), 4096):
-            least[a : a + 4096] = (used[i[a : a + 4096]] & used[j[a : a + 4096]]).argmax(axis=1)
-        # every verified pair counts, once: in the list of the smallest pivot that both have
-        keep = least == pivot
-        i, j = i[keep], j[keep]
         links = np.bincount(i, weights=n[j], minlength=len(rows)) + np.bincount(j, weights=n[i], minlength=len(rows))
         root = np.arange(len(rows))
 
