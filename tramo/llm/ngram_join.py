@@ -16,23 +16,26 @@ then whatever is left. So no link between components is lost, and no group is wr
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramo.llm import staging
 from tramo.llm.components import components
 from tramo.llm.exact_dedup import sha256, without
-from tramo.llm.staging import small, stage
+from tramo.llm.staging import drop_staged, small, stage
 from tramo.llm.units import pieces
 
 #: Sets of one sketch that are compared at once, at most about twice as many.
 BLOCK = 512
+#: Times that a set with too many empty segments is cut anew.
+ROUNDS = 4
 _U = np.uint64
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 
@@ -55,17 +58,24 @@ class Join:
         return total * (100 - self.percent) // (100 + self.percent)
 
     def bands(self) -> dict[str, np.ndarray]:
-        """By band: the first size, segments, empty segments allowed for, bits. Sizes to 2 ** 40."""
+        """By band: the first size, segments, empty segments allowed for, bits. Sizes to 2 ** 40.
+
+        A band has one more segment than linked sets can differ in, and as many more as the smallest sets that come here
+        will leave empty: so nearly all of them have enough segments with members.
+        """
         low, out = 1, {"low": [], "segments": [], "empty": [], "bits": []}
         while low < 1 << 40:
             high = max(low, int(low * self.width))
-            t, empty = self.apart(2 * high), 0
-            for _ in range(20):
+            t, least = self.apart(2 * high), max(1, low * self.percent // 100)
+
+            def enough(empty: int, t: int = t, least: int = least) -> bool:
                 s = t + 1 + empty
-                mean = s * math.exp(-max(1, low * self.percent // 100) / s)
-                if empty >= mean + 2 * math.sqrt(mean):
-                    break
-                empty = math.ceil(mean + 2 * math.sqrt(mean))
+                none = math.exp(-least / s)
+                return empty >= s * none + 2 * math.sqrt(max(0.0, s * none * (1 - (1 + least / s) * none)))
+
+            empty = 0
+            while t and not enough(empty) and empty < t + 1:
+                empty += max(1, empty // 16)
             out["low"].append(low)
             out["segments"].append(t + 1 + empty)
             out["empty"].append(empty)
@@ -129,22 +139,38 @@ def _xor_by(values: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, count
 
 
-def sketch_keys(h: np.ndarray, doc: np.ndarray, instance: np.ndarray, bands: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The segment sketches of all sets in the given instances (-1: none) as keys, and how many each set has."""
-    use = instance >= 0
-    s = np.where(use, bands["segments"][instance], 0)
-    base = np.cumsum(s) - s
-    mine = use[doc]
-    h, doc = h[mine], doc[mine]
-    segment = ((h >> _U(24)) % s[doc].astype(np.uint64)).astype(np.int64)
-    keys, count = _xor_by(mix(h + _U(1)), base[doc] + segment, int(s.sum()))
-    owner = np.repeat(np.arange(len(s)), s)
-    index = np.arange(int(s.sum())) - base[owner]
-    none = count == 0
-    # a set with few empty segments shares one that isn't with any set it links with
-    keep = ~none | (np.bincount(owner[none], minlength=len(s)) > bands["empty"][instance])[owner]
-    place = (instance[owner].astype(np.uint64) << _U(40)) + index.astype(np.uint64)
-    return mix(keys + mix(place))[keep].view(np.int64), np.bincount(owner[keep], minlength=len(s))
+def sketch_keys(h: np.ndarray, doc: np.ndarray, instance: np.ndarray, bands: dict[str, np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The segment sketches of all sets in the given instances (-1: none) as keys, and how many each set has.
+
+    A set with no more empty segments than its band allows for shares a segment that isn't empty with any set it links
+    with. Sets with more are cut anew, in another way, and so on: two of them meet there. Only after the last round the
+    empty segments of what is left (hardly any set) are keys too.
+    """
+    keys_of, owner_of, n = [], [], len(instance)
+    left = np.flatnonzero(instance >= 0)
+    for turn in range(rounds):
+        place = np.full(n, -1)
+        place[left] = np.arange(len(left))
+        mine = place[doc] >= 0
+        g, own = h[mine], place[doc[mine]]
+        s = bands["segments"][instance[left]]
+        base = np.cumsum(s) - s
+        seed = _U(turn)
+        segment = ((mix(g + seed * _ODD[60]) >> _U(24)) % s[own].astype(np.uint64)).astype(np.int64)
+        keys, count = _xor_by(mix(g + seed + _U(1)), base[own] + segment, int(s.sum()))
+        at = np.repeat(np.arange(len(left)), s)
+        index = np.arange(int(s.sum())) - base[at]
+        none = count == 0
+        short = np.bincount(at[none], minlength=len(left)) > bands["empty"][instance[left]]
+        keep = ~none | (short[at] if turn == rounds - 1 else False)
+        where = ((instance[left][at].astype(np.uint64) * _U(rounds) + seed) << _U(40)) + index.astype(np.uint64)
+        keys_of.append(mix(keys + mix(where))[keep])
+        owner_of.append(left[at[keep]])
+        left = left[short]
+        if not len(left):
+            break
+    keys, owner = np.concatenate(keys_of), np.concatenate(owner_of)
+    return keys[np.argsort(owner, kind="stable")].view(np.int64), np.bincount(owner, minlength=n)
 
 
 def bit_sketches(h: np.ndarray, doc: np.ndarray, instance: np.ndarray, bands: dict[str, np.ndarray]) -> list[bytes | None]:
@@ -207,11 +233,13 @@ def _hamming_ok(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.mapInArrow(run, _PAIR)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def verify(pairs: DataFrame, docs: DataFrame, join: Join, stage: Stage = stage) -> DataFrame:
     """The pairs that link, by their texts. docs: id, text. Texts that no pair needs aren't moved if the needed ids are few."""
     ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    texts = docs.join(small(ids), "id", "left_semi").dropDuplicates(["id"])
-    texts = stage(texts, "texts")
+    texts = stage(docs.join(small(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +320,7 @@ def _between_components(join: Join, forest: bool):
     return run
 
 
-def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, forest: bool) -> DataFrame:
+def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, forest: bool, stage: Stage) -> DataFrame:
     """Pairs between the components that share a key; shared: key, node, m (the key's rows)."""
     named = shared.select("key", "node", "m").join(comp, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("comp"))
     named = stage(named, "named")
@@ -305,14 +333,21 @@ def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join,
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join, forest), _PAIR)
 
 
-def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text", left: list[DataFrame] | None = None) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Null and empty texts, and those of white space only, have empty sets and link with nothing. Rows that repeat an id
-    count as one document. A row with a null id links with nothing. An empty table gives an empty result.
+    count as one document, compared by the least of its texts. A row with a null id links with nothing. An empty table gives an empty result.
+    Tables that the work wrote are deleted, but for the two that the result reads: these are put into `left`.
     """
+    made: list[DataFrame] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        made.append(staging.stage(df, name))
+        return made[-1]
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prof = stage(profiles(docs, join, id_col, text_col), "profiles")
+    prof = staging.stage(profiles(docs, join, id_col, text_col), "profiles")
     # equal sets first: one of them stands for all
     full = prof.where("n > 0 and id is not null")
     same = full.groupBy("xor", "total", "n").agg(F.min("id").alias("rep"))
@@ -320,22 +355,25 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     others = members.where("id <> rep").select("id").distinct()
     sets = full.join(small(stage(others, "others")), "id", "left_anti")
     keyed = sets.select(F.explode(F.concat("keys", "keys_next")).alias("key"), F.col("id").alias("node"))
-    # a key has at most one row of a set, of its many: no key has more than a small part of all rows
-    w = Window.partitionBy("key")
-    shared = keyed.withColumns({"first": F.min("node").over(w), "last": F.max("node").over(w), "m": F.count(F.lit(1)).over(w)}).where("first < last")
-    shared = stage(shared, "shared")
+    # counted with partial sums: no key's rows are gathered, however many it has
+    ends = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")).where("first < last")
+    shared = stage(keyed.join(small(stage(ends, "keys")), "key"), "shared")
     light = stage(sets.select("id", "n", "band", "bits", "bits_next"), "sets")
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = verify(stage(_hamming_ok(stars, light, join), "stars"), rows, join)
+    links = verify(stage(_hamming_ok(stars, light, join), "stars"), rows, join, stage)
     comp = components(links)
     # where one key still has several components: first what joins them most nearly, then all that is left between them
     for forest in (True, False):
-        found = stage(_open_pairs(shared, comp, light, join, forest).distinct(), "between")
-        links = links.union(verify(found, rows, join))
+        found = stage(_open_pairs(shared, comp, light, join, forest, stage).distinct(), "between")
+        links = links.union(verify(found, rows, join, stage))
         comp = components(links)
     comp = stage(comp, "components")
     named = members.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    moved = stage(named.where("id <> component").distinct(), "moved")
+    moved = staging.stage(named.where("id <> component").distinct(), "moved")
+    for table in made:
+        drop_staged(table)
+    if left is not None:
+        left += [prof, moved]
     out = prof.select("id", "n").join(small(moved), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
@@ -349,7 +387,11 @@ def keep_one(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str
     nodes = docs.where(named).select(F.col(id_col).cast("long").alias("id"), text.alias("digest")).distinct()
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     if not nodes.groupBy("id").count().where("count > 1").limit(1).count():
-        gone = stage(classes(docs, join, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+        left: list[DataFrame] = []
+        found = classes(docs.select(id_col, text_col), join, id_col, text_col, left)
+        gone = stage(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+        for table in left:
+            drop_staged(table)
         return docs.join(small(gone), id_col, "left_anti")
     one = docs.where(named).select(F.col(id_col).cast("long").alias("id"), text.alias("digest"), F.col(text_col).alias("text")).join(nodes, ["id", "digest"])
     found = classes(stage(one.select("node", "text").dropDuplicates(["node"]), "texts"), join, "node", "text")
