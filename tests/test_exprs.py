@@ -99,7 +99,7 @@ def test_routes(spark):
     def answer(url):
         return '{"code": "Ok", "routes": [{"duration": 60, "distance": 900}]}' if "2.0,1.0;4.0,3.0" in url else "{"
 
-    assert HttpRoutes("http://x", workers=1, pause=0, get=answer).routes(pairs).first() == ("k", 60.0, 900.0)
+    assert HttpRoutes("http://x", workers=1, pause=0, session=lambda: answer).routes(pairs).first() == ("k", 60.0, 900.0)
 
 
 def test_orders_from_text(spark, tmp_path):

@@ -19,7 +19,7 @@ def fits(monkeypatch):
 
     def fit(df, spec, least_rows=0):
         seen.append((spec, df.count()))
-        return ml.Fitted(spec, None, {}, {}, 7.0)
+        return ml.Fitted(spec, None, None, (), {}, 7.0)
 
     monkeypatch.setattr(ml, "fit", fit)
     return seen

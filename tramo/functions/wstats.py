@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 SLACK = 1e-12
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equal keys, NULL equal to NULL."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """As a join by names, with NULL equal to NULL; no keys: right has one row."""
     named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -26,29 +21,44 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, n: str, width: float = 1 / 16) -> DataFrame:
+#: Widths of the bins that a median is looked for in, one after another: the rows of the last one are of very few values.
+WIDTHS = (1 / 16, 1 / (1 << 20))
+
+
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, n: str, widths: Sequence[float] = WIDTHS, total: str | None = None) -> DataFrame:
     """By keys the lower weighted median (the first value at which half of all weight is reached), and the rows counted.
 
-    Rows without value or weight are left out. Weights are first summed by bins of `width`, then by value in the one bin
-    where the half is reached, both with partial sums: a key with most rows is no more than one of many.
+    Rows without value or weight are left out. Weights are summed by bins of the first width, then by narrower ones in the
+    one bin where the half is reached, at last by value, always with partial sums: a key with most rows is no more than
+    one of many. total: the name of a column with all weight.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")).where("_v is not null and _w is not null")
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    at = F.floor(F.col("_v") / width)
-    bins = rows.groupBy(*keys, at.alias("_bin")).agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    up = own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumns({"_c": F.sum("_s").over(up), "_t": F.sum("_s").over(own), n: F.sum("_n").over(own)})
-    half = F.col("_t") / 2 - F.col("_t") * SLACK
-    bins = bins.withColumn("_half", half).withColumn("_at", F.min(F.when(F.col("_c") >= half, F.col("_bin"))).over(own)).where("_bin = _at")
-    bins = bins.select(*keys, F.col("_bin"), (F.col("_c") - F.col("_s")).alias("_before"), "_half", n)
-    inside = join_keys(rows.withColumn("_bin", at), bins, [*keys, "_bin"], "inner")
-    values = inside.groupBy(*keys, "_v").agg(F.sum("_w").alias("_s"), F.first("_before").alias("_before"), F.first("_half").alias("_half"), F.first(n).alias(n))
+    found = None
+    for width in widths:
+        at = F.floor(F.col("_v") / width)
+        if found is None:
+            bins = rows.groupBy(*keys, at.alias("_bin")).agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_n"))
+            before, told = F.lit(0.0), {"_t": F.sum("_s").over(own), "_rows": F.sum("_n").over(own)}
+        else:
+            rows = join_keys(rows.withColumn("_bin", at_before), found, [*keys, "_bin"], "inner").select(*keys, "_v", "_w", "_before", "_t", "_rows")
+            bins = rows.groupBy(*keys, at.alias("_bin")).agg(F.sum("_w").alias("_s"), *[F.first(c).alias(c) for c in ("_before", "_t", "_rows")])
+            before, told = F.col("_before"), {}
+            rows = rows.select(*keys, "_v", "_w")
+        up = own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumns({"_c": F.sum("_s").over(up) + before, **told})
+        reached = F.col("_c") >= F.col("_t") / 2 - F.col("_t") * SLACK
+        # summed in another order, the half may lie a hair beyond the last bin: then it is the last one
+        bins = bins.withColumn("_at", F.coalesce(F.min(F.when(reached, F.col("_bin"))).over(own), F.max("_bin").over(own))).where("_bin = _at")
+        found, at_before = bins.select(*keys, "_bin", (F.col("_c") - F.col("_s")).alias("_before"), "_t", "_rows"), at
+    inside = join_keys(rows.withColumn("_bin", at_before), found, [*keys, "_bin"], "inner")
+    values = inside.groupBy(*keys, "_v").agg(F.sum("_w").alias("_s"), *[F.first(c).alias(c) for c in ("_before", "_t", "_rows")])
     up = own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_c", F.sum("_s").over(up) + F.col("_before"))
-    last = F.max("_v").alias("_last")
-    got = values.groupBy(*keys).agg(F.min(F.when(F.col("_c") >= F.col("_half"), F.col("_v"))).alias(out), last, F.first(n).alias(n))
-    return got.select(*keys, F.coalesce(out, "_last").alias(out), n)
+    reached = F.sum("_s").over(up) + F.col("_before") >= F.col("_t") / 2 - F.col("_t") * SLACK
+    values = values.withColumn("_ok", reached)
+    got = values.groupBy(*keys).agg(F.min(F.when(F.col("_ok"), F.col("_v"))).alias(out), F.max("_v").alias("_last"), F.first("_rows").alias(n), F.first("_t").alias("_t"))
+    return got.select(*keys, F.coalesce(out, "_last").alias(out), n, *([F.col("_t").alias(total)] if total else []))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]], width: float = 1 / 16) -> DataFrame:

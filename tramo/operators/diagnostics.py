@@ -34,11 +34,16 @@ def by_zone_hour(df: DataFrame, pred: str = "ETA_P50") -> DataFrame:
 
 def coverage(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     share = lambda on: F.avg(F.coalesce(on, F.lit(False)).cast("double")) * 100
-    return df.agg(share(F.col("t2a_n_cell") >= p.coverage_min_n).alias("t2a_pct"), share(F.col("t2b_n_cell") >= p.coverage_min_n).alias("t2b_pct"), share(F.abs("T2_bias_corr") >= p.bias_min_abs).alias("bias_pct"))
+    of = lambda c: share(F.col(c) >= p.coverage_min_n) if c in df.columns else F.lit(None).cast("double")
+    return df.agg(of("t2a_n_cell").alias("t2a_pct"), of("t2b_n_cell").alias("t2b_pct"), share(F.abs("T2_bias_corr") >= p.bias_min_abs).alias("bias_pct"))
 
 
 def coverage_text(row, p: Params = DEFAULT) -> str:
-    return f"T2a coverage: {row.t2a_pct:.1f}% of orders hit cells with n_cell >= {p.coverage_min_n}\nT2b direct-cell coverage: {row.t2b_pct:.1f}% with n_cell >= {p.coverage_min_n}\nT2 bias activation rate: {row.bias_pct:.1f}% of orders\n"
+    """The coverage report; a share that there is no column for is n/a."""
+    t2a = "T2a coverage: n/a" if row["t2a_pct"] is None else f"T2a coverage: {row['t2a_pct']:.1f}% of orders hit cells with n_cell >= {p.coverage_min_n}"
+    t2b = "T2b coverage: n/a" if row["t2b_pct"] is None else f"T2b (shop×hour×dow) direct-cell coverage: {row['t2b_pct']:.1f}% with n_cell >= {p.coverage_min_n}"
+    bias = f"T2 bias activation rate: {row['bias_pct'] or 0:.1f}% of orders (|bias| >= {p.bias_min_abs} & N>= {p.bias_min_n})"
+    return "\n".join([t2a, t2b, bias]) + "\n"
 
 
 def error_bands(df: DataFrame, pred: str = "ETA_P50_CORR", bands: Sequence[float] = (2, 5, 10, 15)) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramo.params import DEFAULT, Params
+from tramo.functions import exprs as X
+from tramo.params import DEFAULT, LIMITS, Params
 
 
 def fallback_lookup(facts: DataFrame, table: DataFrame, value: str, exact: Sequence[str], levels: Sequence[tuple[str, Sequence[str]]], out: str, source: str, n_out: str, exact_source, n: str | None = "n_cell") -> DataFrame:
@@ -40,7 +41,7 @@ def _cell_source(name: str):
 
 
 def ratio_lookup(facts: DataFrame, table: DataFrame, bin_col: str, out: str, source: str, n_out: str) -> DataFrame:
-    facts = facts.withColumn("_bin", F.col(bin_col)).withColumn("_peak", F.coalesce(F.col("pickup_hr_ksa").between(14, 22).cast("int"), F.lit(0)))
+    facts = facts.withColumn("_bin", F.col(bin_col)).withColumn("_peak", X.is_peak(F.col("pickup_hr_ksa")))
     t = table.withColumnsRenamed({"dist_bin": "_bin", "is_peak": "_peak"})
     levels = (("fallback:is_peak_dist", ("_peak", "_bin")), ("fallback:hour", ("pickup_hr_ksa",)), ("fallback:global", ()))
     return fallback_lookup(facts, t, "ratio_smoothed", ("zone_name_en", "pickup_hr_ksa", "_bin"), levels, out, source, n_out, _cell_source("zone_hour_dist_smoothed")).drop("_bin", "_peak")
@@ -58,6 +59,14 @@ def dwell_lookup(facts: DataFrame, table: DataFrame, hours: DataFrame, overall:
     return x.withColumns({out: F.coalesce("_c", "_h", "dwell_g"), source: label}).drop("_c", "_h", "dwell_g")
 
 
+def with_dwell(d: DataFrame, table: DataFrame, hours: DataFrame, overall: DataFrame) -> DataFrame:
+    """The last leg: minutes at the door where the arrival is missing and the delivery isn't, else 0."""
+    d = dwell_lookup(d, table, hours, overall, "_dwell", "dwell_source")
+    needs = F.col("dropoff_arrived_ksa").isNull() & F.col("order_delivered_ksa").isNotNull()
+    d = d.withColumns({"T4_dwell_P50": F.when(needs, X.clip(F.col("_dwell"), *LIMITS["T4"])).otherwise(0.0), "dwell_source": F.when(needs, F.col("dwell_source")).otherwise("none")})
+    return d.drop("_dwell")
+
+
 def value_lookup(facts: DataFrame, table: DataFrame, out: str, source: str, n_out: str) -> DataFrame:
     """The exact cell is the shop's first one by vertical; the coarser medians are of all rows."""
     keys = ["shop_id", "pickup_hr_ksa", "dow"]

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.tables import scratch
+from tramo.functions.wstats import quantiles
+from tramo.tables import scratch, stage
 
 RARE = "_rare"
+# The models' features.
 T1_CAT = ("sub_vertical_name", "zone_name_en", "business_branch_name", "shop_id", "mbo_chain_id")
 T1_NUM = ("stacking_order_count", "accepted_courier_count", "rejected_courier_count", "pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon", "order_hr_ksa", "dow")
 T2B_CAT = ("zone_name_en", "sub_vertical_name", "business_branch_name", "shop_id", "mbo_chain_id")
 T2B_NUM = ("pickup_hr_ksa", "dow", "is_peak", "stack_bkt", "stacking_order_count", "accepted_courier_count", "rejected_courier_count", "t2_osrm_distance_km", "t2_osrm_duration_min", "t2a_ratio_p50", "T2a_P50")
 LEAKY = ("t2a_actual_min",)
+T2_LEGACY_CAT = ("zone_name_en", "sub_vertical_name", "business_branch_name", "shop_id", "mbo_chain_id")
+T2_LEGACY_NUM = (
+    "pickup_hr_ksa", "is_peak", "dow", "stacking_order_count", "accepted_courier_count", "rejected_courier_count", "t2_osrm_distance_km", "t2_osrm_duration_min",
+    "prep_shop_mean", "prep_vert_mean", "prep_shop_p50", "prep_shop_iqr", "prep_shop_cnt",
+)
 
 
 @dataclass(frozen=True)
@@ -34,56 +42,88 @@ class Spec:
     seed: int = 42
 
 
+def level_counts(df: DataFrame, cat: Sequence[str]) -> DataFrame:
+    """name, v, n: how many rows have each level of each category; missing ones aren't counted."""
+    slots = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in cat])
+    return df.select(F.explode(slots).alias("x")).select("x.*").where("v is not null").groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_frequent(counts: DataFrame) -> dict[str, str]:
+    """By category its most frequent level, the first in order of equal ones: a row for each category."""
+    best = counts.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("x"))
+    return {r["name"]: r["x"]["v"] for r in best.collect()}
+
+
 @dataclass
 class Fitted:
     spec: Spec
     model: PipelineModel | None
-    levels: dict[str, list[str]]
+    #: name, v: levels that training pools. A table, since they may be many.
+    rare: DataFrame | None
+    #: Categories that have such levels.
+    pooled: Sequence[str]
     modes: dict[str, str]
     constant: float = 5.0
 
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        """Absent columns are missing values; a missing category is its mode, an unknown one has a level of its own."""
-        new: dict[str, Column] = {}
-        for c in self.spec.cat:
-            x = F.coalesce(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string"), F.lit(self.modes.get(c, "")))
-            new[f"_c_{c}"] = F.when(x.isin(self.levels[c]), x).otherwise(RARE) if c in self.levels else x
-        for c in self.spec.num:
-            new[f"_n_{c}"] = F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
-        return df.withColumns(new)
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Absent columns are missing values; a missing category is its mode, a rare one is pooled, an unseen one stays as it is."""
+        missing = F.lit(None)
+        new: dict[str, Column] = {f"_c_{c}": F.coalesce(F.col(c).cast("string") if c in df.columns else missing.cast("string"), F.lit(self.modes.get(c, ""))) for c in self.spec.cat}
+        new |= {f"_n_{c}": F.col(c).cast("double") if c in df.columns else missing.cast("double") for c in self.spec.num}
+        df = df.withColumns(new)
+        for c in self.pooled:
+            rare = self.rare.where(F.col("name") == c).select(F.col("v").alias("_rare_v"))
+            df = df.join(rare, F.col(f"_c_{c}") == F.col("_rare_v"), "left")
+            df = df.withColumn(f"_c_{c}", F.when(F.col("_rare_v").isNotNull(), RARE).otherwise(F.col(f"_c_{c}"))).drop("_rare_v")
+        return df
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         if self.model is None:
             return df.withColumn(out, F.lit(self.constant))
         cols = df.columns
-        return self.model.transform(self._prepared(df)).withColumn(out, F.col("_pred")).select(*cols, out)
+        return self.model.transform(self.prepared(df)).withColumn(out, F.col("_pred")).select(*cols, out)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Everything that load needs, in three folders under path; what is there is replaced."""
+        about = {"spec": asdict(self.spec), "modes": self.modes, "pooled": list(self.pooled), "constant": self.constant, "fitted": self.model is not None}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         if self.model is not None:
-            self.model.write().overwrite().save(path)
+            self.model.write().overwrite().save(f"{path}/model")
+        if self.pooled:
+            self.rare.write.mode("overwrite").parquet(f"{path}/rare")
+
+
+def load(path: str, spark: SparkSession) -> Fitted:
+    about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
+    model = PipelineModel.load(f"{path}/model") if about["fitted"] else None
+    rare = spark.read.parquet(f"{path}/rare") if about["pooled"] else None
+    return Fitted(Spec(**about["spec"]), model, rare, about["pooled"], about["modes"], about["constant"])
+
+
+def constant(df: DataFrame, label: str, spec: Spec | None = None) -> Fitted:
+    """The training median for every row; 5 if there is no row to train on."""
+    got = quantiles(df, [], {"m": (label, 0.5)}).first()["m"]
+    return Fitted(spec or Spec((), (), label), None, None, (), {}, 5.0 if got is None else got)
 
 
 def fit(df: DataFrame, spec: Spec, least_rows: int = 0) -> Fitted:
     """Absolute loss, the objective of a median. With fewer rows than asked for, the training median (5 without rows)."""
     df = df.where(F.col(spec.label).isNotNull())
     cat, num = [c for c in spec.cat if c in df.columns], [c for c in spec.num if c in df.columns]
-    modes, levels = {}, {}
     if df.limit(max(1, least_rows)).count() < max(1, least_rows):
-        got = df.agg(F.median(spec.label)).first()[0]
-        return Fitted(spec, None, {}, {}, 5.0 if got is None else got)
-    for c in cat:  # a row for each level
-        counts = df.groupBy(F.col(c).cast("string").alias("v")).count().where("v is not null").orderBy(F.desc("count"), "v")
-        modes[c] = (counts.first() or {"v": ""})["v"]
-        if spec.min_frequency > 1:
-            levels[c] = [r["v"] for r in counts.where(F.col("count") >= spec.min_frequency).toLocalIterator()]
+        return constant(df, spec.label, spec)
+    modes, rare, pooled = {}, None, []
+    if cat:
+        counts = stage(level_counts(df, cat), "levels")
+        modes, rare = most_frequent(counts), counts.where(F.col("n") < spec.min_frequency).select("name", "v")
+        pooled = sorted(r["name"] for r in rare.select("name").distinct().collect())  # names of columns
     # a number that is missing everywhere has no median
     some = df.agg(*[F.count(c).alias(c) for c in num]).first() if num else {}
     num = [c for c in num if some[c]]
-    use = Spec(cat, num, spec.label, spec.max_iter, spec.max_depth, spec.min_rows, spec.min_frequency, spec.seed)
-    out = Fitted(use, None, levels, modes)
+    out = Fitted(replace(spec, cat=cat, num=num), None, rare, pooled, modes)
     c_in, n_in = [f"_c_{c}" for c in cat], [f"_n_{c}" for c in num]
     stages = [
-        StringIndexer(inputCols=c_in, outputCols=[f"{c}_i" for c in c_in], handleInvalid="keep"),
+        StringIndexer(inputCols=c_in, outputCols=[f"{c}_i" for c in c_in], handleInvalid="keep"),  # unseen levels: all zeros
         OneHotEncoder(inputCols=[f"{c}_i" for c in c_in], outputCols=[f"{c}_o" for c in c_in], dropLast=True),
     ] if cat else []
     stages += [Imputer(inputCols=n_in, outputCols=[f"{c}_f" for c in n_in], strategy="median")] if num else []
@@ -94,12 +134,12 @@ def fit(df: DataFrame, spec: Spec, least_rows: int = 0) -> Fitted:
     # without a folder to checkpoint to, the lineage grows with each tree
     if not (context := df.sparkSession.sparkContext).getCheckpointDir():
         context.setCheckpointDir(scratch(df.sparkSession))
-    out.model = Pipeline(stages=stages).fit(out._prepared(df))
+    out.model = Pipeline(stages=stages).fit(out.prepared(df))
     return out
 
 
 def t1_spec(max_iter: int = 600) -> Spec:
-    return Spec(T1_CAT, T1_NUM, "t1_actual_min", max_iter)
+    return Spec(T1_CAT, T1_NUM, "t1_actual_min", max_iter, min_frequency=10)
 
 
 def t2b_spec(leaky: bool = False, max_iter: int = 500) -> Spec:
@@ -107,4 +147,4 @@ def t2b_spec(leaky: bool = False, max_iter: int = 500) -> Spec:
 
 
 def t2_legacy_spec(max_iter: int = 600) -> Spec:
-    return Spec(T2B_CAT, (*T1_NUM[:3], "pickup_hr_ksa", "is_peak", "t2_osrm_distance_km", "t2_osrm_duration_min", "prep_shop_mean", "prep_vert_mean", "prep_shop_p50", "prep_shop_iqr", "prep_shop_cnt"), "t2_resid", max_iter, min_rows=25, min_frequency=20)
+    return Spec(T2_LEGACY_CAT, T2_LEGACY_NUM, "t2_resid", max_iter, min_rows=25, min_frequency=20)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
-from tramo.functions.wstats import SLACK, join_keys, quantiles, weighted_median, with_quantiles
+from tramo.functions.wstats import join_keys, quantiles, weighted_median, with_quantiles
+from tramo.tables import stage
 
 
 @dataclass(frozen=True)
@@ -26,23 +27,33 @@ def _pick(cells: DataFrame, levels: Sequence[Level], out: str) -> DataFrame:
     return cells.withColumns(new).drop(*[f"_{c}{k}" for c in "vn" for k in range(len(levels))])
 
 
-def with_parents(cells: DataFrame, rows: DataFrame, levels: Sequence[Level], value: str, weight: str, out: str = "parent_value") -> DataFrame:
-    """cells with the value, size and label of the first of the levels that has one; levels are weighted medians of rows."""
+def medians_by_level(rows: DataFrame, levels: Sequence[Level], value: str, weight: str) -> DataFrame:
+    """Weighted medians of all levels in one pass: level (its number), all levels' keys (null where a level hasn't one), v, n and t (all weight)."""
+    keys = list(dict.fromkeys(k for level in levels for k in level.keys))
+    kinds = dict(rows.dtypes)
+    slots = [F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in level.keys else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for i, level in enumerate(levels)]
+    x = rows.select(F.explode(F.array(*slots)).alias("_x"), F.col(value).alias("_value"), F.col(weight).alias("_weight")).select("_x.*", "_value", "_weight")
+    return weighted_median(x, ["level", *keys], "_value", "_weight", "v", "n", total="t")
+
+
+def _attach(cells: DataFrame, rows: DataFrame, levels: Sequence[Level], value: str, weight: str, size: str, out: str) -> DataFrame:
+    found = stage(medians_by_level(rows, levels, value, weight), "parents")
     for k, level in enumerate(levels):
-        cells = join_keys(cells, weighted_median(rows, level.keys, value, weight, f"_v{k}", f"_n{k}"), level.keys)
+        one = found.where(F.col("level") == k).select(*level.keys, F.col("v").alias(f"_v{k}"), F.col(size).cast("long").alias(f"_n{k}"))
+        # a level without keys has one row, or none if there are no rows
+        one = one if level.keys else cells.sparkSession.range(1).join(one, F.lit(True), "left").drop("id")
+        cells = join_keys(cells, one, level.keys)
     return _pick(cells, levels, out)
 
 
+def with_parents(cells: DataFrame, rows: DataFrame, levels: Sequence[Level], value: str, weight: str, out: str = "parent_value") -> DataFrame:
+    """cells with the value, size and label of the first of the levels that has one; levels are weighted medians of rows."""
+    return _attach(cells, rows, levels, value, weight, "n", out)
+
+
 def with_cell_parents(cells: DataFrame, levels: Sequence[Level], value: str, n: str, out: str = "parent_value") -> DataFrame:
-    """As with_parents, but levels are medians of the cells themselves, weighted by their sizes: windows over the cells, which are few."""
-    for k, level in enumerate(levels):
-        own = Window.partitionBy(*level.keys) if level.keys else Window.partitionBy(F.lit(0))
-        counted = F.when(F.col(value).isNotNull(), F.col(n))
-        up = own.orderBy(F.col(value).asc_nulls_last(), n).rowsBetween(Window.unboundedPreceding, 0)
-        cells = cells.withColumns({"_c": F.sum(counted).over(up), "_t": F.sum(counted).over(own), f"_n{k}": F.sum(n).over(own).cast("long")})
-        reached = F.when(F.col("_c") >= F.col("_t") / 2 - F.col("_t") * SLACK, F.col(value))
-        cells = cells.withColumn(f"_v{k}", F.min(reached).over(own)).drop("_c", "_t")
-    return _pick(cells, levels, out)
+    """As with_parents, but levels are medians of the cells themselves, weighted by their sizes."""
+    return _attach(cells, cells, levels, value, n, "t", out)
 
 
 RATIO_LEVELS = (

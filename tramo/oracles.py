@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
-from tramo.params import DEFAULT, DIST_EDGES, DIST_LABELS, LIMITS
 from tramo.sources.fixture import DELIVERIES_SQL, PREP_ORDER_SQL, PREP_SHOP_SQL, PREP_VERTICAL_SQL
 
 CTES: dict[str, str] = {}
+# Fixed values, written here once more: the other side of a comparison must not take them from the library.
+BINS = ((0, 1, "<1"), (1, 2, "1-2"), (2, 4, "2-4"), (4, 6, "4-6"), (6, 8, "6-8"), (8, 12, "8-12"), (12, 20, "12-20"), (20, 1_000_000_000, "20+"))
+CLIPS = {"T2a": (0, 120), "T2b": (0, 90), "T2": (0.5, 240), "T3": (0.5, 180), "T4": (0, 60)}
+MASKS = {"T1": (0, 60), "T2": (0.5, 240), "T3": (0.5, 180), "ETA": (10, 300)}
 
 
 def query(body: str) -> str:
@@ -26,12 +29,12 @@ def query(body: str) -> str:
 
 
 def dist(km: str, rest: str = "null") -> str:
-    whens = " ".join(f"when {km} >= {lo!r} and {km} < {hi!r} then '{name}'" for lo, hi, name in zip(DIST_EDGES[:-1], DIST_EDGES[1:], DIST_LABELS, strict=True))
+    whens = " ".join(f"when {km} >= {lo}e0 and {km} < {hi}e0 then '{name}'" for lo, hi, name in BINS)
     return f"case when {km} is null then null {whens} else {rest} end"
 
 
 def clip(x: str, leg: str) -> str:
-    lo, hi = LIMITS[leg]
+    lo, hi = CLIPS[leg]
     return f"case when {x} is null then null else greatest({lo!r}e0, least({hi!r}e0, {x})) end"
 
 
@@ -78,8 +81,8 @@ CTES["c_legs"] = """select *, case when reason_ = '' then 0 else 1 end as t3_coo
 
 # ratios
 for leg, half, low, high, extra, ts in (
-    ("t2a", DEFAULT.half_life_t2a, "t2a_actual_min between 0.2 and 120", "t2_osrm_duration_min between 0.2 and 90", "true", "coalesce(accepted_s, created_s)"),
-    ("t3", DEFAULT.half_life_t3, "t3_actual_min between 0.5 and 180", "t3_osrm_duration_min between 0.2 and 150", "t3_coord_flag = 0", "coalesce(departed_s, created_s)"),
+    ("t2a", 21.0, "t2a_actual_min between 0.2 and 120", "t2_osrm_duration_min between 0.2 and 90", "true", "coalesce(accepted_s, created_s)"),
+    ("t3", 21.0, "t3_actual_min between 0.5 and 180", "t3_osrm_duration_min between 0.2 and 150", "t3_coord_flag = 0", "coalesce(departed_s, created_s)"),
 ):
     r = leg[:2]
     CTES[f"c_{leg}_rows"] = f"""select zone_name_en, pickup_hr_ksa, is_peak, {r}_dist_bin as dist_bin, {leg}_actual_min / {r}_osrm_duration_min as ratio, {leg}_actual_min, {ts} as ts_
@@ -141,7 +144,7 @@ for label, keys in (("val_svh", ["sub_vertical_name", "pickup_hr_ksa", "dow"]),
 parents("c_t2b_par", "c_t2b_cells", [("val_svh", "c_t2b_val_svh", ["sub_vertical_name", "pickup_hr_ksa", "dow"]), ("val_hd", "c_t2b_val_hd", ["pickup_hr_ksa", "dow"]), ("val_g", "c_t2b_val_g", [])], "v_", "s_m_", "parent_value")
 CTES["c_t2b_smoothed"] = "select shop_id, sub_vertical_name, pickup_hr_ksa, dow, value_p50 as value_cell, n as n_cell, parent_value, parent_n, parent_level, (n * value_p50 + 80e0 * parent_value) / (n + 80) as value_smoothed from c_t2b_par"
 CTES["c_po0"] = f"select *, cast(((accepted_s + 10800) // 3600) % 24 as int) as pickup_hr_ksa, cast(((accepted_s + 10800) // 86400 + 3) % 7 as int) as dow from ({PREP_ORDER_SQL.replace('{deliveries}', 'c_d')}) x"
-CTES["c_po1"] = recency("departed_s", "c_po0", DEFAULT.half_life_prep)
+CTES["c_po1"] = recency("departed_s", "c_po0", 28.0)
 weighted_median("c_prior_order", "c_po1", ["shop_id", "sub_vertical_name", "pickup_hr_ksa", "dow"], "prep_time_min", "w", "prior_p50", "n_prior")
 CTES["c_prior_shop"] = f"select shop_id, -1 as pickup_hr_ksa, -1 as dow, prep_time_sec / 60 as prior_p50, cast(1 as bigint) as n_prior from ({PREP_SHOP_SQL.replace('{deliveries}', 'c_d')}) x"
 CTES["c_prior_vertical"] = f"select sub_vertical_name, -1 as pickup_hr_ksa, dow, prep_time_min as prior_p50, cast(1 as bigint) as n_prior from ({PREP_VERTICAL_SQL.replace('{deliveries}', 'c_d')}) x"
@@ -172,7 +175,7 @@ CTES["c_t2"] = f"select *, {clip('T2a_P50 + T2b_P50', 'T2')} as T2_P50 from (sel
 # bias
 CTES["c_split"] = "select *, row_number() over (order by created_s, order_id) <= floor(count(*) over () * 0.8e0) as is_train from c_t2"
 CTES["c_bias0"] = "select zone_name_en, pickup_hr_ksa, stack_bkt, created_s, t2_actual_min - (T2a_P50 + T2b_P50) as t2_resid from c_split where is_train and t2_actual_min is not null and pickup_hr_ksa is not null and zone_name_en is not null"
-CTES["c_bias1"] = recency("created_s", "c_bias0", DEFAULT.half_life_bias)
+CTES["c_bias1"] = recency("created_s", "c_bias0", 10.0)
 weighted_median("c_bias_cells", "c_bias1", ["zone_name_en", "pickup_hr_ksa", "stack_bkt"], "t2_resid", "w", "bias_cell", "n_cell")
 _B = [("bias_zh", ["zone_name_en", "pickup_hr_ksa"]), ("bias_hb", ["pickup_hr_ksa", "stack_bkt"]), ("bias_h", ["pickup_hr_ksa"]), ("bias_g", [])]
 for label, keys in _B:
@@ -209,6 +212,7 @@ def fourth(name: str, facts: str) -> None:
 
 fourth("c_t4", "c_t3_base")
 fourth("c_t4_only", "c_legs")
+CTES["c_late"] = "select * from c_eta where order_id not in (select order_id from c_split where is_train)"
 CTES["c_eta"] = """select *, T1_P50 + T2_P50 + T3_P50 as ETA_P50, T1_P50 + T2_P50_CORR + T3_P50 as ETA_P50_CORR from (select f.*, T3_base_P50 + T4_dwell_P50 as T3_P50, t1.m as T1_P50,
  0e0 as T2b_resid_P50, 0e0 as T2b_resid_gated from c_t4 f cross join (select median(t1_actual_min) as m from c_legs where t1_actual_min between 0 and 60) t1) x"""
 
@@ -233,3 +237,32 @@ CTES["c_e3"] = "select *, " + ", ".join(f"{leg}_km / 30e0 * 60 as {leg}_dur, cas
 CTES["c_resid"] = """select *, greatest(-15e0, least(45e0, t2_actual_min - t2_osrm_duration_min * t2a_ratio_p50)) as t2_resid from c_t2a_hit
  where t2_actual_min between 0.5 and 240 and t2_osrm_duration_min is not null and t2a_ratio_p50 is not null"""
 CTES["c_guard"] = "select zone_name_en, is_peak, stack_bkt, avg(t2_resid) as guard_mean from c_resid where zone_name_en is not null group by all"
+
+# the earlier model's own plan: ratios from the calibration tables of the enriched orders
+for leg, n0 in (("t2", 50), ("t3", 30)):
+    CTES[f"c_v_{leg}_cells"] = f"""select zone_name_en, hr_ as pickup_hr_ksa, {dist(f"{leg}_km")} as dist_bin, median({leg}_ratio) as ratio_p50, count(*) as n, case when hr_ between 14 and 22 then 1 else 0 end as is_peak
+ from c_e3 where hr_ is not null and zone_name_en is not null and {leg}_km < 1e9 and {leg}_ratio is not null group by all"""
+    for label, keys in (("hd", ["pickup_hr_ksa", "dist_bin"]), ("ipd", ["is_peak", "dist_bin"]), ("h", ["pickup_hr_ksa"]), ("ip", ["is_peak"]), ("g", [])):
+        weighted_median(f"c_v_{leg}_of_{label}", f"c_v_{leg}_cells", keys, "ratio_p50", "n", "v_", "m_")
+    parents(f"c_v_{leg}_par", f"c_v_{leg}_cells", [(f"ratio_{x}", f"c_v_{leg}_of_{x}", k) for x, k in (("hd", ["pickup_hr_ksa", "dist_bin"]), ("ipd", ["is_peak", "dist_bin"]), ("h", ["pickup_hr_ksa"]), ("ip", ["is_peak"]), ("g", []))], "v_", "s_m_", "parent_ratio")
+    CTES[f"c_v_{leg}_smoothed"] = f"select zone_name_en, pickup_hr_ksa, dist_bin, is_peak, n as n_cell, parent_level, (n * ratio_p50 + {n0}e0 * parent_ratio) / (n + {n0}) as ratio_smoothed from c_v_{leg}_par"
+ratio_lookup("c_v_hit", "c_legs", "c_v_t2_smoothed", "t2_dist_bin", "t2_ratio_p50", "t2_ratio_source", "t2_n_cell")
+CTES["c_v_stats"] = """select cast(mbo_chain_id as varchar) as chain_, median(prep_time_min) as prep_shop_p50, quantile_cont(prep_time_min, 0.75) - quantile_cont(prep_time_min, 0.25) as prep_shop_iqr, count(*) as prep_shop_cnt
+ from c_po0 join (select order_id, mbo_chain_id from c_d) o using (order_id) group by 1"""
+CTES["c_v_shop"] = "select mbo_chain_id, sum(prep_time_min) / count(*) as prep_shop_mean from c_po0 join (select order_id, mbo_chain_id from c_d) o using (order_id) where mbo_chain_id % 3 <> 0 group by 1"
+CTES["c_v_vert"] = "select sub_vertical_name, sum(prep_time_min) / count(*) as prep_vert_mean from c_po0 where sub_vertical_name <> 'V4' group by 1"
+CTES["c_v_prep"] = """select f.*, t2_osrm_duration_min * t2_ratio_p50 as T2_osrm_ratio_pred, prep_shop_mean, prep_vert_mean, prep_shop_p50, prep_shop_iqr, prep_shop_cnt from c_v_hit f
+ left join c_v_shop using (mbo_chain_id) left join c_v_vert using (sub_vertical_name) left join c_v_stats s on s.chain_ = cast(f.mbo_chain_id as varchar)"""
+CTES["c_v_train"] = "select *, greatest(-15e0, least(45e0, t2_actual_min - T2_osrm_ratio_pred)) as t2_resid from c_v_prep where t2_actual_min between 0.5 and 240 and T2_osrm_ratio_pred is not null"
+CTES["c_v_guard"] = "select zone_name_en, is_peak, stack_bkt, avg(t2_resid) as g_ from c_v_train where zone_name_en is not null group by all"
+CTES["c_v_t2"] = f"""select *, 0e0 as T2_resid_P50, {clip("T2_osrm_ratio_pred + guard_adj", "T2")} as T2_P50 from (select f.*, case when f.zone_name_en in ('Z0', 'Z1', 'Z2', 'Z3', 'Z4', 'Z5') and f.is_peak = 1 and g.g_ > 0 then 0.7e0 * g.g_ else 0e0 end as guard_adj
+ from c_v_prep f left join c_v_guard g on g.zone_name_en = f.zone_name_en and g.is_peak = f.is_peak and g.stack_bkt = f.stack_bkt) x"""
+ratio_lookup("c_v_t3", "c_v_t2", "c_v_t3_smoothed", "t3_dist_bin", "t3_ratio_p50", "t3_ratio_source", "t3_n_cell")
+fourth("c_v_t4", "c_v_t3")
+CTES["c_v_eta"] = f"""select *, T3_base_P50 + T4_dwell_P50 as T3_P50, T1_P50 + T2_P50 + T3_base_P50 + T4_dwell_P50 as ETA_P50 from (select f.*, {clip("t3_osrm_duration_min * t3_ratio_p50", "T3")} as T3_base_P50, m as T1_P50
+ from c_v_t4 f cross join (select median(t1_actual_min) as m from c_legs where t1_actual_min between 0 and 60) y) x"""
+
+# what the boosted models are given
+CTES["c_t1_train"] = "select * from c_legs where t1_actual_min between 0 and 60"
+CTES["c_t1_levels"] = " union all ".join(f"select '{c}' as name, cast({c} as varchar) as v, count(*) as n from c_t1_train where {c} is not null group by 2" for c in ("sub_vertical_name", "zone_name_en", "business_branch_name", "shop_id", "mbo_chain_id"))
+CTES["c_t2b_train0"] = "select *, greatest(-10e0, least(30e0, t2b_actual_min - T2b_base_P50)) as t2b_resid from c_t2 where t2b_actual_min is not null and T2b_base_P50 is not null"

@@ -86,7 +86,8 @@ class Delivery:
 
     @cached_property
     def legs(self) -> DataFrame:
-        return self.keep(with_legs(self.orders, self.p), "legs")
+        # expressions over the orders' own columns: each reader takes the few that it needs, and nothing is written
+        return with_legs(self.orders, self.p)
 
     @cached_property
     def t2a_cells(self) -> DataFrame:
@@ -106,12 +107,12 @@ class Delivery:
 
     @cached_property
     def t3_baseline(self) -> DataFrame:
-        return self.keep(smoothing.t3_baseline(self.keep(baseline_rows(self.legs, self.p.half_life_t3), "t3_rows"), self.p.n0_t3), "t3_baseline")
+        return self.keep(smoothing.t3_baseline(baseline_rows(self.legs, self.p.half_life_t3), self.p.n0_t3), "t3_baseline")
 
     @cached_property
     def dwell(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         cells, hours, overall = smoothing.dwell(dwell_rows(self.legs), self.p.n0_dwell)
-        return self.keep(cells, "dwell"), self.keep(hours, "dwell_hours"), self.keep(overall, "dwell_all")
+        return self.keep(cells, "dwell"), self.keep(hours, "dwell_hours"), overall
 
     @cached_property
     def t2b_cells(self) -> DataFrame:
@@ -158,7 +159,8 @@ class Delivery:
         d = temporal_split(self.t2, "order_created_ksa", "order_id", self.p.train_share).where("is_train")
         d = d.withColumn("t2_resid", F.col("t2_actual_min") - (F.coalesce("T2a_P50", F.lit(0.0)) + F.coalesce("T2b_P50", F.lit(0.0))))
         d = d.where("t2_resid is not null and pickup_hr_ksa is not null and zone_name_en is not null")
-        return self.keep(with_recency(d, F.col("order_created_ksa"), self.p.half_life_bias), "bias_rows")
+        d = d.select("zone_name_en", "pickup_hr_ksa", "stack_bkt", "order_created_ksa", "t2_resid")
+        return with_recency(self.keep(d, "bias_rows"), F.col("order_created_ksa"), self.p.half_life_bias)
 
     @cached_property
     def bias_map(self) -> DataFrame:
@@ -182,10 +184,7 @@ class Delivery:
         ).drop("_base", "_base_src")
 
     def add_t4(self, d: DataFrame) -> DataFrame:
-        d = lookup.dwell_lookup(d, *self.dwell, "_dwell", "dwell_source")
-        needs = F.col("dropoff_arrived_ksa").isNull() & F.col("order_delivered_ksa").isNotNull()
-        d = d.withColumns({"T4_dwell_P50": F.when(needs, X.clip(F.col("_dwell"), *LIMITS["T4"])).otherwise(0.0), "dwell_source": F.when(needs, F.col("dwell_source")).otherwise("none")})
-        return d.drop("_dwell")
+        return lookup.with_dwell(d, *self.dwell)
 
     def add_t1(self, d: DataFrame) -> DataFrame:
         if self.t1_model:
@@ -208,25 +207,56 @@ class Delivery:
 
     def fit_t2b(self, trees: int = 500) -> ml.Fitted | None:
         """The model of the waiting leg's residual, from the earlier share of its rows; None (a residual of 0) if all of them are too few."""
-        d = self.t2.where("t2b_actual_min is not null and T2b_base_P50 is not null")
-        d = d.withColumn("t2b_resid", X.clip(F.col("t2b_actual_min") - F.col("T2b_base_P50"), -10.0, 30.0))
-        if d.limit(self.p.min_train_resid).count() < self.p.min_train_resid:
+        if self._residual.limit(self.p.min_train_resid).count() < self.p.min_train_resid:
             return None
-        d = temporal_split(d, "order_created_ksa", "order_id", self.p.train_share).where("is_train")
-        return ml.fit(self.keep(d, "train"), ml.t2b_spec(self.p.leaky_features, trees))
+        return ml.fit(self.keep(self.t2b_rows.where("is_train"), "train"), ml.t2b_spec(self.p.leaky_features, trees))
+
+    @property
+    def _residual(self) -> DataFrame:
+        d = self.t2.where("t2b_actual_min is not null and T2b_base_P50 is not null")
+        return d.withColumn("t2b_resid", X.clip(F.col("t2b_actual_min") - F.col("T2b_base_P50"), -10.0, 30.0))
+
+    @property
+    def t2b_rows(self) -> DataFrame:
+        """The waiting leg's residuals, and which of them are to learn from: the earlier share."""
+        return temporal_split(self._residual, "order_created_ksa", "order_id", self.p.train_share)
 
     def fit_models(self, t1_iter: int = 600, t2b_iter: int = 500) -> Delivery:
-        """The same with fitted models of the first leg and of the waiting leg's residual."""
-        return replace(self, t1_model=self.fit_t1(t1_iter), t2b_model=self.fit_t2b(t2b_iter))
+        """The same with fitted models of the first leg and of the waiting leg's residual. Tables that no model touches are shared."""
+        new = replace(self, t1_model=self.fit_t1(t1_iter), t2b_model=self.fit_t2b(t2b_iter))
+        new.__dict__.update({k: v for k, v in self.__dict__.items() if k in UNTOUCHED})
+        return new
+
+    @cached_property
+    def held_out(self) -> DataFrame:
+        """The predictions of the later share of the orders, from which no bias and no residual was learnt."""
+        return temporal_split(self.predictions, "order_created_ksa", "order_id", self.p.train_share).where("not is_train").drop("is_train")
 
 
-#: What is written for each order, as far as it exists.
+#: Tables of the plan that don't depend on a fitted model.
+UNTOUCHED = ("legs", "t2a_cells", "t2a_smoothed", "t3_cells", "t3_smoothed", "t3_baseline", "dwell", "t2b_cells", "t2b_smoothed", "prep_priors", "t2b_blend", "t2a")
+
+# What is written for each order, as far as it exists.
 PREDICTION_COLUMNS = (
-    "order_id zone_name_en pickup_hr_ksa is_peak dow stack_bkt T1_P50 t1_actual_min T2a_P50 t2a_ratio_p50 t2a_ratio_src t2a_n_cell T2b_base_P50 T2b_resid_P50 T2b_resid_gated "
-    "T2b_P50 t2b_n_cell t2a_actual_min t2b_actual_min T2_P50 T2_bias_corr T2_P50_CORR t2_actual_min t3_coord_flag t3_coord_reason t3_dist_haversine_km t3_pred_mode t3_ratio_source "
-    "t3_ratio_source_fallback T3_osrmratio_P50 T3_base_P50 T4_dwell_P50 T3_P50 t3_actual_min ETA_P50 ETA_P50_CORR ETA_actual_min"
-).split()
+    "order_id", "zone_name_en", "pickup_hr_ksa", "is_peak", "dow", "stack_bkt",
+    "T1_P50", "t1_actual_min", "T2a_P50", "t2a_ratio_p50", "t2a_ratio_src", "t2a_n_cell",
+    "T2b_base_P50", "T2b_resid_P50", "T2b_resid_gated", "T2b_P50", "t2b_n_cell", "t2a_actual_min", "t2b_actual_min",
+    "T2_P50", "T2_bias_corr", "T2_P50_CORR", "t2_actual_min",
+    "t3_coord_flag", "t3_coord_reason", "t3_dist_haversine_km", "t3_pred_mode", "t3_ratio_source", "t3_ratio_source_fallback",
+    "T3_osrmratio_P50", "T3_base_P50", "T4_dwell_P50", "T3_P50", "t3_actual_min", "ETA_P50", "ETA_P50_CORR", "ETA_actual_min",
+)
 
 
 def order_predictions(df: DataFrame) -> DataFrame:
     return df.select([c for c in PREDICTION_COLUMNS if c in df.columns])
+
+
+def blend_summary(blend: DataFrame) -> DataFrame:
+    """The columns of the blend that tell how each cell came about."""
+    keys = ["shop_id", "sub_vertical_name", "pickup_hr_ksa", "dow"]
+    return blend.select(*keys, "n_cell", "parent_value", "prior_p50", "n_prior", F.col("value_smoothed").alias("value_blended"))
+
+
+def ratio_sources(predictions: DataFrame) -> DataFrame:
+    """Where each order's two ratios and its dwell came from."""
+    return predictions.select("order_id", F.col("t2a_ratio_src").alias("t2_ratio_source"), "t3_ratio_source", "dwell_source")

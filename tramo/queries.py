@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tramo import oracles as O
 from tramo.functions import exprs as X
 from tramo.functions.wstats import weighted_median, with_recency
-from tramo.operators import diagnostics, enrich, priors
+from tramo.operators import diagnostics, enrich, ml
 from tramo.operators.split import temporal_split
 from tramo.params import DEFAULT
 from tramo.plans import legacy
-from tramo.plans.delivery import Delivery, order_predictions
+from tramo.plans.delivery import Delivery, blend_summary, order_predictions, ratio_sources
 from tramo.sources import fixture
 from tramo.sources.routes import DetourRoutes
 from tramo.streaming.score import score_t3
@@ -29,8 +29,8 @@ WORST_ZONES = ("Z0", "Z1", "Z2", "Z3", "Z4", "Z5")
 
 
 def delivery(spark: SparkSession, sf_dir: str, **changes) -> Delivery:
-    # the derived orders stand for a table that would be read; every table that is used more than once is written
-    d = stage(fixture.deliveries(spark, sf_dir), "deliveries")
+    # the derived orders stand for a table that would be read: a scan, a join with a small table and expressions
+    d = fixture.deliveries(spark, sf_dir)
     order, shop, vertical = fixture.prep_tables(spark, d)
     return Delivery(d, replace(DEFAULT, **changes), prep_order=order, prep_shop=shop, prep_vertical=vertical, keep=stage)
 
@@ -114,17 +114,23 @@ both(
 )(lambda d: order_predictions(d.predictions))
 
 
-def _leg_sql() -> str:
-    from tramo.operators.diagnostics import LEGS
-    from tramo.params import METRIC_RANGES
+def _leg_sql(source: str, legs: tuple[tuple[str, str, str, str], ...]) -> str:
+    one = "select '{0}' as leg, count(*) as rows, round(avg(abs({1} - {2})), 6) as MAE, round(median(abs({1} - {2})), 6) as Median_AE from {5} where {1} between {3} and {4}"
+    return O.query(" union all ".join(one.format(leg, a, p, *O.MASKS[k], source) for leg, a, p, k in legs))
 
-    one = "select '{0}' as leg, count(*) as rows, round(avg(abs({1} - {2})), 6) as MAE, round(median(abs({1} - {2})), 6) as Median_AE from c_eta where {1} between {3} and {4}"
-    return O.query(" union all ".join(one.format(leg, a, p, *METRIC_RANGES[k]) for leg, a, p, k in LEGS))
 
-
-register("leg_diagnostics", _leg_sql())(lambda d: diagnostics.by_leg(d.predictions))
+# Fixed values, apart from those of the library: legs, their observed and estimated minutes.
+_LEGS = (
+    ("T1", "t1_actual_min", "T1_P50", "T1"), ("T2_raw", "t2_actual_min", "T2_P50", "T2"), ("T2_corrected", "t2_actual_min", "T2_P50_CORR", "T2"),
+    ("T3", "t3_actual_min", "T3_P50", "T3"), ("ETA_raw", "ETA_actual_min", "ETA_P50", "ETA"), ("ETA_corrected", "ETA_actual_min", "ETA_P50_CORR", "ETA"),
+)
+register("leg_diagnostics_holdout", _leg_sql("c_late", _LEGS))(lambda d: diagnostics.by_leg(d.held_out))
+register("leg_diagnostics", _leg_sql("c_eta", _LEGS))(lambda d: diagnostics.by_leg(d.predictions))
 _ZH = "select zone_name_en, pickup_hr_ksa, count(*) as rows, round(avg(abs(ETA_actual_min - {0})), 6) as MAE, round(median(abs(ETA_actual_min - {0})), 6) as Median_AE from c_eta where zone_name_en is not null and pickup_hr_ksa is not null group by all"
 register("zone_hour_diagnostics", O.query(_ZH.format("ETA_P50")))(lambda d: diagnostics.by_zone_hour(d.predictions))
+register("zone_hour_diagnostics_holdout", O.query(_ZH.format("ETA_P50_CORR").replace("c_eta", "c_late")))(lambda d: diagnostics.by_zone_hour(d.held_out, "ETA_P50_CORR"))
+both("ratio_sources", "order_id t2_ratio_source t3_ratio_source dwell_source", "(select *, t2a_ratio_src as t2_ratio_source from c_eta) x")(lambda d: ratio_sources(d.predictions))
+both("t2b_blend_summary", "shop_id sub_vertical_name pickup_hr_ksa dow n_cell ~parent_value ~prior_p50 n_prior ~value_blended", "(select *, value_smoothed as value_blended from c_blend) x")(lambda d: blend_summary(d.t2b_blend))
 register("zone_hour_diagnostics_corrected", O.query(_ZH.format("ETA_P50_CORR")))(lambda d: diagnostics.by_zone_hour(d.predictions, "ETA_P50_CORR"))
 _SHARE = "round(100 * avg(case when {0} then 1e0 else 0e0 end), 6) as {1}"
 register("coverage", O.query("select " + ", ".join(_SHARE.format(c, n) for c, n in (("t2a_n_cell >= 25", "t2a_pct"), ("t2b_n_cell >= 25", "t2b_pct"), ("abs(T2_bias_corr) >= 0.5", "bias_pct"))) + " from c_corr"))(lambda d: diagnostics.coverage(d.add_bias(d.t2)))
@@ -167,6 +173,41 @@ _STAT = "select cast(mbo_chain_id as varchar) as mbo_chain_id, round(median(prep
 register("shop_prep_stats", O.query(_STAT))(lambda d: legacy.shop_prep_stats(d.prep_order, d.orders))
 
 
+def earlier(d: Delivery) -> legacy.Earlier:
+    """The earlier model over the same orders. Means by chain and vertical, which it reads from files, are those of the orders' own preparation times."""
+    seen = enrich.enrich(d.orders, DetourRoutes())
+    by = d.prep_order.select("order_id", "sub_vertical_name", "prep_time_min").join(d.orders.select("order_id", "mbo_chain_id"), "order_id")
+    shop = by.where("mbo_chain_id % 3 <> 0").groupBy("mbo_chain_id").agg(F.avg("prep_time_min").alias("prep_shop_mean"))
+    vertical = by.where("sub_vertical_name <> 'V4'").groupBy("sub_vertical_name").agg(F.avg("prep_time_min").alias("prep_vert_mean"))
+    return legacy.Earlier(d.orders, enrich.calibrate_ratios(seen, "t2"), enrich.calibrate_ratios(seen, "t3"), d.prep_order, shop, vertical, WORST_ZONES, d.p, keep=stage)
+
+
+PREP = "~prep_shop_mean ~prep_vert_mean ~prep_shop_p50 ~prep_shop_iqr prep_shop_cnt"
+both("earlier_t2_smoothed", "zone_name_en pickup_hr_ksa dist_bin n_cell parent_level ~ratio_smoothed", "c_v_t2_smoothed")(lambda d: earlier(d).t2_smoothed)
+both("earlier_prep", "order_id " + PREP, "c_v_prep")(lambda d: earlier(d).features)
+both("earlier_residual_rows", "order_id ~T2_osrm_ratio_pred ~t2_resid dow is_peak " + PREP, "c_v_train")(lambda d: earlier(d).train)
+both("earlier_second_leg", "order_id ~T2_osrm_ratio_pred ~guard_adj ~T2_P50", "c_v_t2")(lambda d: earlier(d).predictions)
+both("earlier_predictions", "order_id ~T1_P50 ~T2_resid_P50 ~T2_P50 ~T3_base_P50 ~T4_dwell_P50 ~T3_P50 ~ETA_P50 ~t2_ratio_p50 ~t3_ratio_p50 " + PREP, "c_v_eta")(lambda d: earlier(d).predictions)
+both("earlier_ratio_sources", "order_id t2_ratio_source t3_ratio_source dwell_source", "c_v_eta")(lambda d: earlier(d).predictions)
+register("earlier_leg_diagnostics", _leg_sql("c_v_eta", tuple((leg.removesuffix("_raw"), *rest) for leg, *rest in _LEGS if "corrected" not in leg)))(lambda d: diagnostics.by_leg(earlier(d).predictions, legacy.LEGS))
+
+
+# the parts of model fitting that give the same on every run
+def _t1_levels(d: Delivery) -> DataFrame:
+    return ml.level_counts(d.legs.where("t1_actual_min between 0 and 60"), ml.T1_CAT).withColumn("pooled", F.col("n") < ml.t1_spec().min_frequency)
+
+
+def _t1_modes(d: Delivery) -> DataFrame:
+    got = ml.most_frequent(ml.level_counts(d.legs.where("t1_actual_min between 0 and 60"), ml.T1_CAT))
+    return d.orders.sparkSession.createDataFrame(sorted(got.items()), "name string, mode string")
+
+
+register("gbt_t1_levels", O.query("select name, v, n, n < 10 as pooled from c_t1_levels"))(_t1_levels)
+register("gbt_t1_modes", O.query("select name, arg_min(v, (-n, v)) as mode from c_t1_levels group by name"))(_t1_modes)
+register("gbt_t2b_target", O.query("select order_id, round(t2b_resid, 6) as t2b_resid, row_number() over (order by created_s, order_id) <= floor(count(*) over () * 0.8e0) as is_train from c_t2b_train0"))(lambda d: cols(d.t2b_rows, "order_id t2b_resid is_train"))
+register("constant_t1", O.query("select order_id, round(m, 6) as T1_P50 from c_legs cross join (select median(t1_actual_min) as m from c_t1_train) x"))(lambda d: cols(ml.constant(d.legs.where("t1_actual_min between 0 and 60"), "t1_actual_min").predict(d.legs, "T1_P50"), "order_id T1_P50"))
+
+
 def _gbt_t1(d: Delivery) -> DataFrame:
     return d.fit_t1().predict(d.legs, "T1_P50").select("order_id", "T1_P50")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def read_required(spark: SparkSession, path: str, names: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """A CSV that must be there and have these columns."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(path)
+    return X.require(read_csv(spark, path, schema), names)
+
+
 def read_optional(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
     """A table that may be left out (None): then without rows."""
     return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).csv(path, header=True)
@@ -37,4 +47,5 @@ def normalise_orders(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, order: list | None = None, kind: str = "parquet") -> None:
     """order: only a sink sorts."""
-    (df.orderBy(*order) if order else df).write.format(kind).option("header", True).mode("overwrite").save(path)
+    writer = (df.orderBy(*order) if order else df).write.format(kind).mode("overwrite")
+    (writer.option("header", True) if kind == "csv" else writer).save(path)

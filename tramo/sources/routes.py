@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import time
-import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from http.client import HTTPConnection, HTTPException, HTTPSConnection
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,9 +44,28 @@ class DetourRoutes:
         return pairs.select("pair_key", (km / self.km_h * 3600).alias("sec"), (km * 1000).alias("meters"))
 
 
-def fetch(url: str, timeout: float = 4.0) -> str:
-    with urllib.request.urlopen(url, timeout=timeout) as r:
-        return r.read().decode()
+class Session:
+    """GET over one connection that is kept open for as long as the server allows; a task has its own."""
+
+    def __init__(self, timeout: float = 4.0):
+        self.timeout, self.to, self.connection = timeout, None, None
+
+    def __call__(self, url: str) -> str:
+        at = urlsplit(url)
+        if self.connection is None or self.to != (at.scheme, at.netloc):
+            kind = HTTPSConnection if at.scheme == "https" else HTTPConnection
+            self.to, self.connection = (at.scheme, at.netloc), kind(at.netloc, timeout=self.timeout)
+        try:
+            self.connection.request("GET", f"{at.path}?{at.query}")
+            with self.connection.getresponse() as r:
+                body = r.read().decode()
+                if r.status != 200:
+                    raise OSError(f"status {r.status}")
+                return body
+        except (HTTPException, OSError) as broken:
+            self.connection.close()
+            self.connection = None
+            raise OSError(str(broken)) from broken
 
 
 def parse_route(body: str) -> tuple[float | None, float | None]:
@@ -64,21 +84,23 @@ class HttpRoutes:
     workers: int = 16
     retries: int = 2
     pause: float = 0.3
-    get: Callable[[str], str] = fetch
+    #: Makes what a task gets URLs with.
+    session: Callable[[], Callable[[str], str]] = Session
 
-    def _one(self, lon1: float, lat1: float, lon2: float, lat2: float) -> tuple[float | None, float | None]:
+    def _one(self, get: Callable[[str], str], lon1: float, lat1: float, lon2: float, lat2: float) -> tuple[float | None, float | None]:
         url = f"{self.base}/route/v1/driving/{lon1},{lat1};{lon2},{lat2}?overview=false&alternatives=false&steps=false&radiuses=5000;5000"
         for k in range(self.retries + 1):
             try:
-                return parse_route(self.get(url))
+                return parse_route(get(url))
             except (OSError, ValueError, KeyError):
                 time.sleep(self.pause * (k + 1))
         return None, None
 
     def routes(self, pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            get = self.session()
             for b in batches:
-                got = [self._one(*row) for row in b[["lon1", "lat1", "lon2", "lat2"]].itertuples(index=False)]
+                got = [self._one(get, *row) for row in b[["lon1", "lat1", "lon2", "lat2"]].itertuples(index=False)]
                 yield pd.DataFrame({"pair_key": b["pair_key"], "sec": [s for s, _ in got], "meters": [m for _, m in got]}).astype({"sec": float, "meters": float})
 
         return pairs.repartition(self.workers).mapInPandas(run, ROUTE_SCHEMA)
