@@ -42,15 +42,19 @@ def with_legs(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return df.withColumn("t3_coord_flag", (F.col("t3_coord_reason") != "").cast("int"))
 
 
-def ratio_cells(df: DataFrame, leg: str, half_life: float) -> DataFrame:
-    """leg: t2a or t3. Recency-weighted median ratios by zone, hour and distance."""
+def ratio_rows(df: DataFrame, leg: str) -> DataFrame:
+    """leg: t2a or t3. What is learnt from, and no more columns: zone, hour, distance, minutes, minutes by routed ones, and the time that counts."""
     routed, km, actual = (F.col(c) for c in (f"{leg[:2]}_osrm_duration_min", f"{leg[:2]}_osrm_distance_km", f"{leg}_actual_min"))
     low, high = ((0.2, 120.0), (0.2, 90.0)) if leg == "t2a" else ((0.5, 180.0), (0.2, 150.0))
     ok = actual.between(*low) & routed.between(*high) & km.isNotNull() & F.col("pickup_hr_ksa").isNotNull() & F.col("zone_name_en").isNotNull()
     d = df.where(ok & (F.lit(True) if leg == "t2a" else F.col("t3_coord_flag") == 0))
     ts = F.coalesce("last_accepted_ksa" if leg == "t2a" else "pickup_departure_ksa", "order_created_ksa")
-    d = with_recency(d.withColumns({"dist_bin": F.col(f"{leg[:2]}_dist_bin"), "ratio": actual / routed}), ts, half_life)
-    return weighted_median(d, ["zone_name_en", "pickup_hr_ksa", "dist_bin"], "ratio", "w", "ratio_p50", "n")
+    return d.select("zone_name_en", "pickup_hr_ksa", F.col(f"{leg[:2]}_dist_bin").alias("dist_bin"), f"{leg}_actual_min", (actual / routed).alias("ratio"), ts.alias("ts"))
+
+
+def ratio_cells(rows: DataFrame, half_life: float) -> DataFrame:
+    """Recency-weighted median ratios by zone, hour and distance."""
+    return weighted_median(with_recency(rows, F.col("ts"), half_life), ["zone_name_en", "pickup_hr_ksa", "dist_bin"], "ratio", "w", "ratio_p50", "n")
 
 
 def value_cells(df: DataFrame) -> DataFrame:
@@ -59,12 +63,6 @@ def value_cells(df: DataFrame) -> DataFrame:
     return with_quantiles(d, ["shop_id", "sub_vertical_name", "pickup_hr_ksa", "dow"], {"value_p50": ("t2b_actual_min", 0.5)}, F.count(F.lit(1)).alias("n"))
 
 
-def baseline_rows(df: DataFrame, half_life: float) -> DataFrame:
-    ok = F.col("t3_actual_min").between(0.5, 180.0) & F.col("t3_osrm_duration_min").between(0.2, 150.0) & F.col("t3_osrm_distance_km").isNotNull() & (F.col("t3_coord_flag") == 0)
-    d = df.where(ok & F.col("pickup_hr_ksa").isNotNull() & F.col("zone_name_en").isNotNull())
-    return with_recency(d, F.coalesce("pickup_departure_ksa", "order_created_ksa"), half_life)
-
-
 def dwell_rows(df: DataFrame) -> DataFrame:
     d = df.where("dropoff_arrived_ksa is not null and order_delivered_ksa is not null")
     return d.withColumn("dwell_min", X.clip(X.minutes_between(F.col("order_delivered_ksa"), F.col("dropoff_arrived_ksa")), *LIMITS["T4"]))
@@ -91,15 +89,20 @@ class Delivery:
 
     @cached_property
     def t2a_cells(self) -> DataFrame:
-        return self.keep(ratio_cells(self.legs, "t2a", self.p.half_life_t2a), "t2a_cells")
+        return self.keep(ratio_cells(self.keep(ratio_rows(self.legs, "t2a"), "t2a_rows"), self.p.half_life_t2a), "t2a_cells")
 
     @cached_property
     def t2a_smoothed(self) -> DataFrame:
         return self.keep(smoothing.smooth_ratios(self.t2a_cells, self.p.n0_t2a), "t2a_smoothed")
 
+    @cached_property
+    def t3_rows(self) -> DataFrame:
+        """Read many times, by the cells and by the baseline and its parents."""
+        return self.keep(ratio_rows(self.legs, "t3"), "t3_rows")
+
     @cached_property
     def t3_cells(self) -> DataFrame:
-        return self.keep(ratio_cells(self.legs, "t3", self.p.half_life_t3), "t3_cells")
+        return self.keep(ratio_cells(self.t3_rows, self.p.half_life_t3), "t3_cells")
 
     @cached_property
     def t3_smoothed(self) -> DataFrame:
@@ -107,7 +110,7 @@ class Delivery:
 
     @cached_property
     def t3_baseline(self) -> DataFrame:
-        return self.keep(smoothing.t3_baseline(baseline_rows(self.legs, self.p.half_life_t3), self.p.n0_t3), "t3_baseline")
+        return self.keep(smoothing.t3_baseline(with_recency(self.t3_rows, F.col("ts"), self.p.half_life_t3), self.p.n0_t3), "t3_baseline")
 
     @cached_property
     def dwell(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -234,7 +237,7 @@ class Delivery:
 
 
 #: Tables of the plan that don't depend on a fitted model.
-UNTOUCHED = ("legs", "t2a_cells", "t2a_smoothed", "t3_cells", "t3_smoothed", "t3_baseline", "dwell", "t2b_cells", "t2b_smoothed", "prep_priors", "t2b_blend", "t2a")
+UNTOUCHED = ("legs", "t2a_cells", "t2a_smoothed", "t3_rows", "t3_cells", "t3_smoothed", "t3_baseline", "dwell", "t2b_cells", "t2b_smoothed", "prep_priors", "t2b_blend", "t2a")
 
 # What is written for each order, as far as it exists.
 PREDICTION_COLUMNS = (

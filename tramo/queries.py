@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tramo import oracles as O
 from tramo.functions import exprs as X
 from tramo.functions.wstats import weighted_median, with_recency
-from tramo.operators import diagnostics, enrich, ml
+from tramo.operators import diagnostics, enrich, ml, priors, smoothing
 from tramo.operators.split import temporal_split
 from tramo.params import DEFAULT
 from tramo.plans import legacy
@@ -83,7 +83,7 @@ both("t2a_smoothed", SMOOTHED, "c_t2a_smoothed")(lambda d: d.t2a_smoothed)
 
 def _with_external(d: Delivery, mode: str) -> DataFrame:
     ext = d.t3_cells.where("pickup_hr_ksa % 3 = 0").select("zone_name_en", F.col("pickup_hr_ksa").alias("pickup_hr"), "dist_bin", (0.5 + F.col("pickup_hr_ksa") / 10.0).alias("ratio"), F.lit(40).cast("long").alias("n_cell"))
-    return replace(d, t3_prior=ext, p=replace(d.p, prior_mode=mode)).t3_smoothed
+    return smoothing.smooth_ratios(d.t3_cells, d.p.n0_t3, ext, d.p.n0_t3_prior, mode)
 
 
 both("t3_smoothed_balanced", SMOOTHED, "c_t3_balanced")(lambda d: _with_external(d, "balanced"))
@@ -101,7 +101,7 @@ both("prior_order", "shop_id sub_vertical_name pickup_hr_ksa dow ~prior_p50 n_pr
 both("prior_shop", "shop_id pickup_hr_ksa dow ~prior_p50 n_prior", "c_prior_shop")(lambda d: d.prep_priors[1][0])
 both("prior_vertical", "sub_vertical_name pickup_hr_ksa dow ~prior_p50 n_prior", "c_prior_vertical")(lambda d: d.prep_priors[2][0])
 both("t2b_blend", VALUES + " ~prior_p50 n_prior", "c_blend")(lambda d: d.t2b_blend)
-both("t2b_blend_reference", VALUES + " ~prior_p50 n_prior", "c_blend_reference")(lambda d: replace(d, p=replace(d.p, prior_relax="reference")).t2b_blend)
+both("t2b_blend_reference", VALUES + " ~prior_p50 n_prior", "c_blend_reference")(lambda d: priors.blend(priors.attach(d.t2b_smoothed, d.prep_priors, "reference"), d.p.n0_t2b, d.p.n0_prep))
 both("t2b_lookup", "order_id ~t2b_value_p50 t2b_value_src t2b_n_cell ~T2b_P50 ~T2_P50", "c_t2")(lambda d: d.t2)
 both("temporal_split", "order_id is_train", "c_split")(lambda d: temporal_split(d.legs, "order_created_ksa", "order_id", d.p.train_share))
 both("t2_bias_map", "zone_name_en pickup_hr_ksa stack_bkt ~bias_cell n_cell ~parent_bias parent_level ~bias_smoothed", "c_bias")(lambda d: d.bias_map)
@@ -146,9 +146,7 @@ register("weighted_median", O.query("select zone_name_en, round(ratio_p50, 6) as
 
 
 def _weighted(d: Delivery) -> DataFrame:
-    ok = "t3_actual_min between 0.5 and 180 and t3_osrm_duration_min between 0.2 and 150 and t3_coord_flag = 0 and t3_osrm_distance_km is not null and pickup_hr_ksa is not null and zone_name_en is not null"
-    rows = d.legs.where(ok).withColumn("ratio", F.col("t3_actual_min") / F.col("t3_osrm_duration_min"))
-    rows = with_recency(rows, F.coalesce("pickup_departure_ksa", "order_created_ksa"), 21.0)
+    rows = with_recency(d.t3_rows, F.col("ts"), 21.0)
     one = weighted_median(rows, [], "ratio", "w", "ratio_p50", "n").select(F.lit("all").alias("zone_name_en"), "ratio_p50", "n")
     return weighted_median(rows, ["zone_name_en"], "ratio", "w", "ratio_p50", "n").unionByName(one)
 
