@@ -11,3 +11,11 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def plan(spark):
+    """The whole estimate over the smallest tables; each of its tables is built once for all tests."""
+    from tramo import queries as Q
+
+    return Q.delivery(spark, "/root/testdata/sf0.001")

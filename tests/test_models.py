@@ -40,12 +40,15 @@ def test_residual_gate_counts_rows_before_the_split(spark, fits):
     assert d.fit_t2b() is None and len(fits) == 1
 
 
-def test_residual_is_0_where_rows_are_few(spark, fits):
-    d = Q.delivery(spark, SF)
-    assert {r.T2b_resid_gated for r in Q._gbt_t2b(replace(d, orders=d.orders.limit(300))).collect()} == {0.0} and not fits
+def test_residual_is_0_where_rows_are_few(plan, fits):
+    d = replace(plan, p=replace(plan.p, min_train_resid=10_000))
+    d.__dict__["t2"] = plan.t2
+    d.__dict__["t2a"], d.__dict__["t2b_blend"] = plan.t2a, plan.t2b_blend
+    assert {r.T2b_resid_gated for r in Q._gbt_t2b(d).collect()} == {0.0} and not fits
 
 
-def test_fitted_estimate_uses_both_models(spark, monkeypatch):
+def test_fitted_estimate_uses_both_models(spark, plan, monkeypatch):
+    monkeypatch.setattr(Q, "delivery", lambda *_: plan)
     t1, t2b = ml.t1_spec, ml.t2b_spec
     asked = []
     monkeypatch.setattr(ml, "t1_spec", lambda trees: asked.append(trees) or t1(2))

@@ -9,12 +9,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
-def shared(spark):
+def shared(plan):
     """The plans that all queries of this module read, and DuckDB over the same files."""
-    d = Q.delivery(spark, SF)
-    early = Q.earlier(d)
+    early = Q.earlier(plan)
     was = Q.delivery, Q.earlier
-    Q.delivery, Q.earlier = (lambda *_: d), (lambda _: early)
+    Q.delivery, Q.earlier = (lambda *_: plan), (lambda _: early)
     con = duckdb.connect()
     for t in ("orders", "customer"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")

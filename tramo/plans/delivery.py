@@ -225,8 +225,12 @@ class Delivery:
         return temporal_split(self._residual, "order_created_ksa", "order_id", self.p.train_share)
 
     def fit_models(self, t1_iter: int = 600, t2b_iter: int = 500) -> Delivery:
-        """The same with fitted models of the first leg and of the waiting leg's residual. Tables that no model touches are shared."""
-        new = replace(self, t1_model=self.fit_t1(t1_iter), t2b_model=self.fit_t2b(t2b_iter))
+        """The same with fitted models of the first leg and of the waiting leg's residual."""
+        return self.with_models(self.fit_t1(t1_iter), self.fit_t2b(t2b_iter))
+
+    def with_models(self, t1: ml.Fitted | None, t2b: ml.Fitted | None) -> Delivery:
+        """The same with these models. Tables that no model touches are shared, as far as they have been built."""
+        new = replace(self, t1_model=t1, t2b_model=t2b)
         new.__dict__.update({k: v for k, v in self.__dict__.items() if k in UNTOUCHED})
         return new
 

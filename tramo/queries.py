@@ -211,7 +211,7 @@ def _gbt_t1(d: Delivery) -> DataFrame:
 
 
 def _gbt_t2b(d: Delivery) -> DataFrame:
-    return replace(d, t2b_model=d.fit_t2b()).t2.select("order_id", "T2b_resid_gated")
+    return d.with_models(d.t1_model, d.fit_t2b()).t2.select("order_id", "T2b_resid_gated")
 
 
 register("gbt_t1")(_gbt_t1)
