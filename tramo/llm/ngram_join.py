@@ -9,8 +9,8 @@ if it may link with a larger band's sets, the next one's.
 Sets that share a sketch are compared with the first and the last of them; what links is joined to components. Only where
 a sketch still has sets of several components are all pairs between these compared, in blocks of bounded size. Each
 comparison starts with bit sketches, whose Hamming distance is never more than the symmetric difference; what passes is
-verified on the texts. Between components, first only the nearest pairs that would join those of a block are verified,
-then whatever is left. So no link between components is lost, and no group is written out as pairs.
+verified on the texts. Between components, a block with many pairs first has only the nearest ones verified that would join
+its components, then whatever is left. So no link between components is lost, and no group is written out as pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramo.llm import staging
@@ -34,6 +34,10 @@ from tramo.llm.units import pieces
 
 #: Sets of one sketch that are compared at once, at most about twice as many.
 BLOCK = 512
+#: Pairs for each row of a cell up to which all of them are verified at once.
+PAIRS = 4
+#: Counters of the sketch that finds frequent keys.
+COUNTERS = 4096
 #: Times that a set with too many empty segments is cut anew.
 ROUNDS = 4
 _U = np.uint64
@@ -258,10 +262,11 @@ def verify(pairs: DataFrame, docs: DataFrame, join: Join, stage: Stage = stage)
     return stage(both.mapInArrow(run, _PAIR), "verified")
 
 
-def _between_components(join: Join, forest: bool):
+def _between_components(join: Join, whole: bool):
     """Over rows sorted by cell: pairs of different components in a cell that sizes and bit sketches allow.
 
-    forest: only as many as join a cell's components, nearest first; so never more than it has rows.
+    All of them if they are no more than PAIRS for each of its rows (or whole). Else only as many as join the cell's
+    components, nearest first, and the cell's key: it is still open.
     """
 
     def joined(comp: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -279,12 +284,10 @@ def _between_components(join: Join, forest: bool):
                 root[max(p, q)] = min(p, q)
                 yield int(a[k]), int(b[k])
 
-    def cell(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        top = max(r["band"] for r in rows)
-        bits = [r["bits"] if r["band"] == top else r["bits_next"] for r in rows]
-        if any(x is None for x in bits):
+    def cell(rows: list[dict]) -> tuple[list[tuple[int, int]], bool]:
+        if any(r["bits"] is None for r in rows):
             raise ValueError("a set without the sketch of its instance")
-        sk = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)
+        sk = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)
         n, comp, node, part = (np.array([r[c] for r in rows], np.int64) for c in ("n", "comp", "node", "part"))
         two = rows[0]["parts"] > 0  # of two blocks, only pairs between them
         left, right, far = [], [], []
@@ -298,39 +301,68 @@ def _between_components(join: Join, forest: bool):
                 left.append(np.full(int(near.sum()), i))
                 right.append(j[near])
                 far.append(apart[near])
-        if left:
-            a, b, apart = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-            for i, j in joined(comp, a, b, apart) if forest else zip(a.tolist(), b.tolist(), strict=True):
-                yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+        if not left:
+            return [], False
+        a, b, apart = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        some = not whole and len(a) > PAIRS * len(rows)
+        pairs = joined(comp, a, b, apart) if some else zip(a.tolist(), b.tolist(), strict=True)
+        return [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for i, j in pairs], some
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[dict] = []
         for batch in chain(batches, [None]):
-            found, rows = set(), batch.to_pylist() if batch is not None else []
+            found, still, rows = set(), set(), batch.to_pylist() if batch is not None else []
             for r in [*rows, None] if batch is None else rows:
                 if wait and (r is None or (r["key"], r["cell"]) != (wait[0]["key"], wait[0]["cell"])):
-                    found.update(cell(wait))
+                    pairs, some = cell(wait)
+                    found.update(pairs)
+                    if some:
+                        still.add(wait[0]["key"])
                     wait = []
                 if r is not None:
                     wait.append(r)
-            if found:
-                a, b = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if found or still:
+                a, b = zip(*sorted(found), strict=True) if found else ((), ())
+                none = [None] * len(still)
+                columns = [[*a, *none], [*b, *none], [None] * len(a) + sorted(still)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "key"])
 
     return run
 
 
-def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, forest: bool, stage: Stage) -> DataFrame:
-    """Pairs between the components that share a key; shared: key, node, m (the key's rows)."""
-    named = shared.select("key", "node", "m").join(comp, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("comp"))
+def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, whole: bool, stage: Stage) -> DataFrame:
+    """Pairs between the components that share a key, and keys that are still open (a, b, key); shared: key, node, up, m (the key's rows)."""
+    named = shared.select("key", "node", "up", "m").join(comp, "node", "left").select("key", "node", "up", "m", F.coalesce("component", "node").alias("comp"))
     named = stage(named, "named")
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     rows = named.join(mixed, "key").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("long") - 1)
     rows = rows.withColumn("part", F.expr("pmod(xxhash64(node), parts + 1)"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts")), lambda j: F.least(j, F.col("part")) * F.lit(1 << 31) + F.greatest(j, F.col("part")))
-    rows = rows.withColumn("cell", F.explode(cells)).withColumn("parts", F.when(F.col("cell").bitwiseAND(F.lit((1 << 31) - 1)) == F.shiftright("cell", 31), 0).otherwise(F.col("parts")))
-    rows = rows.join(sets.withColumnRenamed("id", "node"), "node").select("key", "cell", "node", "comp", "part", "parts", "n", "band", "bits", "bits_next")
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join, forest), _PAIR)
+    bits = F.when(F.col("up"), F.col("bits_next")).otherwise(F.col("bits")).alias("bits")  # those of the key's instance
+    rows = rows.join(sets.withColumnRenamed("id", "node"), "node").select("key", F.explode(cells).alias("cell"), "node", "comp", "part", "parts", "n", bits)
+    rows = rows.withColumn("parts", F.when(F.col("cell").bitwiseAND(F.lit((1 << 31) - 1)) == F.shiftright("cell", 31), 0).otherwise(F.col("parts")))
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join, whole), _PAIR + ", key long")
+
+
+def _shared_keys(sets: DataFrame, stage: Stage) -> DataFrame:
+    """Keys that several sets have, a row for each of them: key, node, up (it is one of the next band's), m, and the key's first and last set.
+
+    Keys that hold more than one COUNTERS-th of all rows are found by a sketch of frequent items, summed up apart with
+    partial sums and broadcast. No other key has more than a small part of the rows.
+    """
+    one = lambda c, up: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(up).alias("up")))
+    keyed = sets.select(F.explode(F.concat(one("keys", False), one("keys_next", True))).alias("k"), F.col("id").alias("node")).select("k.*", "node")
+    seen = keyed.agg(F.expr(f"approx_top_k(key, {COUNTERS}, {COUNTERS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    heavy = [x["item"] for x in seen["top"] or [] if x["count"] > max(BLOCK, seen["n"] / COUNTERS)]
+    ends = [F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")]
+    w = Window.partitionBy("key")
+    light = keyed.where(~F.col("key").isin(heavy)) if heavy else keyed
+    out = light.withColumns({"first": F.min("node").over(w), "last": F.max("node").over(w), "m": F.count(F.lit(1)).over(w)}).where("first < last")
+    if heavy:
+        hot = keyed.where(F.col("key").isin(heavy))
+        hot = hot.join(F.broadcast(stage(hot.groupBy("key").agg(*ends), "hotkeys")), "key")  # COUNTERS rows at most
+        out = out.unionByName(hot.where("first < last").select(*out.columns))
+    return stage(out, "shared")
 
 
 def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text", left: list[DataFrame] | None = None) -> DataFrame:
@@ -354,19 +386,21 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     members = stage(full.select("id", "xor", "total", "n").join(same, ["xor", "total", "n"]).select("id", "rep"), "members")
     others = members.where("id <> rep").select("id").distinct()
     sets = full.join(small(stage(others, "others")), "id", "left_anti")
-    keyed = sets.select(F.explode(F.concat("keys", "keys_next")).alias("key"), F.col("id").alias("node"))
-    # counted with partial sums: no key's rows are gathered, however many it has
-    ends = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")).where("first < last")
-    shared = stage(keyed.join(small(stage(ends, "keys")), "key"), "shared")
+    shared = _shared_keys(sets, stage)
     light = stage(sets.select("id", "n", "band", "bits", "bits_next"), "sets")
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = verify(stage(_hamming_ok(stars, light, join), "stars"), rows, join, stage)
     comp = components(links)
-    # where one key still has several components: first what joins them most nearly, then all that is left between them
-    for forest in (True, False):
-        found = stage(_open_pairs(shared, comp, light, join, forest, stage).distinct(), "between")
-        links = links.union(verify(found, rows, join, stage))
+    # where one key still has several components: all that is left between them, or first only what joins them most nearly
+    rest = shared
+    for whole in (False, True):
+        found = stage(_open_pairs(rest, comp, light, join, whole, stage), "between")
+        links = links.union(verify(found.where("a is not null").select("a", "b").distinct(), rows, join, stage))
         comp = components(links)
+        still = stage(found.where("key is not null").select("key").distinct(), "open")
+        if not still.limit(1).count():
+            break
+        rest = shared.join(small(still), "key", "left_semi")
     comp = stage(comp, "components")
     named = members.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     moved = staging.stage(named.where("id <> component").distinct(), "moved")
