@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramo.llm.staging import small, stage
+from tramo.llm.staging import small, small_batches, stage
 from tramo.llm.units import pieces
 
 #: Hashed n-grams of 1 to 3 characters; distinct texts sampled for a language; centroids for each; smallest cosine that isn't rejected.
@@ -125,8 +125,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
         yield pa.RecordBatch.from_pydict({"gram": at, "n": total[at]})
 
     df = np.zeros(DIMS + 1)
-    for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        df[r["gram"]] = r["n"]
+    with small_batches(docs.sparkSession):
+        for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+            df[r["gram"]] = r["n"]
     idf = np.log((df[DIMS] + 1) / (df[:DIMS] + 1)) + 0.1
     rows = rows.withColumn("key", _key("text"))
     chosen = rows.join(small(choose(rows.select("lang", "key"), sample)), ["lang", "key"])

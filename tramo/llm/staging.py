@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.tables import new_folder, stage
+from tramo import tables
+from tramo.tables import new_folder
 
-__all__ = ["drop_folder", "drop_staged", "lower_ascii", "new_folder", "quoted", "small", "stage", "unused"]
+__all__ = ["drop_folder", "drop_staged", "lower_ascii", "new_folder", "quoted", "small", "small_batches", "stage", "unused"]
 
 #: Rows of a side that may be broadcast after they were counted; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "2m") -> Iterator[None]:
+    """While an action runs, Arrow batches of whole texts hold about so many bytes; then the session is as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df, in small Arrow batches where Python makes its rows, and return what reads it back."""
+    with small_batches(df.sparkSession):
+        return tables.stage(df, name)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that no later plan reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -160,7 +160,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 0,
         encoder, n_docs = _encoder(spec, plain), 0
         with target.open_output_stream(own := f"{path}.{task.taskAttemptId()}.tmp") as out:
             writer = Writer(out, bits)
-            for batch in pieces(batches):
+            for batch in pieces(batches, most=4_000_000):
                 ids, sizes = encoder(batch.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(sizes), end_id)

@@ -7,6 +7,7 @@ numbers their distinct units; only these are looked up and, if new, encoded.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -16,12 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: The lists that many keys have: all numbers together, and how many each key has.
 Lists = tuple[np.ndarray, np.ndarray]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text: long ones are cut, short ones put together. A longer text is alone."""
     wait: list[pa.RecordBatch] = []
     have = count = 0
@@ -29,7 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
         while at < batch.num_rows:
             done = int(ends[at - 1]) if at else 0
-            stop = min(max(at + 1, int(np.searchsorted(ends, done + most - have, side="right"))), at + rows, batch.num_rows)
+            stop = min(max(at + 1, int(np.searchsorted(ends, done + most - have, side="right"))), at + rows - count, batch.num_rows)
             wait.append(batch.slice(at, stop - at))
             have, count, at = have + int(ends[stop - 1]) - done, count + stop - at, stop
             if have >= most or count >= rows or at < batch.num_rows:
@@ -37,6 +40,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 wait, have, count = [], 0, 0
     if wait:
         yield _together(wait)
+    release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: the worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -63,7 +74,7 @@ class Memo:
     than once are kept. So a worker's memory has a bound, whatever the texts.
     """
 
-    def __init__(self, many: Callable[[list[str]], Lists], most: int = 300_000, size: int = 24_000_000, left: int = 100_000):
+    def __init__(self, many: Callable[[list[str]], Lists], most: int = 150_000, size: int = 12_000_000, left: int = 60_000):
         self.many, self.most, self.size, self.left = many, most, size, left
         self.at, self.bytes = _Numbers(), 0
         self.ids, self.start, self.n, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -136,7 +147,7 @@ def _odd(names: list[str], coded: pa.Array) -> np.ndarray:
 class UnitEncoder:
     """after_space: the ids of units that each stand after a space and hold none; alone: those of texts as they are."""
 
-    def __init__(self, after_space: Callable[[list[str]], Lists], alone: Callable[[list[str]], Lists], most: int = 300_000, left: int = 100_000):
+    def __init__(self, after_space: Callable[[list[str]], Lists], alone: Callable[[list[str]], Lists], most: int = 150_000, left: int = 60_000):
         self.spaced, self.alone = Memo(after_space, most, 80 * most, left), Memo(alone, 50_000, 8_000_000, 10_000)
 
     def trim(self, always: bool = False) -> None:
