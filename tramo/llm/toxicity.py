@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramo.llm.staging import stage, unused
+from tramo.llm.exact_dedup import sha256, without
+from tramo.llm.staging import quoted, small_batches, stage
 from tramo.llm.units import Lists, Memo, gather, lists, pieces
 
 #: Bounds of the samples of labelled rows: those that features are counted on, and those that the curve is fitted on.
@@ -65,8 +66,9 @@ def count_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     out = np.zeros(A**3)
-    for r in rows.toLocalIterator():
-        out[r["gram"]] = r["n"]
+    with small_batches(docs.sparkSession):
+        for r in rows.collect():
+            out[r["gram"]] = r["n"]
     return out.reshape(A, A, A)
 
 
@@ -132,7 +134,7 @@ class Channel:
         if any(c.isalpha() for c in core):
             return self.decode(core.rstrip("!()$+"))
         # signs and digits only: a word if each may stand for a letter
-        core = core.rstrip("!")
+        core = core.rstrip("!)").lstrip("(")
         return self.decode(core) if 2 < len(core) <= LONGEST and all(c in SIGNS for c in core) else ""
 
     def restore_spaced(self, units: Sequence[str]) -> str:
@@ -157,7 +159,7 @@ class Reader:
 
     def __init__(self, cost: np.ndarray, keep: np.ndarray | None):
         self.channel, self.keep = Channel(cost), keep
-        self.memo = Memo(self._many, 200_000)
+        self.memo = Memo(self._many, 100_000)
         self.single = np.zeros(0, bool)
 
     def _wanted(self, found: list[int]) -> list[int]:
@@ -266,8 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     learnt = rows.join(F.broadcast(_sample(known, MAX_LABELLED, n)), "id").select("text", "label")
     sums = learnt.mapInArrow(counted, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     clean, toxic = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
-    for r in sums.toLocalIterator():
-        clean[r["feature"]], toxic[r["feature"]] = r["clean"], r["toxic"]
+    with small_batches(spark):
+        for r in sums.collect():  # FEATURES + 1 rows at most
+            clean[r["feature"]], toxic[r["feature"]] = r["clean"], r["toxic"]
+    shared.unpersist()
     n_clean, n_toxic = clean[FEATURES], toxic[FEATURES]
     clean, toxic = clean[:FEATURES], toxic[:FEATURES]
     weight = log_odds(toxic, clean, n_toxic, n_clean)
@@ -291,7 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         yield pa.RecordBatch.from_pydict({"label": k, "bin": at, "n": found[k, at]})
 
     curve = rows.join(F.broadcast(_sample(known, MAX_CURVE, n)), "id").select("text", "label")
-    bins = curve.mapInArrow(placed, "label long, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()  # 800 rows at most
+    bins = curve.mapInArrow(placed, "label long, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n"))
+    with small_batches(spark):
+        bins = bins.collect()  # 800 rows at most
+    given.unpersist()
     slope, shift = logistic(np.array([[r["bin"] / 50, r["label"], r["n"]] for r in bins], float).reshape(-1, 3))
     return Model(cost, weight, slope, shift)
 
@@ -321,11 +328,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         read = Reader(model.cost, model.weight >= LEAST)
-        for batch in pieces(batches, text_col):
-            ids, doc = read(batch.column(text_col))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(ids, doc, batch.num_rows), pa.float64())], names=[*batch.schema.names, name])
+        for batch in pieces(batches, f"c{at}"):
+            ids, doc = read(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(ids, doc, batch.num_rows), pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    return plain.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
@@ -337,7 +346,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score under 0.5, with all their columns."""
+    """The rows of docs with a score under 0.5, with all their columns.
+
+    Only ids and text digests of the others are written; a row goes for its own text, and null ids are told apart by it.
+    """
     model = fit(docs, labels, text_col, id_col)
-    name = unused(docs, "toxic_score")
-    return score(docs, model, text_col, name).where(F.col(name) < 0.5).drop(name)
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    digest = sha256(F.coalesce(F.col("text"), F.lit("")))
+    gone = score(rows, model, "text").where("score >= 0.5").select("id", digest.alias("digest")).distinct()
+    return without(docs, stage(gone, "toxic"), id_col, sha256(F.coalesce(quoted(text_col), F.lit(""))))
