@@ -4,12 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tramo.llm import exact_dedup, langid, ngram_join, pivot_index, token_file
+from tramo.llm import exact_dedup, langid, ngram_join, token_file
 
 
 @pytest.mark.parametrize("texts", [20, 1])
@@ -38,13 +37,6 @@ def test_ngram_join_drops_rows_for_their_own_text(spark):
     assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted(want, key=repr)
 
 
-def test_verified_pairs_count_with_one_shared_pivot():
-    row = {"label": 0, "pivot": 0, "cell": 0, "n": 1, "part": 0, "parts": 0}
-    rows = [row | {"node": 1, "vec": [1.0, 0.0], "near": [0, *range(1, 8)]}, row | {"node": 2, "vec": [1.0, 0.01], "near": [0, *range(8, 15)]}, row | {"node": 3, "vec": [0.0, 1.0], "near": [0, *range(8, 15)]}]
-    out = [r for b in pivot_index._compare(pivot_index.Index())(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
-    assert [(r["a"], r["links"], r["b"]) for r in out] == [(1, 1, None), (2, 1, None), (1, None, 2)]
-
-
 def test_token_files_of_the_query_equal_the_library_by_default(spark):
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)

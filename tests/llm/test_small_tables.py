@@ -63,7 +63,7 @@ def test_exact_dedup(docs, none):
 
 def test_exact_dedup_with_few_counters_is_exact(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 700)).alias("text"))
-    got = exact_dedup.decide(d, heavy=2, counters=64)
+    got = exact_dedup.decide(d, counters=64)
     assert got.where("kept").count() == d.select("text").distinct().count()
     assert got.where("group_size = 1000").count() == 1000
 
@@ -103,8 +103,11 @@ def test_ngram_join(spark, docs, none, k, percent):
     assert ngram_join.classes(none, ngram_join.Join(k, percent)).count() == 0
 
 
-def test_blocks_of_a_sketch_lose_no_pair(spark, docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+@pytest.mark.parametrize("pairs", [0, 4])
+def test_blocks_of_a_sketch_lose_no_pair(spark, docs, monkeypatch, pairs):
+    """Many small blocks, keys that are frequent already with a few rows, and (0) no block whose pairs are all taken at once."""
+    for name, value in (("BLOCK", 3), ("COUNTERS", 32), ("PAIRS", pairs)):
+        monkeypatch.setattr(ngram_join, name, value)
     test_ngram_join(spark, docs, docs.limit(0), 3, 90)
 
 
@@ -323,7 +326,7 @@ def test_language(spark, docs, none):
     assert langid.judge(none).count() == 0 and langid.judge(docs).count() == len(ROWS)
 
 
-@pytest.mark.parametrize("index", [pivot_index.Index(), pivot_index.Index(block=8), pivot_index.Index(pivots=1)])
+@pytest.mark.parametrize("index", [pivot_index.Index(), pivot_index.Index(block=8), pivot_index.Index(pivots=(1, 1))])
 def test_pivots(spark, index):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 16))
