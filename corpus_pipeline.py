@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tramo.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from tramo.llm.queries import MIX, multilingual_bpe, table, with_domain
-from tramo.llm.staging import stage
+from tramo.llm.staging import drop_staged, quoted, stage, unused
 
 #: Near copies: five-word shingles, a similarity of 0.8 or more.
 NEAR = ngram_join.Join(k=5, percent=80)
 #: Copies have just been removed, so no document is taken twice.
-ONE_EPOCH = replace(MIX, max_epochs=1, levels=("_domain", "lang", "source"), tokens="_n_tokens", epoch="_epoch", taken="_taken")
+ONE_EPOCH = replace(MIX, max_epochs=1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,26 +34,37 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes; of each leaf's last one only the words that its budget has room for."""
-    taken = mixing.select(with_domain(docs, "_domain").withColumn("_n_tokens", mixing.n_words(F.col("text"))), ONE_EPOCH)
-    cut = F.col("_taken") < F.col("_n_tokens")
-    text = mixing.prefix(F.col("text"), F.col("_taken"), F.col("_n_tokens"))
-    return taken.withColumns({"text": text, "n_chars": F.when(cut, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    # names that the documents don't have
+    domain, tokens, epoch, taken_col = (unused(docs, c) for c in ("domain", "n_tokens", "epoch", "taken"))
+    mix = replace(ONE_EPOCH, levels=(domain, "lang", "source"), tokens=tokens, epoch=epoch, taken=taken_col)
+    taken = mixing.select(with_domain(docs, domain).withColumn(tokens, mixing.n_words(F.col("text"))), mix)
+    cut = F.col(taken_col) < F.col(tokens)
+    text = mixing.prefix(F.col("text"), F.col(taken_col), F.col(tokens))
+    return taken.withColumns({"text": text, "n_chars": F.when(cut, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}).select(*[quoted(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token_ids and n_tokens."""
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), multilingual_bpe())
-    return out.withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return stage(out.withColumn("n_tokens", F.size("token_ids").cast("long")), "tokens")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram join", drop_near_copies), ("mixing", mix_sources), ("byte-level BPE", encode)]
 
+#: The last stage writes its result itself, so that the texts go through Python in small batches.
+WRITTEN = ("byte-level BPE",)
+
 #: The first stage learns a model, which SQL doesn't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name not in WRITTEN:
+            docs = stage(docs, name.replace(" ", "-"))
+        if before is not None:
+            drop_staged(before)
+        before = docs
+    return docs
