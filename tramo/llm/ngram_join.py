@@ -34,8 +34,8 @@ from tramo.llm.units import pieces
 
 #: Sets of one sketch that are compared at once, at most about twice as many.
 BLOCK = 512
-#: Pairs for each row of a cell up to which all of them are verified at once.
-PAIRS = 4
+#: Pairs for each row of a cell under which all of them are verified at once: never more than its rows.
+PAIRS = 1
 #: Counters of the sketch that finds frequent keys.
 COUNTERS = 4096
 #: Times that a set with too many empty segments is cut anew.
@@ -265,7 +265,7 @@ def verify(pairs: DataFrame, docs: DataFrame, join: Join, stage: Stage = stage)
 def _between_components(join: Join, whole: bool):
     """Over rows sorted by cell: pairs of different components in a cell that sizes and bit sketches allow.
 
-    All of them if they are no more than PAIRS for each of its rows (or whole). Else only as many as join the cell's
+    All of them if they are fewer than PAIRS for each of its rows (or whole). Else only as many as join the cell's
     components, nearest first, and the cell's key: it is still open.
     """
 
@@ -304,7 +304,7 @@ def _between_components(join: Join, whole: bool):
         if not left:
             return [], False
         a, b, apart = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        some = not whole and len(a) > PAIRS * len(rows)
+        some = not whole and len(a) >= PAIRS * len(rows)
         pairs = joined(comp, a, b, apart) if some else zip(a.tolist(), b.tolist(), strict=True)
         return [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for i, j in pairs], some
 
