@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_open: list[Made] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -23,9 +26,46 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder that no later plan reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Made:
+    """Folders written in a block. Those of tables given to keep stay."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, whose staged table outlives the block (and belongs to the block around it)."""
+        used = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        stay = [p for p in self.paths if p.rpartition("/")[2] in used]
+        self.paths = [p for p in self.paths if p not in stay]
+        if len(_open) > 1:
+            _open[-2].paths += stay
+        return df
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[Made]:
+    """While the block runs, staged tables are noted; when it ends, they are deleted, but for what was kept."""
+    made = Made()
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made.paths:
+            drop_folder(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df and return what reads it back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _open:
+        _open[-1].paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
