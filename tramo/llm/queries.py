@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramo.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, pivot_index, sharding, token_file, toxicity
+from tramo.llm import audit, bpe, chat, exact_dedup, langid, mixing, ngram_join, pivot_index, quality, sharding, token_file, toxicity, trie
 from tramo.llm.staging import stage
 
 
@@ -80,6 +80,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.sources(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bit_planes": op2_bit_planes,
@@ -91,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_sharding": op9_sharding,
     "op10_pivot_index": op10_pivot_index,
+    "op11_audit": op11_audit,
+    "op12_quality": op12_quality,
+    "op13_trie": op13_trie,
 }
 
 
@@ -141,7 +156,44 @@ g as (select *, max(doc_id) over (partition by text_sha256) as keep_id, count(*)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_AUDIT_SQL = f"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
+tok as (select id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as total from tok group by all having count(distinct id) >= 10),
+counts as (select lang, source, term, count(*) as n from tok join (select lang, term from kept) k using (lang, term) group by all),
+grp as (select distinct lang, source from d),
+sized as (select lang, source, coalesce(sum(n), 0) as size from grp left join counts using (lang, source) group by all),
+langs as (select lang, count(term) as v, coalesce(sum(total), 0) as nl from (select distinct lang from grp) x left join kept using (lang) group by all),
+shares as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (size + 2 * v) as p, 1 + (1000000000::hugeint * (total + 2)) // (nl + 2 * v) as q
+  from sized join langs using (lang) join kept using (lang) left join counts using (lang, source, term)),
+far as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0) as value from grp g join grp h on g.lang = h.lang and g.source <> h.source left join far f on f.lang = g.lang and f.source = g.source and f.item = h.source
+  union all select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // (p + q) as value from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+# CRC-32, bit by bit
+_CRC_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x // 2, 3988292384 * (x % 2)))))"
+_TRIE_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+placed as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos, concat(length(role), ':', role, text) as k, length(text) as chars from c),
+convs as (select conv_id, conv_id - conv_id % 100 as b, {_CRC_SQL.format("cast(conv_id as varchar)")} % 6 as h from (select distinct conv_id from c) x),
+turns as (select v.conv_id, pos, k, chars from convs v join placed p on p.conv_id = v.b where pos < h union all select v.conv_id, pos, k, chars from convs v join placed p on p.conv_id = v.conv_id where pos >= h),
+paths as (select v.conv_id, coalesce(list(sha256(k) order by pos) filter (where k is not null), []) as path, coalesce(list(chars order by pos) filter (where k is not null), []) as chars from convs v left join turns using (conv_id) group by v.conv_id),
+starts as (select conv_id, d, path[1:d] as node, path[1:d - 1] as parent, case when d > 0 then chars[d] else 0 end as ch, len(path) = d as is_end from (select *, unnest(range(0, len(path) + 1)) as d from paths) x),
+nodes as (select node, d as depth, any_value(parent) as parent, any_value(ch) as ch, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where is_end), '') as ends from starts group by node, d),
+kids as (select parent as node, count(*) as n_children from nodes where depth > 0 group by parent),
+full_ as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (node)),
+above as (select node[1:d] as node, sum(leaf) as n_leaves, sum(save) as saved_tokens from (select node, (n_children = 0)::int as leaf, (n_convs - 1) * ch as save, unnest(range(0, depth + 1)) as d from full_) x group by 1)
+select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(f.ends) as ends_sha256
+from full_ f join above using (node) left join nodes p on f.depth > 0 and p.node = f.parent
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": _MIX_SQL,
     "op5_exact_dedup": _DEDUP_SQL,
+    "op11_audit": _AUDIT_SQL,
+    "op13_trie": _TRIE_SQL,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramo import tables
-from tramo.tables import new_folder
+from tramo.tables import drop_folder, new_folder
 
 __all__ = ["drop_folder", "drop_staged", "lower_ascii", "new_folder", "quoted", "small", "small_batches", "stage", "unused"]
 
@@ -38,12 +38,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return tables.stage(df, name)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def drop_staged(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         drop_folder(df.sparkSession, folder)
