@@ -266,3 +266,34 @@ CTES["c_v_eta"] = f"""select *, T3_base_P50 + T4_dwell_P50 as T3_P50, T1_P50 + T
 CTES["c_t1_train"] = "select * from c_legs where t1_actual_min between 0 and 60"
 CTES["c_t1_levels"] = " union all ".join(f"select '{c}' as name, cast({c} as varchar) as v, count(*) as n from c_t1_train where {c} is not null group by 2" for c in ("sub_vertical_name", "zone_name_en", "business_branch_name", "shop_id", "mbo_chain_id"))
 CTES["c_t2b_train0"] = "select *, greatest(-10e0, least(30e0, t2b_actual_min - T2b_base_P50)) as t2b_resid from c_t2 where t2b_actual_min is not null and T2b_base_P50 is not null"
+
+# the first tree of the first leg's model. Fixed values, apart from those of the library: features in order, the least rows of a side and of a level that isn't pooled, the bins of a number.
+_NUMS = ("stacking_order_count", "accepted_courier_count", "rejected_courier_count", "pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon", "order_hr_ksa", "dow")
+_CATS = ("sub_vertical_name", "zone_name_en", "business_branch_name", "shop_id", "mbo_chain_id")
+CTES["c_f_rows"] = "select order_id as rid, t1_actual_min as y, t1_actual_min >= median(t1_actual_min) over () as up, t1_actual_min - median(t1_actual_min) over () as r, * from c_t1_train"
+CTES["c_f_x"] = " union all ".join(f"select rid, {k} as f, coalesce(cast({c} as double), median(cast({c} as double)) over ()) as x from c_f_rows" for k, c in enumerate(_NUMS))
+CTES["c_f_sorted"] = "select f, x, row_number() over (partition by f order by x) - 1 as at_, count(*) over (partition by f) as n, max(x) over (partition by f) as top, (select count(distinct z.x) from c_f_x z where z.f = c_f_x.f) as many from c_f_x"
+CTES["c_f_edges"] = "select *, row_number() over (partition by f order by x) - 1 as code from (select distinct f, x from c_f_sorted where x < top and (many <= 256 or at_ in (select k * n // 256 from range(1, 256) t(k)))) e"
+CTES["c_f_codes"] = "select f, x, (select count(*) from c_f_edges e where e.f = v.f and e.x < v.x) as code from (select distinct f, x from c_f_x) v"
+CTES["c_f_mode"] = "select name, arg_min(v, (-n, v)) as mode from c_t1_levels group by name"
+CTES["c_f_levels"] = """select name, v, case when n < 10 then '_rare' when n >= 20 then v end as level, dense_rank() over (partition by name order by case when n < 10 then 1 else 0 end, case when n < 10 then '' else v end) as code
+ from c_t1_levels where n < 10 or n >= 20"""
+CTES["c_f_all"] = "select rid, f, code from c_f_x join c_f_codes using (f, x) union all " + " union all ".join(
+    f"select rid, {len(_NUMS) + k} as f, code from (select rid, coalesce(cast({c} as varchar), (select mode from c_f_mode where name = '{c}')) as v from c_f_rows) s join (select v, code from c_f_levels where name = '{c}') l using (v)" for k, c in enumerate(_CATS)
+)
+CTES["c_f_node0"] = "select rid, up, 0 as node from c_f_rows"
+for _d in range(4):
+    _first, _last = 2**_d - 1, 2 ** (_d + 1) - 2
+    CTES[f"c_f_sum{_d}"] = f"select node, f, code, count(*) as n, sum(up::int) as p from c_f_node{_d} join c_f_all using (rid) where node between {_first} and {_last} group by all"
+    CTES[f"c_f_all{_d}"] = f"select node, count(*) as t, sum(up::int) as a from c_f_node{_d} group by node"
+    CTES[f"c_f_side{_d}"] = f"""select node, f, code, t, a, case when f < {len(_NUMS)} then sum(n) over w else n end as n, case when f < {len(_NUMS)} then sum(p) over w else p end as p
+ from c_f_sum{_d} join c_f_all{_d} using (node) window w as (partition by node, f order by code rows between unbounded preceding and current row)"""
+    CTES[f"c_f_gain{_d}"] = f"""select *, (1e0 * m * (2 * p - n) - 1e0 * n * (2 * q - m)) * (1e0 * m * (2 * p - n) - 1e0 * n * (2 * q - m)) / (1e0 * n * m) as g
+ from (select *, t - n as m, a - p as q from c_f_side{_d}) x where n >= 20 and m >= 20 and t >= 40 and a > 0 and a < t"""
+    CTES[f"c_f_best{_d}"] = f"select node, f, code from c_f_gain{_d} qualify row_number() over (partition by node order by g desc, f, code) = 1"
+    CTES[f"c_f_node{_d + 1}"] = f"""select n.rid, n.up, case when b.f is null then n.node else 2 * n.node + 1 + coalesce(case when b.f < {len(_NUMS)} then x.code > b.code else x.code = b.code end, false)::int end as node
+ from c_f_node{_d} n left join c_f_best{_d} b on b.node = n.node left join c_f_all x on x.rid = n.rid and x.f = b.f"""
+CTES["c_f_tree"] = f"""select node, ({list(_NUMS + _CATS)!r})[f + 1] as feature, (select x from c_f_edges e where e.f = b.f and e.code = b.code) as at_most,
+ case when f >= {len(_NUMS)} then (select any_value(level) from c_f_levels l where l.name = ({list(_NUMS + _CATS)!r})[f + 1] and l.code = b.code) end as level, cast(null as double) as value
+ from ({' union all '.join(f'select * from c_f_best{d}' for d in range(4))}) b
+ union all select node, null as feature, null as at_most, null as level, median(r) as value from c_f_node4 join (select rid, r from c_f_rows) r using (rid) group by node"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tramo import oracles as O
 from tramo.functions import exprs as X
 from tramo.functions.wstats import weighted_median, with_recency
-from tramo.operators import diagnostics, enrich, ml, priors, smoothing
+from tramo.operators import boost, diagnostics, enrich, ml, priors, smoothing
 from tramo.operators.split import temporal_split
 from tramo.params import DEFAULT
 from tramo.plans import legacy
@@ -214,6 +214,21 @@ def _gbt_t2b(d: Delivery) -> DataFrame:
     return d.with_models(d.t1_model, d.fit_t2b()).t2.select("order_id", "T2b_resid_gated")
 
 
+def _first_tree(d: Delivery) -> DataFrame:
+    """Nodes of the first tree of the first leg's model: what splits them, or their median."""
+    m = d.fit_t1(1)
+    tree, n_num, names = m.model, len(m.spec.num), [*m.spec.num, *m.spec.cat]
+    rows = []
+    for k in boost.Tree(tree.feature[0], tree.level[0], tree.value[0]).leaves():
+        rows.append((k, None, None, None, float(tree.value[0, k])))
+    for k in (tree.feature[0] >= 0).nonzero()[0].tolist():
+        f = int(tree.feature[0, k])
+        level = tree.names[f - n_num][tree.level[0, k]] if f >= n_num else None
+        rows.append((k, names[f], None if level else float(tree.limit[0, k]), level, None))
+    return d.orders.sparkSession.createDataFrame(rows, "node int, feature string, at_most double, level string, value double")
+
+
+both("gbt_t1_first_tree", "node feature ~at_most level ~value", "c_f_tree")(_first_tree)
 register("gbt_t1")(_gbt_t1)
 register("gbt_t2b_resid")(_gbt_t2b)
 # the whole estimate with both models; eta_predictions has neither
