@@ -9,9 +9,7 @@ import pyarrow.compute as pc
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts together, and where each begins (and the last one ends); a null text is empty."""
-    texts = pc.fill_null(texts, "")
-    if pa.types.is_large_string(texts.type) or not len(texts):
-        texts = texts.cast(pa.string())
+    texts = pc.fill_null(texts if texts.type == pa.string() else texts.cast(pa.string()), "")
     at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     flat = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     return flat, at.astype(np.int64) - at[0]

@@ -22,7 +22,12 @@ from tramo.llm.units import pieces
 #: Hashed n-grams of 1 to 3 characters; distinct texts sampled for a language; centroids for each; smallest cosine that isn't rejected.
 DIMS, SAMPLE, CENTROIDS, NEAREST = 4096, 300, 4, 0.1
 UNKNOWN = "und"
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of it is a letter; number signs such as fractions aren't."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +93,7 @@ class Model:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         cosine = vectors(texts, self.idf) @ self.centroids.T
         best = cosine.argmax(1)
-        has = [bool(_HAS_LETTER.search(t)) for t in texts]
+        has = [has_letter(t) for t in texts]
         return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, np.clip(cosine.max(1), 0, 1), 0.0)
 
 

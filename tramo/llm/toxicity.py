@@ -128,11 +128,12 @@ class Channel:
         """A unit without white space, restored; most have one path only and need no lattice."""
         low = unit.lower()
         core = low.rstrip(_EDGES).lstrip(_EDGES)
-        if core.isalpha() and not _RUN.search(core):
+        # a bracket that isn't closed may be a letter
+        if core.isalpha() and not _RUN.search(core) and not (low[0] == "(" and ")" not in low):
             return core
         core = low.strip(".,;:?\"'`´*#%&~^=/\\_-–—[]{}<>«»“”‘’…")
         if any(c.isalpha() for c in core):
-            return self.decode(core.rstrip("!()$+"))
+            return self.decode(core.rstrip("!()"))
         # signs and digits only: a word if each may stand for a letter
         core = core.rstrip("!)").lstrip("(")
         return self.decode(core) if 2 < len(core) <= LONGEST and all(c in SIGNS for c in core) else ""
