@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramo.functions import exprs as X
+from tramo.sources import records
 
 ORDER_ALIASES = {"osrm_duration_min": "t3_osrm_duration_min", "osrm_distance_km": "t3_osrm_distance_km"}
 #: Columns that end in _ksa but hold a number.
 NUMBERS = ("pickup_hr_ksa", "order_hr_ksa", "order_dow_ksa")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV with a header; malformed rows are dropped; without a schema all columns are strings, in one pass."""
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
-    return df.toDF(*[c.strip() for c in df.columns])
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A CSV with a header, by the rules of records; schema: names and types of its columns (values that don't fit are missing), else all are strings."""
+    df = records.read(spark, path).rows
+    if schema is None:
+        return df
+    kinds = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields])
 
 
 def read_required(spark: SparkSession, path: str, names: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -32,7 +35,7 @@ def read_required(spark: SparkSession, path: str, names: Sequence[str], schema:
 
 def read_optional(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
     """A table that may be left out (None): then without rows."""
-    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).csv(path, header=True)
+    return spark.createDataFrame([], schema) if path is None else read_csv(spark, path, schema)
 
 
 def normalise_orders(df: DataFrame) -> DataFrame:
