@@ -1,4 +1,4 @@
-"""Where routed times and distances come from: a table, a rule, or a router over HTTP. Each distinct pair is asked for once."""
+"""Where routed times and distances come from: a table, a rule, or a router over HTTP (through route_store, each pair is asked for once)."""
 
 from __future__ import annotations
 
@@ -78,7 +78,10 @@ def parse_route(body: str) -> tuple[float | None, float | None]:
 
 @dataclass
 class HttpRoutes:
-    """A router with the usual /route/v1/driving interface, asked by as many tasks as `workers`."""
+    """A router with the usual /route/v1/driving interface, asked by as many tasks as `workers`.
+
+    By itself it is asked again by every action over its rows: StoredRoutes keeps the answers.
+    """
 
     base: str
     workers: int = 16
@@ -87,20 +90,22 @@ class HttpRoutes:
     #: Makes what a task gets URLs with.
     session: Callable[[], Callable[[str], str]] = Session
 
-    def _one(self, get: Callable[[str], str], lon1: float, lat1: float, lon2: float, lat2: float) -> tuple[float | None, float | None]:
+    def answer(self, get: Callable[[str], str], lon1: float, lat1: float, lon2: float, lat2: float) -> tuple[float | None, float | None, str]:
+        """Seconds, metres and status: a route, none, or failed if no try was answered."""
         url = f"{self.base}/route/v1/driving/{lon1},{lat1};{lon2},{lat2}?overview=false&alternatives=false&steps=false&radiuses=5000;5000"
         for k in range(self.retries + 1):
             try:
-                return parse_route(get(url))
+                sec, meters = parse_route(get(url))
+                return sec, meters, "none" if sec is None else "route"
             except (OSError, ValueError, KeyError):
                 time.sleep(self.pause * (k + 1))
-        return None, None
+        return None, None, "failed"
 
     def routes(self, pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             get = self.session()
             for b in batches:
-                got = [self._one(get, *row) for row in b[["lon1", "lat1", "lon2", "lat2"]].itertuples(index=False)]
-                yield pd.DataFrame({"pair_key": b["pair_key"], "sec": [s for s, _ in got], "meters": [m for _, m in got]}).astype({"sec": float, "meters": float})
+                got = [self.answer(get, *row) for row in b[["lon1", "lat1", "lon2", "lat2"]].itertuples(index=False)]
+                yield pd.DataFrame({"pair_key": b["pair_key"], "sec": [s for s, *_ in got], "meters": [m for _, m, _ in got]}).astype({"sec": float, "meters": float})
 
         return pairs.repartition(self.workers).mapInPandas(run, ROUTE_SCHEMA)
