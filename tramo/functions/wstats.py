@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +101,44 @@ def with_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tupl
     return join_keys(df.groupBy(*keys).agg(*aggs), quantiles(df, keys, wanted), keys)
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows, the keys of each table of medians that is wanted of them, and their columns; no weight: interpolated medians."""
+
+    rows: DataFrame
+    keys: Sequence[Sequence[str]]
+    value: str
+    weight: str | None = None
+
+
+def many_medians(parts: Sequence[Part], keep: Callable[[DataFrame, str], DataFrame]) -> list[list[DataFrame]]:
+    """For each part a table for each of its keys: keys, v (the median), n (rows), and, if weighted, t (all weight).
+
+    All tables are one: rows are exploded by table, with their keys as text, and go through the same passes. keep writes
+    the result, which is as small as the tables. Either all parts have weights or none has.
+    """
+    wide = max(len(k) for p in parts for k in p.keys)
+    names, rows, number = [f"_k{j}" for j in range(wide)], [], 0
+    weighted = parts[0].weight is not None
+    for p in parts:
+        slots = []
+        for keys in p.keys:
+            slots.append(F.struct(F.lit(number).alias("_table"), *[(F.col(keys[j]) if j < len(keys) else F.lit(None)).cast("string").alias(x) for j, x in enumerate(names)]))
+            number += 1
+        x = p.rows.select(F.explode(F.array(*slots)).alias("_x"), F.col(p.value).cast("double").alias("_value"), (F.col(p.weight) if weighted else F.lit(None)).cast("double").alias("_weight"))
+        rows.append(x.select("_x.*", "_value", "_weight"))
+    every, by = reduce(DataFrame.unionByName, rows), ["_table", *names]
+    found = weighted_median(every, by, "_value", "_weight", "v", "n", total="t") if weighted else with_quantiles(every, by, {"v": ("_value", 0.5)}, F.count(F.lit(1)).alias("n"))
+    found, out, number = keep(found, "medians"), [], 0
+    for p in parts:
+        kinds, out = dict(p.rows.dtypes), [*out, []]
+        for keys in p.keys:
+            own = found.where(F.col("_table") == number)
+            out[-1].append(own.select(*[F.col(names[j]).cast(kinds[k]).alias(k) for j, k in enumerate(keys)], "v", "n", *(["t"] if weighted else [])))
+            number += 1
+    return out
+
+
 def recency_weight(ts: Column, ref: Column, half_life_days: float) -> Column:
     """1 at ref, half of it half_life_days before; NULL times weigh nothing, and all weigh 1 if there is no ref."""
     days = (F.unix_micros(ref) - F.unix_micros(ts)) / F.lit(86400e6)

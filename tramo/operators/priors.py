@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
-from tramo.functions.wstats import join_keys, weighted_median, with_recency
+from tramo.functions.wstats import Part, join_keys, many_medians, with_recency
 from tramo.params import DEFAULT, Params
+from tramo.tables import stage
 
 ALIASES = {"mbo_chain_id": "shop_id", "sub_vertical_detail": "sub_vertical_name"}
 
@@ -36,22 +37,29 @@ def from_groups(df: DataFrame, key: str) -> DataFrame:
     return d.select(key, "pickup_hr_ksa", "dow", "prep_time_min", X.first_of(d, ["picked_up_at"] if "picked_up_at" in d.columns else ["accepted_at"]).alias("ts"))
 
 
-def build(df: DataFrame, keys: Sequence[str], half_life: float) -> DataFrame:
-    d = with_recency(df, F.col("ts"), half_life)
-    return weighted_median(d, [*keys, "pickup_hr_ksa", "dow"], "prep_time_min", "w", "prior_p50", "n_prior")
+def build(tables: Sequence[tuple[DataFrame, Sequence[str]]], half_life: float, keep: Callable[[DataFrame, str], DataFrame] = stage) -> list[DataFrame]:
+    """tables: rows and their keys. For each its recency-weighted medians by keys, hour and weekday, all from the same passes."""
+    # several passes read them
+    parts = [Part(keep(with_recency(rows, F.col("ts"), half_life), "prep"), [[*keys, "pickup_hr_ksa", "dow"]], "prep_time_min", "w") for rows, keys in tables]
+    return [one.withColumnsRenamed({"v": "prior_p50", "n": "n_prior"}).drop("t") for (one,) in many_medians(parts, keep)] if parts else []
 
 
 def _merge(base: DataFrame, prior: DataFrame, keys: Sequence[str], relax: str) -> DataFrame:
-    """base with prior_p50 and n_prior where it has none yet: the exact row, any hour, any weekday, (relax 'both') any of both."""
-    steps = [(["pickup_hr_ksa", "dow"], prior), (["dow"], prior.where("pickup_hr_ksa = -1")), (["pickup_hr_ksa"], prior.where("dow = -1"))]
-    if relax == "both":
-        steps.append(([], prior.where("pickup_hr_ksa = -1 and dow = -1")))
-    for more, rows in steps:
-        on = [*keys, *more]
-        # rows for any hour may also stand for several weekdays, and so on: one of them for each key
-        rows = rows.groupBy(*on).agg(F.min_by(F.struct("prior_p50", "n_prior"), F.struct("pickup_hr_ksa", "dow")).alias("_f"))
-        base = join_keys(base, rows, on).withColumns({"n_prior": F.coalesce("n_prior", "_f.n_prior"), "prior_p50": F.coalesce("prior_p50", "_f.prior_p50")}).drop("_f")
-    return base
+    """base with prior_p50 and n_prior where it has none yet: the exact row, any hour, any weekday, (relax 'both') any of both.
+
+    A key's rows, one for each hour and weekday, are a list that is joined once.
+    """
+    lists = prior.groupBy(*keys).agg(F.collect_list(F.struct("pickup_hr_ksa", "dow", "prior_p50", "n_prior")).alias("_p"))
+    hour, day, any_ = F.col("pickup_hr_ksa"), F.col("dow"), F.lit(-1)
+
+    def step(p: Column) -> Column:
+        same_hour, same_day, any_hour, any_day = (p["pickup_hr_ksa"].eqNullSafe(x) if k % 2 == 0 else p["dow"].eqNullSafe(x) for k, x in enumerate((hour, day, any_, any_)))
+        found = F.when(same_hour & same_day, 0).when(any_hour & same_day, 1).when(any_day & same_hour, 2)
+        return found.when(any_hour & any_day, 3) if relax == "both" else found
+
+    ranked = F.transform("_p", lambda p: F.struct(step(p).alias("step"), p["pickup_hr_ksa"].alias("h"), p["dow"].alias("d"), p["prior_p50"].alias("p50"), p["n_prior"].alias("n")))
+    base = join_keys(base, lists, keys).withColumn("_f", F.array_min(F.filter(ranked, lambda x: x["step"].isNotNull())))
+    return base.withColumns({"n_prior": F.coalesce("n_prior", "_f.n"), "prior_p50": F.coalesce("prior_p50", "_f.p50")}).drop("_f", "_p")
 
 
 def attach(base: DataFrame, tiers: Sequence[tuple[DataFrame, Sequence[str]]], relax: str = DEFAULT.prior_relax) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
-from tramo.functions.wstats import join_keys, quantiles, weighted_median, with_quantiles
+from tramo.functions.wstats import Part, join_keys, many_medians
 from tramo.tables import stage
 
 
@@ -27,33 +27,28 @@ def _pick(cells: DataFrame, levels: Sequence[Level], out: str) -> DataFrame:
     return cells.withColumns(new).drop(*[f"_{c}{k}" for c in "vn" for k in range(len(levels))])
 
 
-def medians_by_level(rows: DataFrame, levels: Sequence[Level], value: str, weight: str) -> DataFrame:
-    """Weighted medians of all levels in one pass: level (its number), all levels' keys (null where a level hasn't one), v, n and t (all weight)."""
-    keys = list(dict.fromkeys(k for level in levels for k in level.keys))
-    kinds = dict(rows.dtypes)
-    slots = [F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in level.keys else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for i, level in enumerate(levels)]
-    x = rows.select(F.explode(F.array(*slots)).alias("_x"), F.col(value).alias("_value"), F.col(weight).alias("_weight")).select("_x.*", "_value", "_weight")
-    return weighted_median(x, ["level", *keys], "_value", "_weight", "v", "n", total="t")
-
-
-def _attach(cells: DataFrame, rows: DataFrame, levels: Sequence[Level], value: str, weight: str, size: str, out: str) -> DataFrame:
-    found = stage(medians_by_level(rows, levels, value, weight), "parents")
-    for k, level in enumerate(levels):
-        one = found.where(F.col("level") == k).select(*level.keys, F.col("v").alias(f"_v{k}"), F.col(size).cast("long").alias(f"_n{k}"))
+def _attach(cells: DataFrame, found: Sequence[DataFrame], levels: Sequence[Level], size: str, out: str) -> DataFrame:
+    for k, (level, own) in enumerate(zip(levels, found, strict=True)):
+        one = own.select(*level.keys, F.col("v").alias(f"_v{k}"), F.col(size).cast("long").alias(f"_n{k}"))
         # a level without keys has one row, or none if there are no rows
         one = one if level.keys else cells.sparkSession.range(1).join(one, F.lit(True), "left").drop("id")
         cells = join_keys(cells, one, level.keys)
     return _pick(cells, levels, out)
 
 
-def with_parents(cells: DataFrame, rows: DataFrame, levels: Sequence[Level], value: str, weight: str, out: str = "parent_value") -> DataFrame:
-    """cells with the value, size and label of the first of the levels that has one; levels are weighted medians of rows."""
-    return _attach(cells, rows, levels, value, weight, "n", out)
+def keys_of(levels: Sequence[Level]) -> list[tuple[str, ...]]:
+    return [level.keys for level in levels]
+
 
+def with_parents(cells: DataFrame, found: Sequence[DataFrame], levels: Sequence[Level], out: str = "parent_value") -> DataFrame:
+    """cells with the value, size and label of the first of the levels that has one; found: medians of rows, for each level."""
+    return _attach(cells, found, levels, "n", out)
 
-def with_cell_parents(cells: DataFrame, levels: Sequence[Level], value: str, n: str, out: str = "parent_value") -> DataFrame:
-    """As with_parents, but levels are medians of the cells themselves, weighted by their sizes."""
-    return _attach(cells, cells, levels, value, n, "t", out)
+
+def with_cell_parents(cells: DataFrame, levels: Sequence[Level], value: str, n: str, out: str = "parent_value", found: Sequence[DataFrame] | None = None) -> DataFrame:
+    """As with_parents, but levels are medians of the cells themselves, weighted by their sizes (found, if they are known)."""
+    found = found or many_medians([Part(cells, keys_of(levels), value, n)], stage)[0]
+    return _attach(cells, found, levels, "t", out)
 
 
 RATIO_LEVELS = (
@@ -66,12 +61,20 @@ RATIO_LEVELS = (
 PRIOR_ALIASES = {"ratio": "ratio_p50", "n_cell": "n", "pickup_hr": "pickup_hr_ksa"}
 
 
-def smooth_ratios(cells: DataFrame, n0: int, prior: DataFrame | None = None, n0_prior: int = 0, prior_mode: str = "balanced") -> DataFrame:
-    """cells: zone_name_en, pickup_hr_ksa, dist_bin, ratio_p50, n. prior: the same, by these names or their aliases."""
+def ratio_cells(cells: DataFrame) -> DataFrame:
+    """Cells with all keys of their levels."""
     X.require(cells, ["zone_name_en", "pickup_hr_ksa", "dist_bin", "ratio_p50", "n"])
     hour, n = F.col("pickup_hr_ksa").cast("int"), F.coalesce(F.col("n").cast("long"), F.lit(0))
-    d = cells.withColumns({"pickup_hr_ksa": hour, "n": n}).withColumn("is_peak", X.is_peak(F.col("pickup_hr_ksa")))
-    m = with_cell_parents(d, RATIO_LEVELS, "ratio_p50", "n", "parent_ratio")
+    return cells.withColumns({"pickup_hr_ksa": hour, "n": n}).withColumn("is_peak", X.is_peak(F.col("pickup_hr_ksa")))
+
+
+def ratio_parents(cells: DataFrame) -> Part:
+    return Part(ratio_cells(cells), keys_of(RATIO_LEVELS), "ratio_p50", "n")
+
+
+def smooth_ratios(cells: DataFrame, n0: int, prior: DataFrame | None = None, n0_prior: int = 0, prior_mode: str = "balanced", found: Sequence[DataFrame] | None = None) -> DataFrame:
+    """cells: zone_name_en, pickup_hr_ksa, dist_bin, ratio_p50, n. prior: the same, by these names or their aliases. found: medians of ratio_parents, if known."""
+    m = with_cell_parents(ratio_cells(cells), RATIO_LEVELS, "ratio_p50", "n", "parent_ratio", found)
     keys = ["zone_name_en", "pickup_hr_ksa", "dist_bin"]
     if prior is not None:
         p = X.rename_aliases(prior, PRIOR_ALIASES)
@@ -91,31 +94,46 @@ def smooth_ratios(cells: DataFrame, n0: int, prior: DataFrame | None = None, n0_
 BASELINE_LEVELS = (Level("val_h", ("pickup_hr_ksa",)), Level("val_ip", ("is_peak",)), Level("val_g", ()))
 
 
-def t3_baseline(rows: DataFrame, n0: int) -> DataFrame:
-    """rows: zone_name_en, pickup_hr_ksa, t3_actual_min and w. Minutes of the third leg by zone and hour, without routes."""
-    d = rows.withColumn("is_peak", X.is_peak(F.col("pickup_hr_ksa"))).select("zone_name_en", "pickup_hr_ksa", "is_peak", "t3_actual_min", "w")
-    cells = weighted_median(d, ["zone_name_en", "pickup_hr_ksa", "is_peak"], "t3_actual_min", "w", "value_cell", "n_cell")
-    m = with_parents(cells, d, BASELINE_LEVELS, "t3_actual_min", "w")
+BASELINE_KEYS = (("zone_name_en", "pickup_hr_ksa", "is_peak"), *keys_of(BASELINE_LEVELS))
+
+
+def t3_baseline(found: Sequence[DataFrame], n0: int) -> DataFrame:
+    """found: weighted medians of the third leg's minutes by BASELINE_KEYS. Minutes by zone and hour, without routes."""
+    cells, *parents = found
+    m = with_parents(cells.select(*BASELINE_KEYS[0], F.col("v").alias("value_cell"), F.col("n").alias("n_cell")), parents, BASELINE_LEVELS)
     return m.withColumn("value_smoothed", X.shrink(F.col("n_cell"), F.col("value_cell"), n0, F.col("parent_value")))
 
 
-def dwell(rows: DataFrame, n0: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+DWELL_KEYS = (("zone_name_en", "pickup_hr_ksa"), ("pickup_hr_ksa",), ())
+
+
+def dwell(rows: DataFrame, n0: int, keep: Callable[[DataFrame, str], DataFrame] = stage) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows: zone_name_en, pickup_hr_ksa, dwell_min. Smoothed minutes by zone and hour; by hour; overall (one row)."""
-    hours = with_quantiles(rows.where("pickup_hr_ksa is not null"), ["pickup_hr_ksa"], {"dwell_h": ("dwell_min", 0.5)}, F.count(F.lit(1)).alias("n_h"))
-    full = rows.where("pickup_hr_ksa is not null and zone_name_en is not null")
-    cells = with_quantiles(full, ["zone_name_en", "pickup_hr_ksa"], {"dwell_cell": ("dwell_min", 0.5)}, F.count(F.lit(1)).alias("n_cell"))
+    return dwell_of(many_medians([Part(rows, DWELL_KEYS, "dwell_min")], keep)[0], n0)
+
+
+def dwell_of(found: Sequence[DataFrame], n0: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """found: medians by DWELL_KEYS."""
+    cells, hours, overall = found
+    hours = hours.where("pickup_hr_ksa is not null").select("pickup_hr_ksa", F.col("v").alias("dwell_h"), F.col("n").alias("n_h"))
+    cells = cells.where("pickup_hr_ksa is not null and zone_name_en is not null").select("zone_name_en", "pickup_hr_ksa", F.col("v").alias("dwell_cell"), F.col("n").alias("n_cell"))
     m = cells.join(hours.select("pickup_hr_ksa", F.col("dwell_h").alias("dwell_parent"), F.col("n_h").alias("n_parent")), "pickup_hr_ksa")
     m = m.withColumn("dwell_smoothed", X.shrink(F.col("n_cell"), F.col("dwell_cell"), n0, F.col("dwell_parent")))
-    return m, hours, quantiles(rows, [], {"dwell_g": ("dwell_min", 0.5)}).fillna(0.0)
+    one = overall.sparkSession.range(1).join(overall, F.lit(True), "left")
+    return m, hours, one.select(F.coalesce("v", F.lit(0.0)).alias("dwell_g"))
 
 
 VALUE_LEVELS = (Level("val_svh", ("sub_vertical_name", "pickup_hr_ksa", "dow")), Level("val_hd", ("pickup_hr_ksa", "dow")), Level("val_g", ()))
 
 
-def smooth_values(cells: DataFrame, n0: int) -> DataFrame:
-    """cells: shop_id, sub_vertical_name, pickup_hr_ksa, dow, value_p50, n."""
+def value_parents(cells: DataFrame) -> Part:
+    return Part(cells, keys_of(VALUE_LEVELS), "value_p50", "n")
+
+
+def smooth_values(cells: DataFrame, n0: int, found: Sequence[DataFrame] | None = None) -> DataFrame:
+    """cells: shop_id, sub_vertical_name, pickup_hr_ksa, dow, value_p50, n. found: medians of value_parents, if known."""
     X.require(cells, ["shop_id", "sub_vertical_name", "pickup_hr_ksa", "dow", "value_p50", "n"])
-    m = with_cell_parents(cells, VALUE_LEVELS, "value_p50", "n")
+    m = with_cell_parents(cells, VALUE_LEVELS, "value_p50", "n", found=found)
     m = m.withColumnRenamed("value_p50", "value_cell").withColumnRenamed("n", "n_cell")
     return m.withColumn("value_smoothed", X.shrink(F.col("n_cell"), F.coalesce("value_cell", "parent_value"), n0, F.col("parent_value")))
 
@@ -123,9 +141,11 @@ def smooth_values(cells: DataFrame, n0: int) -> DataFrame:
 BIAS_LEVELS = (Level("bias_zh", ("zone_name_en", "pickup_hr_ksa")), Level("bias_hb", ("pickup_hr_ksa", "stack_bkt")), Level("bias_h", ("pickup_hr_ksa",)), Level("bias_g", ()))
 
 
-def bias_map(rows: DataFrame, n0: int) -> DataFrame:
+BIAS_KEYS = (("zone_name_en", "pickup_hr_ksa", "stack_bkt"), *keys_of(BIAS_LEVELS))
+
+
+def bias_map(rows: DataFrame, n0: int, keep: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """rows: zone_name_en, pickup_hr_ksa, stack_bkt, t2_resid and w."""
-    d = rows.select("zone_name_en", "pickup_hr_ksa", "stack_bkt", "t2_resid", "w")
-    cells = weighted_median(d, ["zone_name_en", "pickup_hr_ksa", "stack_bkt"], "t2_resid", "w", "bias_cell", "n_cell")
-    m = with_parents(cells, d, BIAS_LEVELS, "t2_resid", "w", "parent_bias")
+    cells, *parents = many_medians([Part(rows, BIAS_KEYS, "t2_resid", "w")], keep)[0]
+    m = with_parents(cells.select(*BIAS_KEYS[0], F.col("v").alias("bias_cell"), F.col("n").alias("n_cell")), parents, BIAS_LEVELS, "parent_bias")
     return m.withColumn("bias_smoothed", X.shrink(F.col("n_cell"), F.col("bias_cell"), n0, F.col("parent_bias")))

@@ -297,3 +297,19 @@ CTES["c_f_tree"] = f"""select node, ({list(_NUMS + _CATS)!r})[f + 1] as feature,
  case when f >= {len(_NUMS)} then (select any_value(level) from c_f_levels l where l.name = ({list(_NUMS + _CATS)!r})[f + 1] and l.code = b.code) end as level, cast(null as double) as value
  from ({' union all '.join(f'select * from c_f_best{d}' for d in range(4))}) b
  union all select node, null as feature, null as at_most, null as level, median(r) as value from c_f_node4 join (select rid, r from c_f_rows) r using (rid) group by node"""
+
+# the later fifth of the orders, by tables that only the earlier ones taught. Every expression of the estimate is there once
+# more: taught (c_a_...) over the earlier orders, and looked up (c_u_...) from the later ones in those tables.
+CTES["c_a_d"] = "select * exclude (rank_) from (select *, row_number() over (order by created_s, order_id) <= floor(count(*) over () * 0.8e0) as rank_ from c_d) x where rank_"
+CTES["c_u_d"] = "select * exclude (rank_) from (select *, row_number() over (order by created_s, order_id) <= floor(count(*) over () * 0.8e0) as rank_ from c_d) x where not rank_"
+#: What is looked up, or reads the looked-up orders; all else is taught.
+_LOOKED_UP = ("l0", "l1", "l2", "legs", "t2a_hit", "t2a", "t2b_hit", "t2", "corr", "t3_hit", "t3_base_r", "t3_base_b", "t3_base", "t4", "eta")
+for _name in [*CTES]:
+    if _name not in ("c_d", "c_a_d", "c_u_d") and not _name.startswith(("c_f_", "c_v_")):
+        CTES["c_a_" + _name[2:]] = re.sub(r"\bc_(?!a_|u_)", "c_a_", CTES[_name])
+for _name in _LOOKED_UP:
+    CTES[f"c_u_{_name}"] = re.sub(r"\bc_(?!a_|u_)(\w+)", lambda m: ("c_u_" if m[1] in (*_LOOKED_UP, "d") else "c_a_") + m[1], CTES[f"c_{_name}"])
+# tables that are given, and so are the same
+CTES["c_a_prior_shop"], CTES["c_a_prior_vertical"] = CTES["c_prior_shop"], CTES["c_prior_vertical"]
+# the first leg's median is taught too
+CTES["c_u_eta"] = CTES["c_u_eta"].replace("from c_u_legs where t1_actual_min between", "from c_a_legs where t1_actual_min between")

@@ -2,12 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramo.operators import diagnostics, enrich
 from tramo.plans import delivery, legacy
 from tramo.sources.files import write_table
+from tramo.tables import drop_folder
+
+
+def publish(spark: SparkSession, folder: str, write: Callable[[str], None]) -> str:
+    """Runs write with a new folder under folder, and then names it the one that counts. The new folder.
+
+    Until the last step, a file that appears whole under a name of its own, readers see the set before: a run that ends
+    half-way changes nothing for them. Older sets stay until prune.
+    """
+    fs, top = _fs(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    name = f"{max([number for number, _ in _manifests(spark, folder)], default=0) + 1:08d}-{uuid.uuid4().hex[:8]}"
+    write(f"{folder}/sets/{name}")
+    fs.mkdirs(path(f"{folder}/published"))
+    draft = path(f"{folder}/published/_{name}")
+    fs.create(draft, True).close()
+    if not fs.rename(draft, path(f"{folder}/published/{name}")):
+        raise OSError(f"{folder}: {name} could not be published")
+    return f"{folder}/sets/{name}"
+
+
+def _fs(spark: SparkSession, folder: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """Number and name of each published set, in order."""
+    fs, p = _fs(spark, f"{folder}/published")
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((int(n.partition("-")[0]), n) for n in names if not n.startswith(("_", ".")))
+
+
+def published(spark: SparkSession, folder: str) -> str:
+    """The folder of the set that was published last."""
+    found = _manifests(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"{folder}: nothing has been published")
+    return f"{folder}/sets/{found[-1][1]}"
+
+
+def prune(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Deletes all sets but the last ones that were published, and what runs left that ended half-way."""
+    fs, p = _fs(spark, f"{folder}/sets")
+    stay = {name for _, name in _manifests(spark, folder)[-keep:]}
+    for name in [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []:
+        if name not in stay:
+            drop_folder(spark, f"{folder}/published/{name}")
+            drop_folder(spark, f"{folder}/sets/{name}")
 
 
 def write_enriched(df: DataFrame, folder: str, kind: str = "parquet") -> None:
