@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_small_tables import LONG, ROWS, SCHEMA, docs, none  # noqa: F401
-from tramo.llm import audit, langid, quality, queries, toxicity, trie
+from tramo.llm import audit, chat, langid, quality, queries, toxicity, trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -289,3 +289,26 @@ def test_signs_at_the_ends_of_words(spark):
 
 def test_number_signs_are_no_letters(spark):
     assert [langid.has_letter(t) for t in ("½ ²", "①", "Ⅷ", "", "12 %", "½ a", "é", "石", "_")] == [False] * 5 + [True, True, True, False]
+
+
+def test_records_of_several_layouts_say_the_same(spark):
+    rows = [(k, t, ["user", "assistant", "system", ""][t % 4], f"t{k}.{t} \"</s>\n") for k in range(60) for t in range(k % 5 + 1)] + [(60, 0, "human", "a"), (60, 1, "bot", None), (61, None, None, None), (61, 4, "gpt", "b")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.records_of_rows(d, "conv_id", "turn", "role", "text", mixed=True)
+    got = chat.to_turns(records, "conv_id").collect()
+    want = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        want[c].append((role or "", text or ""))
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in got} == want
+    assert len({r.fingerprint for r in got}) == 7
+
+
+def test_chat_query_has_several_layouts(spark):
+    seen = []
+    was = chat.to_turns
+    chat.to_turns = lambda records, *a: seen.append(records) or was(records, *a)
+    try:
+        queries.op3_chat_formatting(spark, SF).count()
+    finally:
+        chat.to_turns = was
+    assert was(seen[0], "conv_id").select("fingerprint").distinct().count() > 3 and was(seen[0], "conv_id").where("turns is null").count() == 0

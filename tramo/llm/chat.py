@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,7 +67,7 @@ def _flat(turns: tuple[tuple[str, tuple[str, ...]], ...], optional: tuple[str, .
 
 MAPPINGS = (
     _list("messages", "role", "content"),
-    _list("messages", "role", "text", "turn"),
+    replace(_list("messages", "role", "text", "turn"), roles=()),
     _list("conversations", "from", "value", optional=("system",)),
     _list("conversation", "role", "content"),
     _list("dialog", "speaker", "utterance"),
@@ -222,8 +222,34 @@ def digest(formatted: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def records_of_rows(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Rows by turn put together: a JSON record with messages for each id (one record is one conversation)."""
+def _layouts(messages: Column) -> list[Column]:
+    """Records that say the same in several layouts; messages: structs of turn, role and text."""
+    each = lambda f: F.transform(messages, f)
+    plain = each(lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    return [
+        F.struct(messages.alias("messages")),
+        F.struct(plain.alias("messages")),
+        F.struct(each(lambda m: F.struct(m["role"].alias("from"), m["text"].alias("value"))).alias("conversations")),
+        F.struct(plain.alias("conversation")),
+        F.struct(each(lambda m: F.struct(m["role"].alias("speaker"), m["text"].alias("utterance"))).alias("dialog")),
+        F.struct(F.struct(plain.alias("messages")).alias("data")),
+        F.struct(each(lambda m: F.struct(F.struct(m["role"].alias("role")).alias("author"), F.struct(m["text"].alias("text")).alias("content"))).alias("turns")),
+    ]
+
+
+def records_of_rows(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str, mixed: bool = False) -> DataFrame:
+    """Rows by turn put together: a JSON record for each id (one record is one conversation).
+
+    Records have numbered messages; mixed: one of several layouts, by the id. Roles that other layouts have names of their
+    own for are kept in the first one, where roles are as they are.
+    """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    messages = F.array_sort(F.collect_list(turn))
-    return rows.groupBy(id_col).agg(F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"}).alias("record"))
+    one = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(turn)).alias("_m"))
+    first, *others = [F.to_json(x, {"ignoreNullFields": "false"}) for x in _layouts(F.col("_m"))]
+    record = first
+    if mixed:
+        named = F.exists("_m", lambda m: m["role"].isin([a for a, _ in Mapping.roles]))
+        pick = F.when(named, 0).otherwise(F.pmod(F.xxhash64(id_col), F.lit(len(others) + 1)))
+        for k, other in enumerate(others, 1):
+            record = F.when(pick == k, other).otherwise(record)
+    return one.select(id_col, record.alias("record"))
