@@ -11,6 +11,11 @@ a sketch still has sets of several components are all pairs between these compar
 comparison starts with bit sketches, whose Hamming distance is never more than the symmetric difference; what passes is
 verified on the texts. Between components, a block with many pairs first has only the nearest ones verified that would join
 its components, then whatever is left. So no link between components is lost, and no group is written out as pairs.
+
+Pages of one template share most sketches without being linked: a sketch of very many sets says little. Such sets are
+replaced by how they differ from what most of them have. That leaves the difference of any two as it is, but makes the sets
+small, and what pages have of their own rare: linked ones share one of their rarest members (a prefix of as many as they may
+differ in, and one more), or both hardly differ from the common part. These are the keys that they meet by.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ BLOCK = 512
 PAIRS = 1
 #: Counters of the sketch that finds frequent keys.
 COUNTERS = 4096
+#: Sets of one sketch beyond which its members are dealt out anew, by what they don't have in common.
+HOT = 2048
 #: Times that a set with too many empty segments is cut anew.
 ROUNDS = 4
 _U = np.uint64
@@ -365,6 +372,56 @@ def _shared_keys(sets: DataFrame, stage: Stage) -> DataFrame:
     return stage(out, "shared")
 
 
+def _shingle_sets(texts: DataFrame, join: Join) -> DataFrame:
+    """texts: node, g, text. node, g and the hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, most=1_500_000):
+            h, doc = hashed(batch.column("text").to_pylist(), join.k)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["node", "g", "h"])
+        _hashes.clear()
+
+    return texts.select("node", "g", "text").mapInArrow(run, "node long, g long, h array<long>")
+
+
+def _refined(hot: DataFrame, light: DataFrame, docs: DataFrame, join: Join, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """For the sets of hot keys, keys that tell them apart (key, node, up, m), and pairs with the one nearest to what they have in common.
+
+    Keys that share sets are one group. A set's residue is its symmetric difference from the shingles that more than half
+    of the group have. Linked sets differ in t members at most, t for the group's largest set; so their residues share one
+    of the t + 1 rarest members of each, or have no more than t members together.
+    """
+    groups = components(hot.select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
+    groups = stage(groups.select("node", F.col("component").alias("g")), "groups")
+    texts = docs.join(small(groups.withColumnRenamed("node", "id")), "id").groupBy("id", "g").agg(F.min("text").alias("text"))
+    sets = stage(_shingle_sets(texts.withColumnRenamed("id", "node"), join), "hotsets")
+    sizes = sets.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.expr(f"max(2 * size(h)) * {100 - join.percent} div {100 + join.percent}").cast("int").alias("t"))
+    sizes = stage(sizes, "groupsizes")
+    counts = sets.select("g", F.explode("h").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
+    # no more than twice as many as a set of the group has on average
+    core = counts.join(small(sizes), "g").where("2 * c > many").groupBy("g").agg(F.collect_list("x").alias("core"))
+    both = sets.join(small(sizes), "g").join(small(stage(core, "core"), 10_000), "g", "left").withColumn("core", F.coalesce("core", F.expr("cast(array() as array<bigint>)")))
+    signed = lambda c, sign: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(sign).alias("gone")))
+    residue = F.concat(signed(F.array_except("h", "core"), False), signed(F.array_except("core", "h"), True))
+    left = stage(both.select("g", "node", "t", residue.alias("residue")), "residues")
+    every = left.select("g", "node", "t", F.explode("residue").alias("e")).select("g", "node", "t", "e.*")
+    often = every.groupBy("g", "x", "gone").agg(F.count(F.lit(1)).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "x", "gone"))
+    # members that one set alone has count for the prefix, and meet no one
+    first = every.join(often, ["g", "x", "gone"]).withColumn("rank", rank).where("rank <= t + 1 and f > 1")
+    first = first.select("node", F.xxhash64("g", "x", "gone").alias("key"))
+    near = left.withColumn("r", F.size("residue")).groupBy("g").agg(F.min(F.struct("r", "node")).alias("least"))
+    tiny = left.withColumn("r", F.size("residue")).join(small(stage(near, "nearest")), "g").where("2 * least.r <= t and r + least.r <= t")
+    tiny = stage(tiny.select("node", F.xxhash64("g").alias("key"), F.col("least.node").alias("hub")), "tiny")
+    keyed = first.unionByName(tiny.select("node", "key")).join(light.select(F.col("id").alias("node"), "band", "bits_next"), "node")
+    up = lambda on: keyed.where("bits_next is not null" if on else "true").select("node", F.xxhash64("key", F.col("band") + int(on)).alias("key"), F.lit(on).alias("up"))
+    keyed = stage(up(False).unionByName(up(True)), "prefixes")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    pairs = tiny.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return keyed.join(shared, "key").select("key", "node", "up", "m"), pairs
+
+
 def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text", left: list[DataFrame] | None = None) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -391,8 +448,16 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = verify(stage(_hamming_ok(stars, light, join), "stars"), rows, join, stage)
     comp = components(links)
+    rest = shared.select("key", "node", "up", "m")
+    hot = shared.where(F.col("m") > HOT)
+    named = hot.join(comp, "node", "left").groupBy("key").agg(F.min(F.coalesce("component", "node")).alias("x"), F.max(F.coalesce("component", "node")).alias("y"))
+    mixed = stage(named.where("x < y").select("key"), "mixed")
+    if mixed.limit(1).count():
+        keys, pairs = _refined(stage(hot.join(small(mixed), "key", "left_semi"), "hot"), light, rows, join, stage)
+        links = links.union(verify(stage(_hamming_ok(pairs, light, join), "nearpairs"), rows, join, stage))
+        comp = components(links)
+        rest = stage(rest.where(F.col("m") <= HOT).unionByName(keys), "refined")
     # where one key still has several components: all that is left between them, or first only what joins them most nearly
-    rest = shared
     for whole in (False, True):
         found = stage(_open_pairs(rest, comp, light, join, whole, stage), "between")
         links = links.union(verify(found.where("a is not null").select("a", "b").distinct(), rows, join, stage))
@@ -400,7 +465,7 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
         still = stage(found.where("key is not null").select("key").distinct(), "open")
         if not still.limit(1).count():
             break
-        rest = shared.join(small(still), "key", "left_semi")
+        rest = rest.join(small(still), "key", "left_semi")
     comp = stage(comp, "components")
     named = members.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     moved = staging.stage(named.where("id <> component").distinct(), "moved")
