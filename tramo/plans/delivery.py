@@ -301,6 +301,11 @@ class Delivery:
         new.__dict__.update({k: getattr(taught, k) for k in TABLES})
         return new
 
+    @cached_property
+    def late(self) -> Delivery:
+        """The plan of the later share of the orders, by what the earlier ones taught."""
+        return self.unseen()
+
     def rolling(self, origins: Sequence[float] = (0.6, 0.8)) -> DataFrame:
         """Errors by leg of the orders after each origin (a share of all orders) up to the next one, by what was known at it: origin, and the columns of by_leg."""
         ends = [*origins[1:], 1.0]

@@ -126,19 +126,19 @@ _LEGS = (
 )
 register("leg_diagnostics_holdout", _leg_sql("c_late", _LEGS))(lambda d: diagnostics.by_leg(d.held_out))
 register("leg_diagnostics", _leg_sql("c_eta", _LEGS))(lambda d: diagnostics.by_leg(d.predictions))
-register("leg_diagnostics_unseen", _leg_sql("c_u_eta", _LEGS))(lambda d: diagnostics.by_leg(d.unseen().predictions))
+register("leg_diagnostics_unseen", _leg_sql("c_u_eta", _LEGS))(lambda d: diagnostics.by_leg(d.late.predictions))
 _ZH = "select zone_name_en, pickup_hr_ksa, count(*) as rows, round(avg(abs(ETA_actual_min - {0})), 6) as MAE, round(median(abs(ETA_actual_min - {0})), 6) as Median_AE from c_eta where zone_name_en is not null and pickup_hr_ksa is not null group by all"
 register("zone_hour_diagnostics", O.query(_ZH.format("ETA_P50")))(lambda d: diagnostics.by_zone_hour(d.predictions))
 register("zone_hour_diagnostics_holdout", O.query(_ZH.format("ETA_P50_CORR").replace("c_eta", "c_late")))(lambda d: diagnostics.by_zone_hour(d.held_out, "ETA_P50_CORR"))
-both("eta_unseen", "order_id ~T1_P50 ~T2a_P50 ~T2b_P50 t2b_n_cell ~T2_bias_corr ~T2_P50_CORR ~T3_base_P50 ~T4_dwell_P50 ~ETA_P50_CORR t2a_ratio_src t3_ratio_source", "c_u_eta")(lambda d: d.unseen().predictions)
-register("zone_hour_diagnostics_unseen", O.query(_ZH.format("ETA_P50_CORR").replace("c_eta", "c_u_eta")))(lambda d: diagnostics.by_zone_hour(d.unseen().predictions, "ETA_P50_CORR"))
+both("eta_unseen", "order_id ~T1_P50 ~T2a_P50 ~T2b_P50 t2b_n_cell ~T2_bias_corr ~T2_P50_CORR ~T3_base_P50 ~T4_dwell_P50 ~ETA_P50_CORR t2a_ratio_src t3_ratio_source", "c_u_eta")(lambda d: d.late.predictions)
+register("zone_hour_diagnostics_unseen", O.query(_ZH.format("ETA_P50_CORR").replace("c_eta", "c_u_eta")))(lambda d: diagnostics.by_zone_hour(d.late.predictions, "ETA_P50_CORR"))
 both("ratio_sources", "order_id t2_ratio_source t3_ratio_source dwell_source", "(select *, t2a_ratio_src as t2_ratio_source from c_eta) x")(lambda d: ratio_sources(d.predictions))
 both("t2b_blend_summary", "shop_id sub_vertical_name pickup_hr_ksa dow n_cell ~parent_value ~prior_p50 n_prior ~value_blended", "(select *, value_smoothed as value_blended from c_blend) x")(lambda d: blend_summary(d.t2b_blend))
 register("zone_hour_diagnostics_corrected", O.query(_ZH.format("ETA_P50_CORR")))(lambda d: diagnostics.by_zone_hour(d.predictions, "ETA_P50_CORR"))
 _SHARE = "round(100 * avg(case when {0} then 1e0 else 0e0 end), 6) as {1}"
 register("coverage", O.query("select " + ", ".join(_SHARE.format(c, n) for c, n in (("t2a_n_cell >= 25", "t2a_pct"), ("t2b_n_cell >= 25", "t2b_pct"), ("abs(T2_bias_corr) >= 0.5", "bias_pct"))) + " from c_corr"))(lambda d: diagnostics.coverage(d.add_bias(d.t2)))
 _BAND = "select '{0}' as band, count(*) filter (abs(ETA_actual_min - ETA_P50_CORR) {1}) as orders, round(count(*) filter (abs(ETA_actual_min - ETA_P50_CORR) {1}) * 100e0 / count(abs(ETA_actual_min - ETA_P50_CORR)), 6) as pct from c_eta"
-register("error_bands_unseen", O.query(" union all ".join(_BAND.format(b, b.replace("<=", "<= ").replace(">", "> ")) for b in ("<=2", "<=5", "<=10", "<=15", ">15")).replace("c_eta", "c_u_eta")))(lambda d: diagnostics.error_bands(d.unseen().predictions))
+register("error_bands_unseen", O.query(" union all ".join(_BAND.format(b, b.replace("<=", "<= ").replace(">", "> ")) for b in ("<=2", "<=5", "<=10", "<=15", ">15")).replace("c_eta", "c_u_eta")))(lambda d: diagnostics.error_bands(d.late.predictions))
 register("error_bands", O.query(" union all ".join(_BAND.format(b, b.replace("<=", "<= ").replace(">", "> ")) for b in ("<=2", "<=5", "<=10", "<=15", ">15"))))(lambda d: diagnostics.error_bands(d.predictions))
 
 register("recency_weights", O.query("select order_id, round(exp(-ln(2e0) / 21e0 * greatest((max(accepted_s) over () - accepted_s) / 86400e0, 0e0)), 6) as w from c_d where accepted_s is not null union all select order_id, 0e0 as w from c_d where accepted_s is null"))(
