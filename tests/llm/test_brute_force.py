@@ -280,6 +280,41 @@ def test_recall_of_the_index(spark):
     assert links.sum() - 1440 > 1000 and got >= 0.97 * (links.sum() - 1440) and got <= links.sum() - 1440
 
 
+def narrow(rng, n: int, width: int, cosine: float) -> np.ndarray:
+    """n pairs of near vectors (cosine 0.981 or more) in a cone: vectors of different pairs have about the given cosine."""
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.sqrt(cosine) * np.eye(width)[0] + np.sqrt(1 - cosine) * unit(rng.normal(size=(n, width)))
+    off = rng.normal(size=(n, width))
+    off = unit(off - (off * x).sum(axis=1, keepdims=True) * x)
+    c = rng.uniform(0.981, 1, (n, 1))
+    return np.vstack([x, c * x + np.sqrt(1 - c**2) * off])
+
+
+@pytest.mark.parametrize("index", [pivot_index.Index(), pivot_index.Index(a_task=64)])
+def test_vectors_in_a_narrow_cone(spark, index):
+    x = narrow(np.random.default_rng(5), 800, 48, 0.87)
+    d = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    pivots = pivot_index.choose_pivots(d.select(F.col("embedding").alias("vec")), index)
+    # one rule of directions would leave two of them, and all vectors in every list
+    assert 200 <= len(pivots) <= 256
+    assert len(np.unique(pivots, axis=0)) == len(pivots)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum() - len(x)
+    got = sum(r.n_links for r in pivot_index.near_duplicates(d, index).collect())
+    assert 0.95 * links <= got <= links
+    nearest = np.argsort(-(unit @ pivots.T), axis=1)[:, : index.prefix]
+    assert np.bincount(nearest.ravel()).max() < len(x) // 4  # no list holds most vectors
+
+
+def test_pivots_of_several_tasks_keep_apart(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16)).repeat(20, axis=0) + rng.normal(size=(800, 16)) * 0.05
+    d = spark.createDataFrame([([float(c) for c in v],) for v in x], "vec array<double>")
+    pivots = pivot_index.choose_pivots(d, pivot_index.Index(a_task=32))
+    assert len(pivots) == len(pivot_index.choose_pivots(d, pivot_index.Index()))  # one for each direction, however many tasks chose
+    assert np.triu(pivots @ pivots.T, 1).max() < 0.85
+
+
 def test_memo_keeps_its_bounds():
     memo = units.Memo(lambda keys: units.lists([[len(k), len(k)] for k in keys]), most=50, left=10)
     for turn in range(40):

@@ -15,11 +15,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramo.llm import staging
 from tramo.llm.components import components
-from tramo.llm.staging import small, stage
+from tramo.llm.staging import drop_staged, small
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,10 @@ class Index:
     shared: int = 2
     cosine: float = 0.98
     #: No pivot is as near to another as this: near vectors would be told apart by which of them they are nearest to.
+    #: It holds for vectors of every direction; in a cone, where all are nearer to each other, it comes nearer to 1 as they do.
     apart: float = 0.8
+    #: Pivots that one task chooses.
+    a_task: int = 1024
     #: Vectors of a list that are compared at once, at most about twice as many.
     block: int = 1024
 
@@ -57,31 +62,72 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def choose_pivots(vectors: DataFrame, index: Index) -> np.ndarray:
-    """Farthest-first from a sample of `sample` vectors for each pivot: 262,144 of them at most, given the most pivots."""
-    n = vectors.count()
-    wanted = min(index.pivots[1], max(index.pivots[0], n // index.vectors_a_pivot))
-    most = index.sample * wanted
-    part = vectors if n <= most else vectors.where(F.pmod(F.xxhash64("vec", F.lit(9)), F.lit(1_000_000_000)) < int(1_000_000_000 * most / n))
-    rows = [r["vec"] for r in part.select("vec").toLocalIterator()]
-    if not rows:
-        return np.zeros((0, 1))
-    width = max(map(len, rows))
-    x = np.zeros((len(rows), width))
-    for i, v in enumerate(rows):
-        x[i, : len(v)] = v
-    x = np.unique(_unit(x), axis=0)
+def _limit(x: np.ndarray, apart: float) -> float:
+    """apart, for the spread of the unit vectors x: their mean cosine takes the place of 0."""
+    mean = x.mean(axis=0)
+    return 1 - (1 - apart) * (1 - min(1.0, float(mean @ mean)))
+
+
+def _farthest(x: np.ndarray, wanted: int, limit: float) -> np.ndarray:
+    """Each next one is the vector that is farthest from those before, as long as it isn't as near as limit to one of them."""
     at = [0]
     near = x @ x[0]
-    while len(at) < min(wanted, len(x)) and near.min() < index.apart:
+    while len(at) < min(wanted, len(x)) and near.min() < limit:
         at.append(int(near.argmin()))
         near = np.maximum(near, x @ x[at[-1]])
     return x[at]
 
 
-def _postings(vectors: DataFrame, pivots: np.ndarray, index: Index) -> DataFrame:
-    """A row for each vector and pivot of its prefix."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+def _thinned(x: np.ndarray, limit: float, block: int = 512) -> np.ndarray:
+    """The vectors that aren't as near as limit to one that stays before them."""
+    kept = x[:0]
+    for a in range(0, len(x), block):
+        part = x[a : a + block]
+        if len(kept):
+            part = part[(part @ kept.T).max(axis=1) < limit]
+        near, stay = part @ part.T, []
+        for i in range(len(part)):
+            if not stay or near[i, stay].max() < limit:
+                stay.append(i)
+        kept = np.concatenate([kept, part[stay]])
+    return kept
+
+
+def choose_pivots(vectors: DataFrame, index: Index) -> np.ndarray:
+    """Farthest-first from a sample of `sample` vectors for each pivot: 262,144 of them at most, given the most pivots.
+
+    The sample is dealt out by a hash: a task chooses about `a_task` pivots from its part, and the driver, which gets no
+    other vectors, leaves out those that are too near to a pivot of another task.
+    """
+    n = vectors.count()
+    wanted = min(index.pivots[1], max(index.pivots[0], n // index.vectors_a_pivot))
+    most, tasks = index.sample * wanted, -(-wanted // index.a_task)
+    part = vectors if n <= most else vectors.where(F.pmod(F.xxhash64("vec", F.lit(9)), F.lit(1_000_000_000)) < int(1_000_000_000 * most / n))
+    each = -(-wanted // tasks)
+
+    def choose(rows: pa.Table) -> pa.Table:
+        x, ok = _matrix(rows.column("vec").combine_chunks())
+        x = np.unique(_unit(x[ok]), axis=0)
+        if not len(x):
+            return pa.table({"vec": pa.array([], pa.list_(pa.float64())), "limit": pa.array([], pa.float64())})
+        limit = _limit(x, index.apart)
+        chosen = _farthest(x, each, limit)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * x.shape[1]), pa.array(chosen.ravel()))
+        return pa.table({"vec": flat, "limit": pa.array(np.full(len(chosen), limit))})
+
+    dealt = part.select(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(tasks)).alias("task"), "vec")
+    found = dealt.groupBy("task").applyInArrow(choose, "vec array<double>, limit double").toArrow()
+    if not found.num_rows:
+        return np.zeros((0, 1))
+    x, _ = _matrix(found.column("vec").combine_chunks())
+    if tasks == 1:
+        return x
+    x = x[np.lexsort(x.T[::-1])]
+    return _thinned(x, min(found.column("limit").to_pylist()))[:wanted]
+
+
+def _postings(vectors: DataFrame, shared: Broadcast, index: Index) -> DataFrame:
+    """A row for each vector and pivot of its prefix; shared: the pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +213,12 @@ def near_duplicates(rows: DataFrame, index: Index = Index(), id_col: str = "vec_
     non-finite component links with nothing, and so does a row with a null id. Missing last components count as zeros.
     Copies of a vector link with each other. Ties and repeated rows are links like others.
     """
+    made: list[DataFrame] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        made.append(staging.stage(df, name))
+        return made[-1]
+
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
     fine &= ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -181,7 +233,9 @@ def near_duplicates(rows: DataFrame, index: Index = Index(), id_col: str = "vec_
     if not len(pivots):
         links = rows.sparkSession.createDataFrame([], "a long, links long, b long")
     else:
-        lists = stage(_postings(nodes, pivots, index), "postings")
+        shared = rows.sparkSession.sparkContext.broadcast(pivots)
+        lists = stage(_postings(nodes, shared, index), "postings")
+        shared.unpersist()
         sizes = lists.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / index.block).alias("k")).select("label", "pivot", (F.col("k") - 1).cast("long").alias("parts"))
         cut = lists.join(small(stage(sizes, "sizes")), ["label", "pivot"]).withColumn("part", F.expr("pmod(xxhash64(node), parts + 1)"))
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts")), lambda j: F.least(j, F.col("part")) * F.lit(1 << 31) + F.greatest(j, F.col("part")))
@@ -193,7 +247,9 @@ def near_duplicates(rows: DataFrame, index: Index = Index(), id_col: str = "vec_
     named = counts.join(comp, "node", "full").select("node", "links", "component")
     found = members.join(small(stage(named, "classes")), "node", "left")
     found = found.select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    found = stage(found.dropDuplicates(["id"]), "found")
+    found = staging.stage(found.dropDuplicates(["id"]), "found")
+    for table in [*made, comp]:
+        drop_staged(table)
     out = base.select("id", "fine").join(small(found), "id", "left")
     alone = ~F.col("fine") | F.col("component").isNull()
     out = out.select(F.col("id").alias(id_col), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
