@@ -312,3 +312,46 @@ def test_chat_query_has_several_layouts(spark):
     finally:
         chat.to_turns = was
     assert was(seen[0], "conv_id").select("fingerprint").distinct().count() > 3 and was(seen[0], "conv_id").where("turns is null").count() == 0
+
+
+def test_quality_learns_from_every_label(spark):
+    n = 50_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.col("doc_id") % 7 + 1), lambda k: F.concat(F.lit("w"), (F.col("doc_id") * k % 11).cast("string"))))
+    d = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    model = quality.fit(d, d.select("doc_id", (F.col("doc_id") % 7 > 2).cast("int").alias("quality")))
+    x = np.concatenate([quality.features(pa.array([r.text])) * r["count"] for r in d.groupBy("text").count().collect()])
+    assert model.mean == pytest.approx(x.sum(0) / n, abs=1e-8)
+
+
+def test_quality_blocks_have_both_classes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    monkeypatch.setattr(quality, "OTHERS", 4)
+    for low, high in ((200, 3), (5, 170), (100, 90), (300, 30)):
+        rows = [(i, int(i >= low), [float(i)] * quality.FEATURES) for i in range(low + high)]
+        d = spark.createDataFrame(rows, "id long, label int, features array<double>")
+        got = [[(x.label, x.id) for x in r.rows] for r in quality.blocks(d, {0: low, 1: high}).collect()]
+        rare = int(high < low)
+        common = [i for b in got for y, i in b if y != rare]
+        assert sorted(common) == [i for i, y, _ in rows if y != rare] and all(len(b) == len({*b}) for b in got)
+        assert {i for b in got for y, i in b if y == rare} == {i for i, y, _ in rows if y == rare}
+        assert all(sum(y == rare for y, _ in b) >= min(3, low, high) and 0 < sum(y != rare for y, _ in b) <= 16 for b in got)
+
+
+def test_quality_threshold_of_all_scores(spark):
+    rng = np.random.default_rng(8)
+    for raw in (rng.normal(size=5000), np.round(rng.normal(size=5000), 1), np.round(rng.normal(size=40)), np.array([0.5, 0.5, 0.5])):
+        label = (raw + rng.normal(size=len(raw)) > 0.4).astype(int)
+        label[:2] = 0, 1
+        d = spark.createDataFrame(list(zip(raw.tolist(), label.tolist(), strict=True)), "raw double, label int")
+        assert quality._cut(d) == pytest.approx(quality.threshold(raw, label, np.ones(len(raw))), abs=1e-12)
+
+
+def test_quality_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 32)
+    rows = surfaces(np.random.default_rng(9), 600)
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r.doc_id: r for r in quality.judge(d.select("doc_id", "text"), d.select("doc_id", "quality")).collect()}
+    late = [i for i, r in got.items() if r.held_out]
+    assert sum(got[i].predicted == rows[i][2] for i in late) >= 0.97 * len(late) > 80
+    again = quality.judge(d.select("doc_id", "text").repartition(5), d.select("doc_id", "quality").repartition(2)).collect()
+    assert {r.doc_id: r.score for r in again} == {i: r.score for i, r in got.items()}

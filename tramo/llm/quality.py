@@ -4,11 +4,15 @@ A document is described by its surface: shares of kinds of characters and words,
 the better one is preferred with a probability that is the logistic function of the difference of their scores; scores are
 linear in the features, learnt from pairs by logistic loss on the differences of features. A quantile of the learnt scores
 is the threshold, and scores are shifted so that it lies where the caller wants it.
+
+Every labelled document is learnt from. They are dealt into blocks that have both classes, pairs are drawn inside a block,
+and each step of Newton's method sums loss, gradient and second derivatives over the pairs of all blocks. The threshold is
+found among the distinct scores of all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramo.llm.buffers import joined, owners, runs
-from tramo.llm.staging import small_batches, stage
+from tramo.llm.staging import drop_staged, small, small_batches, stage, unused
 from tramo.llm.units import pieces
+from tramo.operators.ranking import numbered, running_sums
 from tramo.tables import cleaned
 
-#: Labelled documents of a class that are learnt from, about; beyond it they are sampled by their ids.
-SAMPLE = 20_000
-#: Pairs that each document of the sample is in at least.
+#: Labelled documents of the larger class in a block.
+BLOCK = 2048
+#: Documents of the smaller class that a block has, about, at least (all if they are fewer): in several blocks if need be.
+OTHERS = 64
+#: Pairs that each labelled document is in at least.
 PAIRS = 8
 PULL = 1e-3
 
@@ -109,29 +116,50 @@ class Model:
     at: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.spread) @ self.weight
+        return (((x - self.mean) / self.spread) * self.weight).sum(axis=1)  # a row's sum doesn't depend on the rows beside it
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """at where the raw score is the threshold; the difference of two scores' log-odds is what a pair's probability has."""
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.cut + np.log(self.at / (1 - self.at)), -30, 30)))
 
 
+def pair_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Over differences d of features: their number, the sums of the loss, its gradient and its second derivatives at w."""
+    m = d @ w
+    p = 1 / (1 + np.exp(np.clip(m, -30, 30)))
+    return np.concatenate([[len(d), np.logaddexp(0, -m).sum()], -(d * p[:, None]).sum(0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], k: int, pull: float = PULL, steps: int = 60) -> np.ndarray:
+    """The k weights with the least mean loss, drawn to 0 by pull; sums: pair_sums of all pairs at given weights.
+
+    Weights are rounded to a millionth, so that they don't depend on the order in which sums were added up.
+    """
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        s = sums(w)
+        s = s[1:] / s[0]
+        return s[0] + pull / 2 * w @ w, s[1 : k + 1] + pull * w, s[k + 1 :].reshape(k, k) + pull * np.eye(k)
+
+    w = np.zeros(k)
+    now, grad, hess = at(w)
+    for _ in range(steps):
+        step, size = np.linalg.solve(hess, grad), 1.0
+        if np.abs(step).max() < 1e-7:
+            w = w - step
+            break
+        then = at(w - step)
+        while then[0] > now + 1e-12 and size > 1e-6:
+            size /= 2
+            then = at(w - size * step)
+        w, (now, grad, hess) = w - size * step, then
+    return np.round(w, 6)
+
+
 def bradley_terry(better: np.ndarray, worse: np.ndarray, pull: float = PULL, steps: int = 60) -> np.ndarray:
     """The weights that minimise the mean of log(1 + exp(-w (x - y))) over the rows x of better and y of worse, drawn to 0 by pull."""
     d = better - worse
-    w = np.zeros(d.shape[1])
-    loss = lambda w: np.logaddexp(0, -d @ w).mean() + pull / 2 * w @ w
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d * p[:, None]).mean(0) + pull * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + pull * np.eye(len(w))
-        step, size, now = np.linalg.solve(hess, grad), 1.0, loss(w)
-        while loss(w - size * step) > now and size > 1e-6:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-7:
-            break
-    return w
+    return newton(lambda w: pair_sums(d, w), d.shape[1], pull, steps)
 
 
 def pairs(n_better: int, n_worse: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -143,28 +171,53 @@ def pairs(n_better: int, n_worse: int, seed: int = 3) -> tuple[np.ndarray, np.nd
     return deal(n_better), deal(n_worse)
 
 
-def threshold(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
-    """The quantile of raw scores, of 1,000 of them, at which the two classes' mean share of right answers is largest; in the middle of all such."""
-    order = np.argsort(raw, kind="stable")
-    s, y, w = raw[order], label[order], weight[order]
-    low, high = np.cumsum(w * (y == 0)), np.cumsum(w * (y == 1))
-    right = (low / max(low[-1], 1e-300) + 1 - high / max(high[-1], 1e-300)) / 2
-    at = np.unique(np.minimum(np.searchsorted(np.cumsum(w) / w.sum(), np.arange(1, 1000) / 1000), len(s) - 2))
-    best = at[right[at] >= right[at].max() - 1e-12]
+def middle_cut(value: np.ndarray, following: np.ndarray, low: np.ndarray, high: np.ndarray, n_low: float, n_high: float) -> float:
+    """Between a value and the following one, where the two classes' mean share of right answers is largest; in the middle of all such.
+
+    low, high: rows of the classes up to the value, of n_low and n_high.
+    """
+    right = (low / max(n_low, 1e-300) + 1 - high / max(n_high, 1e-300)) / 2
+    best = np.flatnonzero(right >= right.max() - 1e-12)
     k = best[len(best) // 2]
-    return float((s[k] + s[k + 1]) / 2)
+    return float((value[k] + following[k]) / 2)
+
+
+def threshold(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """The cut at one of 1,000 quantiles of raw scores, or under the highest one, at which the most is right (middle_cut)."""
+    s, group = np.unique(raw, return_inverse=True)
+    if len(s) == 1:
+        return float(s[0]) - 1e-9
+    low, high = (np.cumsum(np.bincount(group, weights=weight * (label == k), minlength=len(s))) for k in (0, 1))
+    rank = np.floor(1000 * (low + high) / (low[-1] + high[-1]))
+    at = np.flatnonzero(np.diff(rank[:-1], prepend=0) > 0)
+    at = np.union1d(at, len(s) - 2)
+    return middle_cut(s[at], s[at + 1], low[at], high[at], low[-1], high[-1])
+
+
+def _scale(mean: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded, so that they don't depend on the order of sums."""
+    return np.round(mean, 9), np.maximum(np.round(spread, 9), 1e-6)
+
+
+def _level(mean: np.ndarray, spread: np.ndarray, at: float) -> Model:
+    """Every score is `at` and a hair more."""
+    return Model(np.zeros(FEATURES), mean, spread, -1e-9, at)
 
 
 def learn(x: np.ndarray, label: np.ndarray, weight: np.ndarray, at: float = 0.3) -> Model:
-    """x: features; label: 1 or 0; weight: rows that each stands for. Without both classes every score is `at` and a hair more."""
-    mean, spread = x.mean(0) if len(x) else np.zeros(FEATURES), np.maximum(x.std(0), 1e-6) if len(x) else np.ones(FEATURES)
+    """What fit learns from the rows of one block, by plain code. x: features; label: 1 or 0; weight: rows that each stands for.
+
+    Without both classes every score is `at` and a hair more.
+    """
+    mean, spread = _scale(x.mean(0), x.std(0)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     if len(x) < 3 or label.min() == label.max():
-        return Model(np.zeros(FEATURES), mean, spread, -1e-9, at)
+        return _level(mean, spread, at)
     z = (x - mean) / spread
     good, bad = z[label == 1], z[label == 0]
     i, j = pairs(len(good), len(bad))
-    w = bradley_terry(good[i], bad[j])
-    return Model(w, mean, spread, threshold(z @ w, label, weight), at)
+    model = Model(bradley_terry(good[i], bad[j]), mean, spread, 0.0, at)
+    model.cut = threshold(model.raw(x), label, weight)
+    return model
 
 
 def described(docs: DataFrame, text_col: str = "text", name: str = "features") -> DataFrame:
@@ -181,42 +234,108 @@ def described(docs: DataFrame, text_col: str = "text", name: str = "features") -
     return docs.select(*names, text_col).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", at: float = 0.3) -> Model:
-    """labels: id and 0 or 1 of what to learn from. Of labels with the same id the largest counts; null ones and null ids don't.
+def weighed(rows: DataFrame, value: Callable[[np.ndarray], np.ndarray], column: str = "features", name: str = "score") -> DataFrame:
+    """rows with a number for their features instead of them."""
+    names = [c for c in rows.columns if c != column]
 
-    About SAMPLE documents of each class are described and reach the driver, FEATURES numbers each.
-    """
-    spark = docs.sparkSession
-    with cleaned(spark):
-        known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
-        known = stage(known.groupBy("id").agg(F.max("label").alias("label")), "labels")
-        n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        share = {k: min(1.0, SAMPLE / max(v, 1)) for k, v in n.items()}
-        lot = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1_000_000_000))
-        most = F.when(F.col("label") == 1, int(1_000_000_000 * share.get(1, 1.0))).otherwise(int(1_000_000_000 * share.get(0, 1.0)))
-        some = known.where(lot < most)
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")  # about 2 * SAMPLE rows
-        # of documents with one id, one counts
-        rows = stage(described(rows, "text").groupBy("id", "label").agg(F.min("features").alias("features")), "described")
-        got = rows.orderBy("id").toArrow()
-    x = np.array(got.column("features").to_pylist(), float).reshape(-1, FEATURES)
-    label = got.column("label").to_numpy()
-    weight = np.array([1 / share[k] for k in label.tolist()])
-    return learn(x, label, weight, at)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(value(x), pa.float64())], names=[*names, name])
 
+    fields = [f for f in rows.schema.fields if f.name != column]
+    return rows.select(*names, column).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with its score from 0 to 1 instead of the text; null and empty texts have the features of an empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    names = [c for c in docs.columns if c != text_col]
+
+def blocks(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """rows: id, label, features; n: rows of each label. block and its rows, by id: each row of the larger class is in one
+    block, each of the smaller in as many as it takes that all blocks have OTHERS of it (or all of it)."""
+    most, least = max(n.values()), min(n.values())
+    many = max(1, -(-most // BLOCK))
+    copies = min(many, max(1, -(-OTHERS * many // least)))
+    times = F.when(F.col("label") == (0 if n[0] <= n[1] else 1), copies).otherwise(1)
+    rows = numbered(rows.withColumn("lot", F.xxhash64("id", F.lit(12))), ["label", "lot", "id"])
+    at = F.when(F.col("label") == 1, F.col("at") - n[0]).otherwise(F.col("at"))
+    turn = F.explode(F.transform(F.sequence(F.lit(0), times - 1), lambda t: F.pmod(at + F.floor(t * F.lit(many) / times).cast("long"), F.lit(many))))
+    dealt = rows.select(turn.alias("block"), F.struct("id", "label", "features").alias("row"))
+    return dealt.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+
+def _sums(dealt: DataFrame, mean: np.ndarray, spread: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """pair_sums at w over the pairs of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            x = shared.value.score(features(batch.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(x, pa.float64())], names=[*names, name])
+        total = np.zeros(2 + FEATURES + FEATURES**2)
+        for batch in batches:
+            for rows in batch.column("rows"):
+                x = rows.values.field("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+                label, z = rows.values.field("label").to_numpy(zero_copy_only=False), (x - mean) / spread
+                good, bad = z[label == 1], z[label == 0]
+                i, j = pairs(len(good), len(bad))
+                total += pair_sums(good[i] - bad[j], w)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = dealt.select("rows").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("k", "x"))
+    return np.array([r["x"] for r in parts.groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()])
+
+
+def _cut(raw: DataFrame) -> float:
+    """The threshold of raw (raw, label), as `threshold` has it; at most 1,000 distinct scores reach the driver."""
+    one = lambda k: F.sum((F.col("label") == k).cast("long"))
+    values = stage(raw.groupBy("raw").agg(one(0).alias("low"), one(1).alias("high")), "values")
+    n = values.agg(F.count(F.lit(1)).alias("rows"), F.sum("low").alias("low"), F.sum("high").alias("high"), F.max("raw").alias("top")).first()
+    if n["rows"] == 1:
+        return n["top"] - 1e-9
+    line = numbered(values, ["raw"])
+    upto = running_sums(line, "at", n["rows"], {"lows": "low", "highs": "high"})
+    seen, own, total = F.col("lows") + F.col("highs"), F.col("low") + F.col("high"), F.lit(n["low"] + n["high"])
+    rank = lambda c: F.floor(1000 * c / total)
+    picked = upto.where((F.col("at") < n["rows"] - 1) & ((rank(seen) > rank(seen - own)) | (F.col("at") == n["rows"] - 2)))
+    picked = stage(picked.select("at", "raw", "lows", "highs"), "picked")  # 1,000 rows at most
+    following = line.select((F.col("at") - 1).alias("at"), F.col("raw").alias("following"))
+    got = following.join(F.broadcast(picked), "at").orderBy("at").select("raw", "following", "lows", "highs").collect()
+    return middle_cut(*np.array(got, float).T, n["low"], n["high"])
+
+
+def fit_described(rows: DataFrame, labels: DataFrame, at: float = 0.3) -> Model:
+    """rows: id, features (written, read more than once); labels: id, label. Of labels with the same id the largest counts;
+    null ones and null ids don't. Sums of a fixed size and 1,000 scores at most reach the driver."""
+    spark = rows.sparkSession
+    with cleaned(spark), small_batches(spark):
+        known = labels.where("label in (0, 1) and id is not null").groupBy("id").agg(F.max("label").alias("label"))
+        known = stage(known, "labels")
+        # of documents with one id, one counts
+        taught = rows.join(small(known), "id").groupBy("id", "label").agg(F.min("features").alias("features"))
+        taught = stage(taught, "taught")
+        n = {0: 0, 1: 0} | {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not sum(n.values()):
+            return _level(np.zeros(FEATURES), np.ones(FEATURES), at)
+        column = [F.col("features")[k] for k in range(FEATURES)]
+        got = taught.agg(*[F.avg(c) for c in column], *[F.stddev_pop(c) for c in column]).first()
+        mean, spread = _scale(np.array(got[:FEATURES]), np.array(got[FEATURES:]))
+        if sum(n.values()) < 3 or not min(n.values()):
+            return _level(mean, spread, at)
+        dealt = stage(blocks(taught, n), "blocks")
+        model = Model(newton(lambda w: _sums(dealt, mean, spread, w), FEATURES), mean, spread, 0.0, at)
+        model.cut = _cut(weighed(taught.select("label", "features"), model.raw, name="raw"))
+        return model
+
+
+def _named(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
 
-    fields = [f for f in docs.schema.fields if f.name != text_col]
-    return docs.select(*names, text_col).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", at: float = 0.3) -> Model:
+    """labels: id and 0 or 1 of what to learn from; all of them are."""
+    with cleaned(docs.sparkSession):
+        rows = stage(described(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "described")
+        return fit_described(rows, _named(labels, id_col, label_col), at)
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with its score from 0 to 1 instead of the text; null and empty texts have the features of an empty one."""
+    column = unused(docs, "features")
+    return weighed(described(docs, text_col, column), model.score, column, name)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, at: float = 0.3) -> DataFrame:
@@ -225,6 +344,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A null id isn't held out. Rows that repeat an id are scored each. Columns other than id and text are not read.
     """
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
-    model = fit(docs, labels.where(~out), id_col, text_col, label_col, at)
-    scored = stage(score(docs.select(F.col(id_col), F.col(text_col).alias("text")), model, "text"), "scored")
+    # every text is read once: its features are what is learnt from and what is scored
+    rows = stage(described(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "described")
+    model = fit_described(rows, _named(labels.where(~out), id_col, label_col), at)
+    scored = stage(weighed(rows, model.score).withColumnRenamed("id", id_col), "scored")
+    drop_staged(rows)
     return scored.select(id_col, out.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
