@@ -89,3 +89,41 @@ def test_pairs_grow_with_the_pages(spark, monkeypatch):
         assert got.where("doc_id <> component_id").count() == 0
         sizes[n] = (sum(x for x, _ in made), sum(y for _, y in made))
     assert sizes[2400][0] <= 5 * max(sizes[600][0], 200) and sizes[2400][1] <= 5 * max(sizes[600][1], 200), sizes
+
+
+def drawn(rng, n):
+    return [" ".join(f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(150, 400)))) for _ in range(n)]
+
+
+def test_sketches_of_sets_are_not_written(spark, monkeypatch):
+    """They are more bytes than the texts; only those that several sets have are."""
+    written = []
+    was = ngram_join.staging.stage
+
+    def stage(df, name):
+        out = was(df, name)
+        written.append((name, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join.staging, "stage", stage)
+    d = spark.createDataFrame(list(enumerate(drawn(np.random.default_rng(3), 60))), "doc_id long, text string")
+    assert ngram_join.classes(d, ngram_join.Join()).where("doc_id <> component_id").count() == 0
+    assert all("keys" not in c and rows <= 60 for _, c, rows in written), written
+
+
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_keys_of_instances_and_bits_of_unrelated_sets(spark, k, percent):
+    join, texts = ngram_join.Join(k=k, percent=percent), drawn(np.random.default_rng(4), 40)
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    bands, owners = join.bands(), {}
+    for r in ngram_join.keys(d, join).collect():
+        n = len(ngram_join.shingles(texts[r.node], k))
+        instance = int(np.searchsorted(bands["low"], n, side="right")) - 1 + r.up
+        assert (r.key & (2**64 - 1)) >> 55 == instance and r.key % 65536 == 0
+        owners.setdefault(r.key, set()).add(r.node)
+    assert all(len(x) == 1 for x in owners.values())
+    h, doc = ngram_join.hashed(texts, k)
+    n = np.bincount(doc)
+    top = np.full(len(texts), int(np.searchsorted(bands["low"], n.max(), side="right")) - 1)
+    bits = [int.from_bytes(b) for b in ngram_join.bit_sketches(h, doc, top, bands)]
+    assert all((bits[i] ^ bits[j]).bit_count() > join.apart(n[i] + n[j]) for i in range(40) for j in range(i))

@@ -45,9 +45,12 @@ PAIRS = 1
 COUNTERS = 4096
 #: Sets of one sketch beyond which its members are dealt out anew, by what they don't have in common.
 HOT = 2048
+#: One document in so many, by its id, shows which keys are frequent.
+SHOWN = 8
 #: Times that a set with too many empty segments is cut anew.
 ROUNDS = 4
 _U = np.uint64
+_SKETCH = _U((1 << 55) - (1 << 16))
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 
 
@@ -90,7 +93,8 @@ class Join:
             out["low"].append(low)
             out["segments"].append(t + 1 + empty)
             out["empty"].append(empty)
-            out["bits"].append(min(8192, max(256, 1 << (2 * high - 1).bit_length())))
+            # unrelated sets differ in twice as many bits as linked ones may
+            out["bits"].append(min(8192, max(256, -(-5 * t // 64) * 64)))
             low = high + 1
         return {k: np.array(v, np.int64) for k, v in out.items()}
 
@@ -194,32 +198,56 @@ def bit_sketches(h: np.ndarray, doc: np.ndarray, instance: np.ndarray, bands: di
     return [odd[i // 8 : (i + n) // 8] if n else None for i, n in zip(base.tolist(), b.tolist(), strict=True)]
 
 
+def _instances(n: np.ndarray, bands: dict[str, np.ndarray], join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of sets of these sizes, and the next ones where they may link with a set of those (else -1)."""
+    band = np.searchsorted(bands["low"], n, side="right") - 1
+    return band, np.where((band >= 0) & (100 * n >= join.percent * bands["low"][band + 1]), band + 1, -1)
+
+
 def profiles(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), two fingerprints of the set, its band, keys and bit sketches (own and next instance)."""
+    """id, n (set size), two fingerprints of the set, its band and bit sketches (own and next instance)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = join.bands()
         for batch in pieces(batches, most=1_500_000):
             texts = batch.column("text").to_pylist()
             h, doc = hashed(texts, join.k)
             n = np.bincount(doc, minlength=len(texts))
-            band = np.searchsorted(bands["low"], n, side="right") - 1
-            following = np.where((band >= 0) & (100 * n >= join.percent * bands["low"][band + 1]), band + 1, -1)
+            band, following = _instances(n, bands, join)
             xor, _ = _xor_by(h, doc, len(texts))
             total = np.zeros(len(texts), np.uint64)
             if len(h):
                 has = np.flatnonzero(n)
                 total[has] = np.add.reduceat(mix(h ^ _ODD[62]), (np.cumsum(n) - n)[has])
-            keys = []
-            for instance in (band, following):
-                k, many = sketch_keys(h, doc, instance, bands)
-                keys.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(k)))
             bits = [pa.array(bit_sketches(h, doc, instance, bands), pa.binary()) for instance in (band, following)]
-            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(xor.view(np.int64)), pa.array(total.view(np.int64)), pa.array(band, pa.int64()), *keys, *bits]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "xor", "total", "band", "keys", "keys_next", "bits", "bits_next"])
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(xor.view(np.int64)), pa.array(total.view(np.int64)), pa.array(band, pa.int64()), *bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "xor", "total", "band", "bits", "bits_next"])
         _hashes.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, xor long, total long, band long, keys array<long>, keys_next array<long>, bits binary, bits_next binary")
+    return rows.mapInArrow(run, "id long, n long, xor long, total long, band long, bits binary, bits_next binary")
+
+
+def keys(docs: DataFrame, join: Join) -> DataFrame:
+    """docs: id, text. key, up (it is one of the next band's), node: a row for each sketch of a set.
+
+    They are several times the size of what else is known of a set, so they are made from the texts where they are wanted
+    and never written. A key's first 9 bits are its instance, so that those of two never meet, and the last 16 are 0: fewer
+    bytes are shuffled. Of a billion keys of an instance one in 500 meets another by chance; pairs are verified anyway.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = join.bands()
+        for batch in pieces(batches, most=1_500_000):
+            h, doc = hashed(batch.column("text").to_pylist(), join.k)
+            node = batch.column("id").to_numpy(zero_copy_only=False)
+            for up, instance in enumerate(_instances(np.bincount(doc, minlength=batch.num_rows), bands, join)):
+                k, many = sketch_keys(h, doc, instance, bands)
+                k = (k.view(np.uint64) & _SKETCH) | (np.repeat(np.maximum(instance, 0), many).astype(np.uint64) << _U(55))
+                columns = [pa.array(k.view(np.int64)), pa.array(np.full(len(k), bool(up))), pa.array(np.repeat(node, many), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "up", "node"])
+        _hashes.clear()
+
+    return docs.select("id", "text").mapInArrow(run, "key long, up boolean, node long")
 
 
 _PAIR = "a long, b long"
@@ -351,16 +379,17 @@ def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join,
     return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join, whole), _PAIR + ", key long")
 
 
-def _shared_keys(sets: DataFrame, stage: Stage) -> DataFrame:
-    """Keys that several sets have, a row for each of them: key, node, up (it is one of the next band's), m, and the key's first and last set.
+def _shared_keys(docs: DataFrame, join: Join, stage: Stage) -> DataFrame:
+    """docs: id, text. Keys that several sets have, a row for each of them: key, up, node, the key's first and last set, and m.
 
-    Keys that hold more than one COUNTERS-th of all rows are found by a sketch of frequent items, summed up apart with
-    partial sums and broadcast. No other key has more than a small part of the rows.
+    Keys that hold more than one COUNTERS-th of all rows are found by a sketch of frequent items over one document in SHOWN,
+    summed up apart with partial sums and broadcast. No other key has more than a small part of the rows.
     """
-    one = lambda c, up: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(up).alias("up")))
-    keyed = sets.select(F.explode(F.concat(one("keys", False), one("keys_next", True))).alias("k"), F.col("id").alias("node")).select("k.*", "node")
-    seen = keyed.agg(F.expr(f"approx_top_k(key, {COUNTERS}, {COUNTERS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    heavy = [x["item"] for x in seen["top"] or [] if x["count"] > max(BLOCK, seen["n"] / COUNTERS)]
+    keyed = keys(docs, join)
+    shown = keys(docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SHOWN)) == 0), join)
+    with staging.small_batches(docs.sparkSession):
+        seen = shown.agg(F.expr(f"approx_top_k(key, {COUNTERS}, {COUNTERS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    heavy = [x["item"] for x in seen["top"] or [] if x["count"] > max(BLOCK / SHOWN, seen["n"] / COUNTERS)]
     ends = [F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")]
     w = Window.partitionBy("key")
     light = keyed.where(~F.col("key").isin(heavy)) if heavy else keyed
@@ -442,9 +471,9 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
     same = full.groupBy("xor", "total", "n").agg(F.min("id").alias("rep"))
     members = stage(full.select("id", "xor", "total", "n").join(same, ["xor", "total", "n"]).select("id", "rep"), "members")
     others = members.where("id <> rep").select("id").distinct()
-    sets = full.join(small(stage(others, "others")), "id", "left_anti")
-    shared = _shared_keys(sets, stage)
-    light = stage(sets.select("id", "n", "band", "bits", "bits_next"), "sets")
+    others = small(stage(others, "others"))
+    shared = _shared_keys(rows.where("id is not null").join(others, "id", "left_anti"), join, stage)
+    light = stage(full.join(others, "id", "left_anti").select("id", "n", "band", "bits", "bits_next"), "sets")
     stars = shared.select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = verify(stage(_hamming_ok(stars, light, join), "stars"), rows, join, stage)
     comp = components(links)
