@@ -127,3 +127,65 @@ def test_keys_of_instances_and_bits_of_unrelated_sets(spark, k, percent):
     top = np.full(len(texts), int(np.searchsorted(bands["low"], n.max(), side="right")) - 1)
     bits = [int.from_bytes(b) for b in ngram_join.bit_sketches(h, doc, top, bands)]
     assert all((bits[i] ^ bits[j]).bit_count() > join.apart(n[i] + n[j]) for i in range(40) for j in range(i))
+
+
+def near_misses(n):
+    """Pages of one text that differ a little more than linked ones may, and for each tenth two that it links with."""
+    base, rows = [f"common{k}" for k in range(200)], []
+    for i in range(n):
+        w = [*base]
+        for at in (1, 50, 100, 150):
+            w[at] = f"id{i}at{at}"
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            rows += [(n + i, " ".join([*w[:-1], "changed"])), (2 * n + i, " ".join(["begun", *w[1:-1], "changed"]))]
+    return rows
+
+
+def test_rows_of_open_keys_grow_with_the_pages(spark, monkeypatch):
+    made, was = [], ngram_join.staging.stage
+
+    def stage(df, name):
+        out = was(df, name)
+        if {"a", "b"} <= {*out.columns}:
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join.staging, "stage", stage)
+    sizes = {}
+    for n in (100, 300):
+        made.clear()
+        rows = near_misses(n)
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in ngram_join.classes(d, ngram_join.Join(k=3, percent=90)).collect()}
+        assert got == brute(rows, 3, 90)
+        sizes[n] = sum(x for _, x in made)
+        assert max(x for _, x in made) <= 20 * len(rows), made
+    assert sizes[300] <= 4 * sizes[100], sizes
+
+
+@pytest.mark.parametrize("whole", [1, 300, 1 << 17])
+def test_links_of_open_keys_by_whole_sets(spark, monkeypatch, whole):
+    """In blocks of any size, whether keys are compared as one group or (chained) one by one."""
+    monkeypatch.setattr(ngram_join, "WHOLE", whole)
+    join, rows = ngram_join.Join(k=3, percent=90), near_misses(40)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    ids = [i for i, _ in rows]
+    none = spark.createDataFrame([], "node long, component long")
+    want = brute(rows, 3, 90)
+    chained = [(k // 2, i) for k, i in enumerate(ids)] + [(100 + k // 2, i) for k, i in enumerate(ids[1:])]
+    for keyed in ([(k, i) for k in (5, 6) for i in ids], chained):
+        shared = spark.createDataFrame(keyed, "key long, node long")
+        found = ngram_join._open_links(shared, none, docs, join, ngram_join.stage)
+        links = {(r.a, r.b) for r in found.collect()}
+        met = {(a, b) for k in {k for k, _ in keyed} for a in ids for b in ids if a < b and {(k, a), (k, b)} <= {*keyed}}
+        text, root = dict(rows), {i: i for i in ids}
+        for a, b in links:
+            x, y = ngram_join.shingles(text[a], 3), ngram_join.shingles(text[b], 3)
+            assert 100 * len(x & y) >= 90 * len(x | y) and (a, b) in met
+        got = {r.node: r.component for r in ngram_join.components(found).collect()}
+        if keyed is chained:
+            assert all(got.get(a, a) == got.get(b, b) for a, b in met if want[a] == want[b] and abs(a - b) % 40 == 0)
+        else:
+            assert {i: got.get(i, i) for i in ids} == want
+        assert len(found.collect()) <= 60 * len(keyed)

@@ -9,8 +9,9 @@ if it may link with a larger band's sets, the next one's.
 Sets that share a sketch are compared with the first and the last of them; what links is joined to components. Only where
 a sketch still has sets of several components are all pairs between these compared, in blocks of bounded size. Each
 comparison starts with bit sketches, whose Hamming distance is never more than the symmetric difference; what passes is
-verified on the texts. Between components, a block with many pairs first has only the nearest ones verified that would join
-its components, then whatever is left. So no link between components is lost, and no group is written out as pairs.
+verified on the texts. Between components, a block with many pairs has only the nearest ones verified that would join its
+components. What that leaves open is compared by whole sets where they lie: keys that share sets are one group, and a block
+gives only links that join its components. So no link between components is lost, and no group is written out as pairs.
 
 Pages of one template share most sketches without being linked: a sketch of very many sets says little. Such sets are
 replaced by how they differ from what most of them have. That leaves the difference of any two as it is, but makes the sets
@@ -41,6 +42,8 @@ from tramo.llm.units import pieces
 BLOCK = 512
 #: Pairs for each row of a cell under which all of them are verified at once: never more than its rows.
 PAIRS = 1
+#: Shingles of sets that are compared at once by all of them, at most about twice as many (one set may have more).
+WHOLE = 1 << 17
 #: Counters of the sketch that finds frequent keys.
 COUNTERS = 4096
 #: Sets of one sketch beyond which its members are dealt out anew, by what they don't have in common.
@@ -297,86 +300,167 @@ def verify(pairs: DataFrame, docs: DataFrame, join: Join, stage: Stage = stage)
     return stage(both.mapInArrow(run, _PAIR), "verified")
 
 
-def _between_components(join: Join, whole: bool):
+def _near(rows: list[dict], sk: np.ndarray, n: np.ndarray, comp: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell's rows, the pairs of different components that sizes and bit sketches allow, and their Hamming distances."""
+    part, two = np.array([r["part"] for r in rows], np.int64), rows[0]["parts"] > 0  # of two blocks, only pairs between them
+    left, right, far = ([np.zeros(0, np.int64)] for _ in range(3))
+    for i in range(len(rows) - 1):
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= join.percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
+        if two:
+            j = j[part[j] != part[i]]
+        if len(j):
+            apart = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
+            near = apart <= join.apart(n[i] + n[j])
+            left.append(np.full(int(near.sum()), i))
+            right.append(j[near])
+            far.append(apart[near].astype(np.int64))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(far)
+
+
+def _joining(comp: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], linked: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """The nearest pairs that join components, so fewer than there are components; only such that are linked, if it is given."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    a, b, apart = pairs
+    for k in np.argsort(apart, kind="stable").tolist():
+        i, j = int(a[k]), int(b[k])
+        p, q = find(int(comp[i])), find(int(comp[j]))
+        if p != q and (linked is None or linked(i, j)):
+            root[max(p, q)] = min(p, q)
+            yield i, j
+
+
+def _cells(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[list[dict]]:
+    """The rows of each cell, from rows sorted by it. An array h of a row stays in Arrow's buffers."""
+    wait: list[dict] = []
+    for batch in batches:
+        lists = batch.schema.get_field_index("h")
+        rows = (batch if lists < 0 else batch.drop_columns(["h"])).to_pylist()
+        if lists >= 0 and rows:
+            h = batch.column("h")
+            offsets = h.offsets.to_numpy()
+            values = h.values.to_numpy().view(np.uint64)
+            for r, i, j in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                r["h"] = values[i:j]
+        for r in rows:
+            if wait and any(r[c] != wait[0][c] for c in by):
+                yield wait
+                wait = []
+            wait.append(r)
+    if wait:
+        yield wait
+
+
+def _written(found: Iterator[tuple], names: list[str], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """What was found as batches of rows, repeated ones only once in a batch."""
+    seen: dict[tuple, None] = {}
+    for x in chain(found, [None]):
+        if x is not None:
+            seen[x] = None
+        if len(seen) >= most or (x is None and seen):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seen, strict=True)], names=names)
+            seen = {}
+
+
+def _between_components(join: Join):
     """Over rows sorted by cell: pairs of different components in a cell that sizes and bit sketches allow.
 
-    All of them if they are fewer than PAIRS for each of its rows (or whole). Else only as many as join the cell's
-    components, nearest first, and the cell's key: it is still open.
+    All of them if they are fewer than PAIRS for each of its rows. Else only as many as join the cell's components, nearest
+    first, and the cell's key: it is still open.
     """
 
-    def joined(comp: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int]]:
-        root: dict[int, int] = {}
-
-        def find(k: int) -> int:
-            while (up := root.get(k, k)) != k:
-                root[k] = root.get(up, up)
-                k = up
-            return k
-
-        for k in np.argsort(apart, kind="stable").tolist():
-            p, q = find(int(comp[a[k]])), find(int(comp[b[k]]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                yield int(a[k]), int(b[k])
-
-    def cell(rows: list[dict]) -> tuple[list[tuple[int, int]], bool]:
-        if any(r["bits"] is None for r in rows):
-            raise ValueError("a set without the sketch of its instance")
-        sk = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)
-        n, comp, node, part = (np.array([r[c] for r in rows], np.int64) for c in ("n", "comp", "node", "part"))
-        two = rows[0]["parts"] > 0  # of two blocks, only pairs between them
-        left, right, far = [], [], []
-        for i in range(len(rows) - 1):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= join.percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
-            if two:
-                j = j[part[j] != part[i]]
-            if len(j):
-                apart = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
-                near = apart <= join.apart(n[i] + n[j])
-                left.append(np.full(int(near.sum()), i))
-                right.append(j[near])
-                far.append(apart[near])
-        if not left:
-            return [], False
-        a, b, apart = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        some = not whole and len(a) >= PAIRS * len(rows)
-        pairs = joined(comp, a, b, apart) if some else zip(a.tolist(), b.tolist(), strict=True)
-        return [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for i, j in pairs], some
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _cells(batches, ("key", "cell")):
+            if any(r["bits"] is None for r in rows):
+                raise ValueError("a set without the sketch of its instance")
+            sk = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)
+            n, comp = (np.array([r[c] for r in rows], np.int64) for c in ("n", "comp"))
+            a, b, apart = near = _near(rows, sk, n, comp, join)
+            some = len(a) >= max(1, PAIRS * len(rows))
+            for i, j in _joining(comp, near) if some else zip(a.tolist(), b.tolist(), strict=True):
+                yield *sorted((rows[i]["node"], rows[j]["node"])), None
+            if some:
+                yield None, None, rows[0]["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait: list[dict] = []
-        for batch in chain(batches, [None]):
-            found, still, rows = set(), set(), batch.to_pylist() if batch is not None else []
-            for r in [*rows, None] if batch is None else rows:
-                if wait and (r is None or (r["key"], r["cell"]) != (wait[0]["key"], wait[0]["cell"])):
-                    pairs, some = cell(wait)
-                    found.update(pairs)
-                    if some:
-                        still.add(wait[0]["key"])
-                    wait = []
-                if r is not None:
-                    wait.append(r)
-            if found or still:
-                a, b = zip(*sorted(found), strict=True) if found else ((), ())
-                none = [None] * len(still)
-                columns = [[*a, *none], [*b, *none], [None] * len(a) + sorted(still)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "key"])
+        return _written(found(batches), ["a", "b", "key"])
 
     return run
 
 
-def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, whole: bool, stage: Stage) -> DataFrame:
-    """Pairs between the components that share a key, and keys that are still open (a, b, key); shared: key, node, up, m (the key's rows)."""
-    named = shared.select("key", "node", "up", "m").join(comp, "node", "left").select("key", "node", "up", "m", F.coalesce("component", "node").alias("comp"))
-    named = stage(named, "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    rows = named.join(mixed, "key").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("long") - 1)
-    rows = rows.withColumn("part", F.expr("pmod(xxhash64(node), parts + 1)"))
+def _between_sets(join: Join):
+    """Over rows sorted by cell: links that join the cell's components, by all hashes of shingles; after sizes and bit sketches."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        bands = join.bands()
+        for rows in _cells(batches, ("g", "key", "cell")):
+            h, comp = [r["h"] for r in rows], np.array([r["comp"] for r in rows], np.int64)
+            n = np.array([len(x) for x in h], np.int64)
+            band = np.searchsorted(bands["low"], n.max(), side="right") - 1  # the largest set's for all of them
+            bits = bit_sketches(np.concatenate(h), np.repeat(np.arange(len(rows)), n), np.full(len(rows), band), bands)
+            sk = np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)
+
+            def linked(i: int, j: int, h: list[np.ndarray] = h, n: np.ndarray = n) -> bool:
+                both = len(np.intersect1d(h[i], h[j], assume_unique=True))
+                return 100 * both >= join.percent * (n[i] + n[j] - both)
+
+            for i, j in _joining(comp, _near(rows, sk, n, comp, join), linked):
+                yield tuple(sorted((rows[i]["node"], rows[j]["node"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _written(found(batches), ["a", "b"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, by: list[str], columns: list) -> DataFrame:
+    """rows: node and blocks (of its group). A row for each two blocks that its own is one of, in the cell of these; sorted by cell, cells whole."""
+    rows = rows.withColumn("parts", F.col("blocks") - 1).withColumn("part", F.expr("pmod(xxhash64(node), parts + 1)"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts")), lambda j: F.least(j, F.col("part")) * F.lit(1 << 31) + F.greatest(j, F.col("part")))
-    bits = F.when(F.col("up"), F.col("bits_next")).otherwise(F.col("bits")).alias("bits")  # those of the key's instance
-    rows = rows.join(sets.withColumnRenamed("id", "node"), "node").select("key", F.explode(cells).alias("cell"), "node", "comp", "part", "parts", "n", bits)
+    rows = rows.select(*by, F.explode(cells).alias("cell"), "node", "comp", "part", "parts", *columns)
     rows = rows.withColumn("parts", F.when(F.col("cell").bitwiseAND(F.lit((1 << 31) - 1)) == F.shiftright("cell", 31), 0).otherwise(F.col("parts")))
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_between_components(join, whole), _PAIR + ", key long")
+    return rows.repartition(*by, "cell").sortWithinPartitions(*by, "cell")
+
+
+def _mixed(shared: DataFrame, comp: DataFrame, stage: Stage) -> DataFrame:
+    """The rows of keys that sets of several components share, with the component (comp) of each; shared: key, node and more."""
+    named = shared.join(comp, "node", "left").select(*shared.columns, F.coalesce("component", "node").alias("comp"))
+    named = stage(named, "named")
+    return named.join(named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "key")
+
+
+def _open_pairs(shared: DataFrame, comp: DataFrame, sets: DataFrame, join: Join, stage: Stage) -> DataFrame:
+    """Pairs between the components that share a key, and keys that are still open (a, b, key); shared: key, node, up, m (the key's rows)."""
+    rows = _mixed(shared, comp, stage).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
+    bits = F.when(F.col("up"), F.col("bits_next")).otherwise(F.col("bits")).alias("bits")  # those of the key's instance
+    rows = rows.join(sets.withColumnRenamed("id", "node"), "node")
+    return _dealt(rows, ["key"], ["n", bits]).mapInArrow(_between_components(join), _PAIR + ", key long")
+
+
+def _open_links(shared: DataFrame, comp: DataFrame, docs: DataFrame, join: Join, stage: Stage) -> DataFrame:
+    """Links that join the components which share a key (a, b), by whole sets; shared: key, node.
+
+    Keys that share sets are one group: sets that meet by many keys are compared once. Where a chain of keys would make a
+    group of more pairs than its keys have, each key is compared by itself.
+    """
+    rows = stage(_mixed(shared.select("key", "node"), comp, stage), "mixedrows")
+    ends = stage(rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")), "mixedkeys")
+    groups = components(rows.join(ends, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    groups = stage(groups.select("node", F.col("component").alias("g")), "groups")
+    pairs = ends.join(groups, F.col("first") == F.col("node")).groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    one = groups.groupBy("g").agg(F.count(F.lit(1)).alias("many")).join(pairs, "g").select("g", F.expr("many * many <= pairs").alias("one"))
+    rows = rows.join(groups, "node").join(one, "g").select("g", F.when(F.col("one"), 0).otherwise(F.col("key")).alias("key"), "node", "comp").distinct()
+    sets = _sets(groups, docs, join, stage).select("node", "h")
+    rows = stage(rows.join(sets.select("node", F.size("h").alias("n")), "node"), "grouped")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WHOLE)).cast("long").alias("blocks")
+    rows = rows.join(rows.groupBy("g", "key").agg(blocks), ["g", "key"]).join(sets, "node")
+    return _dealt(rows, ["g", "key"], ["h"]).mapInArrow(_between_sets(join), _PAIR)
 
 
 def _shared_keys(docs: DataFrame, join: Join, stage: Stage) -> DataFrame:
@@ -414,6 +498,12 @@ def _shingle_sets(texts: DataFrame, join: Join) -> DataFrame:
     return texts.select("node", "g", "text").mapInArrow(run, "node long, g long, h array<long>")
 
 
+def _sets(groups: DataFrame, docs: DataFrame, join: Join, stage: Stage) -> DataFrame:
+    """groups: node, g. node, g and the hashes of its shingles, in order."""
+    texts = docs.join(small(groups.withColumnRenamed("node", "id")), "id").groupBy("id", "g").agg(F.min("text").alias("text"))
+    return stage(_shingle_sets(texts.withColumnRenamed("id", "node"), join), "wholesets")
+
+
 def _refined(hot: DataFrame, light: DataFrame, docs: DataFrame, join: Join, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """For the sets of hot keys, keys that tell them apart (key, node, up, m), and pairs with the one nearest to what they have in common.
 
@@ -423,8 +513,7 @@ def _refined(hot: DataFrame, light: DataFrame, docs: DataFrame, join: Join, stag
     """
     groups = components(hot.select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
     groups = stage(groups.select("node", F.col("component").alias("g")), "groups")
-    texts = docs.join(small(groups.withColumnRenamed("node", "id")), "id").groupBy("id", "g").agg(F.min("text").alias("text"))
-    sets = stage(_shingle_sets(texts.withColumnRenamed("id", "node"), join), "hotsets")
+    sets = _sets(groups, docs, join, stage)
     sizes = sets.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.expr(f"max(2 * size(h)) * {100 - join.percent} div {100 + join.percent}").cast("int").alias("t"))
     sizes = stage(sizes, "groupsizes")
     counts = sets.select("g", F.explode("h").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
@@ -486,15 +575,15 @@ def classes(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str =
         links = links.union(verify(stage(_hamming_ok(pairs, light, join), "nearpairs"), rows, join, stage))
         comp = components(links)
         rest = stage(rest.where(F.col("m") <= HOT).unionByName(keys), "refined")
-    # where one key still has several components: all that is left between them, or first only what joins them most nearly
-    for whole in (False, True):
-        found = stage(_open_pairs(rest, comp, light, join, whole, stage), "between")
-        links = links.union(verify(found.where("a is not null").select("a", "b").distinct(), rows, join, stage))
+    # where one key still has several components: what joins them most nearly, or all that is left between them; then whole sets
+    found = stage(_open_pairs(rest, comp, light, join, stage), "between")
+    links = links.union(verify(found.where("a is not null").select("a", "b").distinct(), rows, join, stage))
+    comp = components(links)
+    still = stage(found.where("key is not null").select("key").distinct(), "open")
+    if still.limit(1).count():
+        left_open = stage(_open_links(rest.join(small(still), "key", "left_semi"), comp, rows, join, stage), "openlinks")
+        links = links.union(verify(left_open.distinct(), rows, join, stage))
         comp = components(links)
-        still = stage(found.where("key is not null").select("key").distinct(), "open")
-        if not still.limit(1).count():
-            break
-        rest = rest.join(small(still), "key", "left_semi")
     comp = stage(comp, "components")
     named = members.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     moved = staging.stage(named.where("id <> component").distinct(), "moved")
