@@ -455,11 +455,12 @@ def _open_links(shared: DataFrame, comp: DataFrame, docs: DataFrame, join: Join,
     groups = stage(groups.select("node", F.col("component").alias("g")), "groups")
     pairs = ends.join(groups, F.col("first") == F.col("node")).groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
     one = groups.groupBy("g").agg(F.count(F.lit(1)).alias("many")).join(pairs, "g").select("g", F.expr("many * many <= pairs").alias("one"))
-    rows = rows.join(groups, "node").join(one, "g").select("g", F.when(F.col("one"), 0).otherwise(F.col("key")).alias("key"), "node", "comp").distinct()
+    rows = rows.join(groups, "node").join(small(stage(one, "asone")), "g").select("g", F.when(F.col("one"), 0).otherwise(F.col("key")).alias("key"), "node", "comp").distinct()
     sets = _sets(groups, docs, join, stage).select("node", "h")
     rows = stage(rows.join(sets.select("node", F.size("h").alias("n")), "node"), "grouped")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WHOLE)).cast("long").alias("blocks")
-    rows = rows.join(rows.groupBy("g", "key").agg(blocks), ["g", "key"]).join(sets, "node")
+    # a group's rows stay where they are
+    rows = rows.join(small(stage(rows.groupBy("g", "key").agg(blocks), "blocks")), ["g", "key"]).join(sets, "node")
     return _dealt(rows, ["g", "key"], ["h"]).mapInArrow(_between_sets(join), _PAIR)
 
 
