@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramo.functions import exprs as X
-from tramo.functions.wstats import with_quantiles
+from tramo.functions.wstats import Part, many_medians, with_quantiles
 from tramo.params import ENRICH_RANGES
 from tramo.sources.routes import RouteProvider
 
@@ -59,11 +61,27 @@ def calibrate_t1(df: DataFrame, zone: str = "Asia/Riyadh") -> DataFrame:
     return with_quantiles(d, ["pickup_hr_ksa", "zone_name_en"], {"t1_p50": ("t1_actual_min", 0.5), "t1_p85": ("t1_actual_min", 0.85)}, F.count(F.lit(1)).alias("n"))
 
 
-def calibrate_ratios(df: DataFrame, leg: str, zone: str = "Asia/Riyadh") -> DataFrame:
-    """leg: t2 or t3; the hour is always that of the third leg's start."""
-    d = df.select(
+CELL = ("pickup_hr_ksa", "zone_name_en", "dist_bin")
+
+
+def ratio_rows(df: DataFrame, leg: str, zone: str = "Asia/Riyadh") -> DataFrame:
+    """leg: t2 or t3; the hour is always that of the third leg's start. Rows that count, with the keys of their cells."""
+    return df.select(
         X.hour_in(F.col("t3_start_ts"), zone).alias("pickup_hr_ksa"), "zone_name_en", X.dist_cut(F.col(f"{leg}_osrm_distance_km")).alias("dist_bin"),
         F.col(f"{leg}_osrm_distance_km").alias("km"), F.col(f"{leg}_actual_min").alias("actual"), F.col(f"ratio_actual_over_osrm_{leg}").alias("ratio"),
     ).where("pickup_hr_ksa is not null and zone_name_en is not null and dist_bin is not null and ratio is not null")
+
+
+def calibrate_ratios(df: DataFrame, leg: str, zone: str = "Asia/Riyadh") -> DataFrame:
+    d = ratio_rows(df, leg, zone)
     wanted = {"ratio_p50": ("ratio", 0.5), "ratio_p85": ("ratio", 0.85), "osrm_km_p50": ("km", 0.5), "actual_min_p50": ("actual", 0.5)}
-    return with_quantiles(d, ["pickup_hr_ksa", "zone_name_en", "dist_bin"], wanted, F.count(F.lit(1)).alias("n"))
+    return with_quantiles(d, CELL, wanted, F.count(F.lit(1)).alias("n"))
+
+
+def ratio_medians(df: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Of both legs' cells only the medians and sizes that calibrate_ratios gives, from the same passes; df is made once."""
+    columns = ["zone_name_en", "t3_start_ts", *[c for leg in ENDS for c in (f"{leg}_osrm_distance_km", f"{leg}_actual_min", f"ratio_actual_over_osrm_{leg}")]]
+    df = keep(df.select(*columns), "routed")
+    found = many_medians([Part(ratio_rows(df, leg), [CELL], "ratio") for leg in ENDS], keep)
+    t2, t3 = (own.select(*CELL, F.col("v").alias("ratio_p50"), "n") for own, in found)
+    return t2, t3

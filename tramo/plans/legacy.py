@@ -36,9 +36,10 @@ def guard_adjust(d: DataFrame, means: DataFrame, worst_zones: Sequence[str]) ->
     return d.withColumn("guard_adj", X.peak_guard(F.col("zone_name_en"), F.col("is_peak"), F.col("guard_mean"), worst_zones))
 
 
-def shop_prep_stats(prep: DataFrame, orders: DataFrame) -> DataFrame:
-    """By chain: median, quartiles, their distance and the count of order-level preparation minutes."""
+def shop_prep_stats(prep: DataFrame, orders: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """By chain: median, quartiles, their distance and the count of order-level preparation minutes. keep may write the rows, which are read more than once."""
     rows = prep.select("order_id", "prep_time_min").dropna().join(orders.select("order_id", F.col("mbo_chain_id").cast("string").alias("mbo_chain_id")).dropna(), "order_id")
+    rows = keep(rows.select("mbo_chain_id", "prep_time_min"), "prep_rows")
     wanted = {f"prep_shop_p{q}": ("prep_time_min", q / 100) for q in (50, 25, 75)}
     d = with_quantiles(rows, ["mbo_chain_id"], wanted, F.count("prep_time_min").alias("prep_shop_cnt"))
     return d.withColumn("prep_shop_iqr", F.col("prep_shop_p75") - F.col("prep_shop_p25"))
@@ -82,12 +83,17 @@ class Earlier:
     def t3_smoothed(self) -> DataFrame:
         return self.keep(smoothing.smooth_ratios(self.calib_t3, N0_T3), "t3_smoothed")
 
+    @cached_property
+    def legs(self) -> DataFrame:
+        """The legs, written: lookups have plain columns."""
+        return self.keep(with_legs(self.orders, self.p), "legs")
+
     @cached_property
     def features(self) -> DataFrame:
         """Legs with the routed estimate of the second one and all preparation features."""
-        d = lookup.ratio_lookup(with_legs(self.orders, self.p), self.t2_smoothed, "t2_dist_bin", "t2_ratio_p50", "t2_ratio_source", "t2_n_cell")
+        d = lookup.ratio_lookup(self.legs, self.t2_smoothed, "t2_dist_bin", "t2_ratio_p50", "t2_ratio_source", "t2_n_cell")
         d = d.withColumn("T2_osrm_ratio_pred", F.col("t2_osrm_duration_min") * F.col("t2_ratio_p50"))
-        return self.keep(attach_prep(d, self.prep_shop, self.prep_vertical, shop_prep_stats(self.prep_order, self.orders)), "features")
+        return self.keep(attach_prep(d, self.prep_shop, self.prep_vertical, self.keep(shop_prep_stats(self.prep_order, self.orders, self.keep), "prep_stats")), "features")
 
     @cached_property
     def train(self) -> DataFrame:

@@ -179,9 +179,10 @@ def earlier(d: Delivery) -> legacy.Earlier:
     """The earlier model over the same orders. Means by chain and vertical, which it reads from files, are those of the orders' own preparation times."""
     seen = enrich.enrich(d.orders, DetourRoutes())
     by = d.prep_order.select("order_id", "sub_vertical_name", "prep_time_min").join(d.orders.select("order_id", "mbo_chain_id"), "order_id")
+    by = stage(by.select("mbo_chain_id", "sub_vertical_name", "prep_time_min"), "prep")
     shop = by.where("mbo_chain_id % 3 <> 0").groupBy("mbo_chain_id").agg(F.avg("prep_time_min").alias("prep_shop_mean"))
     vertical = by.where("sub_vertical_name <> 'V4'").groupBy("sub_vertical_name").agg(F.avg("prep_time_min").alias("prep_vert_mean"))
-    return legacy.Earlier(d.orders, enrich.calibrate_ratios(seen, "t2"), enrich.calibrate_ratios(seen, "t3"), d.prep_order, shop, vertical, WORST_ZONES, d.p, keep=stage)
+    return legacy.Earlier(d.orders, *enrich.ratio_medians(seen, stage), d.prep_order, shop, vertical, WORST_ZONES, d.p, keep=stage)
 
 
 PREP = "~prep_shop_mean ~prep_vert_mean ~prep_shop_p50 ~prep_shop_iqr prep_shop_cnt"
