@@ -35,7 +35,7 @@ def small_batches(spark: SparkSession, size: str = "2m") -> Iterator[None]:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df, in small Arrow batches where Python makes its rows, and return what reads it back."""
     with small_batches(df.sparkSession):
-        return tables.stage(df, name)
+        return tables.stage(df, name, small_methods=False)
 
 
 def drop_staged(df: DataFrame) -> None:
